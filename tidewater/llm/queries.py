@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewater.llm import language_id, toxicity
+from tidewater.llm.decontamination import contaminated
 from tidewater.llm.packing import pack
 from tidewater.llm.token_counts import token_counts
 
@@ -17,6 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fold(of: int) -> Column:
+    """crc32 of the doc_id as text, modulo `of`; null ids belong to no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=1024)
 
@@ -25,10 +37,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), size=1024, end_id=0)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.filter(fold(4) != 2))
+    return language_id.predict(docs, model, keep=[(fold(4) == 2).alias("held_out")])
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(labels.filter(fold(5) != 0), docs=docs)
+    return toxicity.score(docs, model, keep=[(fold(5) == 0).alias("held_out")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": op4_decontamination,
         "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
+        "op9_language_id": op9_language_id,
+        "op10_toxicity": op10_toxicity,
     }
 
 

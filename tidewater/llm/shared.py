@@ -84,15 +84,21 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of `width` values, by Horner's rule."""
-    n = len(hashes) - width + 1
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of `width` 64-bit values: a polynomial, built by doubling."""
+    n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = hashes[:n].copy()
-    for k in range(1, width):
-        total *= _ODD
-        total += hashes[k : n + k]
+    total, done, block, size = None, 0, values, 1
+    factor = _ODD
+    while done < width:
+        if width & size:
+            part = block[done : done + n]
+            total = part.copy() if total is None else total * factor + part
+            done += size
+        if done < width:
+            block = block[: len(block) - size] * factor + block[size:]
+            factor, size = np.uint64(int(factor) ** 2 & 0xFFFFFFFFFFFFFFFF), 2 * size
     return mixed(total)
 
 
