@@ -46,35 +46,53 @@ def plain(text: str) -> bool:
     return text.isascii() or not any(s in text for s in _WIDE_SPACE)
 
 
-class Pieces(dict):
-    """Values of pieces: the misses go to the tokenizer; holds at most `limit` of them."""
+def _byte_letters() -> dict[str, int]:
+    """The byte each letter of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    def __init__(self, path: str, value, first: dict | None = None, limit: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.value, self.first, self.limit = tokenizer_at(path), value, first or {}, limit
 
-    def __missing__(self, piece: str):
-        got = self.first.get(piece)
-        if got is None:
-            got = self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-            if len(self) >= self.limit:
-                self.clear()
-        self[piece] = got
-        return got
+def fast_coder(path: str):
+    """A function from text without special strings to ids that skips the tokenizer's bookkeeping.
+
+    A byte-level BPE whose merges make entries of rising ids is given by these
+    ids as ranks alone; any other tokenizer is called itself.
+    """
+    import json
+
+    tok = tokenizer_at(path)
+    plain_way = lambda piece: tok.encode(piece, add_special_tokens=False).ids
+    spec = json.loads(tok.to_str())
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    flags = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec["normalizer"] or any(flags):
+        return plain_way
+    vocab, letters = model["vocab"], _byte_letters()
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if made != sorted(set(made)) or not all(c in vocab for c in letters):
+        return plain_way
+    import tiktoken
 
+    ranks = {bytes(letters[c] for c in entry): i for entry, i in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-class Spaced(dict):
-    """The values of pieces with a space before them, keyed without it."""
 
-    def __init__(self, pieces: Pieces):
+class Pieces(dict):
+    """Values of pieces, with `before` put before each: misses are encoded; holds at most `limit` of them."""
+
+    def __init__(self, coder, value, first: dict | None = None, before: str = "", limit: int = 700_000):
         super().__init__()
-        self.pieces = pieces
+        self.coder, self.value, self.first, self.before, self.limit = coder, value, first or {}, before, limit
 
-    def __missing__(self, word: str):
-        got = self.pieces[" " + word]
-        if len(self) >= self.pieces.limit:
+    def __missing__(self, piece: str):
+        whole = self.before + piece
+        got = self.first.get(whole)
+        if got is None:
+            got = self.value(self.coder(whole))
+        if len(self) >= self.limit:
             self.clear()
-        self[word] = got
+        self[piece] = got
         return got
 
 
@@ -84,19 +102,19 @@ class Encoder:
     def __init__(self, path: str, value, first: dict | None = None):
         import regex
 
-        self.pieces = Pieces(path, value, first)
-        self.spaced = Spaced(self.pieces)
+        coder = fast_coder(path)
+        self.pieces, self.spaced = Pieces(coder, value, first), Pieces(coder, value, first, " ")
         self.pattern = regex.compile(PRE_TOKEN)
-        special = [t.content for t in self.pieces.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.marks = special
+        added = tokenizer_at(path).get_added_tokens_decoder()
+        self.marks = {t.content: value([i]) for i, t in added.items()}
+        self.special = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")")
 
     def parts(self, text: str) -> Iterator:
         """The values of a text's pieces, in order."""
-        if self.special and any(m in text for m in self.marks):
+        if any(m in text for m in self.marks):
             for k, part in enumerate(self.special.split(text)):
                 if k % 2:
-                    yield self.pieces[part]
+                    yield self.marks[part]
                 elif part:
                     yield from map(self.pieces.__getitem__, self.pattern.findall(part))
         elif plain(text):
