@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import language_id, toxicity
 from tidewater.llm.chat import format_windows, read_back
 from tidewater.llm.decontamination import contaminated
+from tidewater.llm.ngram_join import similar_documents
 from tidewater.llm.packing import pack
 from tidewater.llm.quality import quality
 from tidewater.llm.token_counts import token_counts
@@ -65,6 +66,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), size=1024, end_id=0)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(documents(spark, sf_dir), width=5, percent=80)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.filter(fold(4) != 2))
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
