@@ -14,6 +14,7 @@ from tidewater.llm.decontamination import contaminated
 from tidewater.llm.ngram_join import similar_documents
 from tidewater.llm.packing import pack
 from tidewater.llm.quality import quality
+from tidewater.llm.substring_dedup import remove_repeated
 from tidewater.llm.token_counts import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +34,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *[f"quality.{c}" for c in asked])
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated(documents(spark, sf_dir), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = r"\### Assistant: </turn> ok"
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -85,6 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_decontamination": op4_decontamination,
         "op6_token_counts": op6_token_counts,
