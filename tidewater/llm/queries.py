@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import language_id, toxicity
 from tidewater.llm.chat import format_windows, read_back
 from tidewater.llm.decontamination import contaminated
+from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.ngram_join import similar_documents
 from tidewater.llm.packing import pack
 from tidewater.llm.quality import quality
@@ -64,6 +65,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_words=8)
+    return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=1024)
 
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_decontamination": op4_decontamination,
+        "op5_line_dedup": op5_line_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
         "op8_ngram_jaccard": op8_ngram_jaccard,
@@ -169,6 +176,29 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
 FROM whole JOIN shown USING (conv_id)
 """
 
+#: Lines by words; deletion variants by lists; earliest first.
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n_lines
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l),
+named AS (SELECT doc_id, line_no, words, array_to_string(words, ' ') AS said, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM w WHERE len(words) > 0),
+firsts AS (SELECT said, min(pos) AS pos, any_value(words) AS words FROM named GROUP BY said),
+variants AS (
+  SELECT pos, i, len(words) AS n, array_to_string(list_concat(words[1 : i - 1], words[i + 1 : len(words)]), ' ') AS v
+  FROM firsts, unnest(range(1, len(words) + 1)) AS u(i) WHERE len(words) >= 8),
+near AS (
+  SELECT a.pos FROM variants a JOIN variants b ON a.v = b.v AND a.i = b.i AND a.n = b.n AND b.pos < a.pos
+  UNION SELECT a.pos FROM variants a JOIN firsts b ON a.v = b.said AND len(b.words) >= 8 AND b.pos < a.pos
+  UNION SELECT b.pos FROM variants a JOIN firsts b ON a.v = b.said AND len(b.words) >= 8 AND a.pos < b.pos),
+fate AS (
+  SELECT w.doc_id, w.line_no, w.line, w.n_lines, n.pos IS NOT NULL AND n.pos <> f.pos AS repeated, n.pos IN (SELECT pos FROM near) AS near
+  FROM w LEFT JOIN named n USING (doc_id, line_no) LEFT JOIN firsts f USING (said))
+SELECT doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (repeated)::BIGINT AS n_repeated, count(*) FILTER (near)::BIGINT AS n_near,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(repeated, false) AND NOT coalesce(near, false)), '')) AS kept_sha256
+FROM fate GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_line_dedup": OP5_SQL}
