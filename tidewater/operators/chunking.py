@@ -59,7 +59,7 @@ def cuts(text: str, bound: int) -> list[int]:
     ends = [0]
     for line in lines:
         ends.append(ends[-1] + len(line))
-    blank = [line.strip("\n") == "" and line.rstrip("\n") == "" for line in lines]
+    blank = [line.rstrip("\n") == "" for line in lines]
     starts = [k for k in range(len(lines)) if k == 0 or (blank[k - 1] and not blank[k])]
     possible = [0]
     for first, after in pairwise([*starts, len(lines)]):

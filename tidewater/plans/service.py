@@ -1,7 +1,24 @@
-"""hits"""
+"""The public search: one query, one strategy, one result with its status."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import asdict, dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.errors import InvalidQueryError, VectorIndexIncompatibleError, VectorIndexUnavailableError
+from tidewater.functions.text import section_display
+from tidewater.operators import fusion, lexical, vector
+from tidewater.operators.embeddings import EmbeddingProvider, fingerprint_of
+from tidewater.sources.store import Store
+
+# fixed values of the public interface
+STRATEGIES = ("lexical", "vector", "hybrid")
+MAX_PUBLIC_RESULTS = 25
+TIE = ["relative_path", "ordinal", "chunk_id"]
+
 
 def hits_of(strategy: str, matches: DataFrame) -> DataFrame:
     """Matches of any strategy in one shape: what the other side would give is null."""
@@ -10,3 +27,89 @@ def hits_of(strategy: str, matches: DataFrame) -> DataFrame:
     have = set(matches.columns)
     added = {c: F.col(native[c]).cast(kind) if c in native else (F.col(c) if c in have else F.lit(None)).cast(kind) for c, kind in kinds.items()}
     return matches.select(*[c for c in matches.columns if c not in ("score", "distance", *kinds)], *[v.alias(k) for k, v in added.items()])
+
+
+@dataclass(frozen=True)
+class RetrievalResult:
+    """status: success, empty, or partial where max_results cut the ranking."""
+
+    strategy: str
+    status: str
+    results: list[dict] = field(default_factory=list)
+    requested_max_results: int = 10
+    truncated: bool = False
+    truncation_reason: str | None = None
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), indent=2, default=str)
+
+
+def result_of(strategy: str, hits: list[dict], max_results: int) -> RetrievalResult:
+    """hits are one more than asked for if there are more."""
+    more = len(hits) > max_results
+    status = "partial" if more else "success" if hits else "empty"
+    return RetrievalResult(strategy, status, hits[:max_results], max_results, more, "max_results" if more else None)
+
+
+class KnowledgeService:
+    """Searches a store. Vector and hybrid search need the provider of the active vector index; they never fall back."""
+
+    def __init__(self, store: Store, provider: EmbeddingProvider | None = None, *, default_strategy: str = "lexical"):
+        self.store, self.provider, self.default_strategy = store, provider, default_strategy
+
+    def _details(self) -> DataFrame:
+        docs = self.store.table("documents").select("document_id", "source_id", "relative_path", "title")
+        return self.store.table("chunks").join(docs, "document_id")
+
+    def lexical(self, query: str, n: int) -> DataFrame:
+        lengths = self.store.table("lengths")
+        return lexical.search(
+            self.store.spark, self.store.table("postings"), lengths, lexical.corpus_stats(lengths), query, tie=TIE, details=self._details(), max_results=n
+        )
+
+    def vector(self, query: str, n: int) -> DataFrame:
+        stripped = lexical.checked_query(query, n)
+        if self.provider is None:
+            raise VectorIndexUnavailableError("vector search needs an embedding provider")
+        active = self.store.manifest()["vector"]
+        if active is None:
+            raise VectorIndexUnavailableError("no vector index has been built")
+        if fingerprint_of(self.provider) != active["fingerprint"]:
+            raise VectorIndexIncompatibleError("the provider is not the active index's; rebuild the vectors")
+        asked = self.provider.embed_query(stripped)
+        if len(asked) != active["dimension"]:
+            raise VectorIndexIncompatibleError("the query's vector has another length than the index's")
+        return vector.nearest(self.store.table("vectors").select("chunk_id", "embedding"), asked, details=self._details(), tie=TIE, max_results=n)
+
+    def hybrid(self, query: str, n: int) -> DataFrame:
+        lexical.checked_query(query, n)
+        if self.provider is None:
+            raise VectorIndexUnavailableError("hybrid search needs an embedding provider")
+        k = fusion.candidate_count(n)
+        return fusion.fuse(self.lexical(query, k), self.vector(query, k), max_results=n, tie=TIE)
+
+    def search(self, query: str, *, strategy: str | None = None, max_results: int = 10) -> RetrievalResult:
+        lexical.checked_query(query, max_results, MAX_PUBLIC_RESULTS)
+        chosen = strategy or self.default_strategy
+        if chosen not in STRATEGIES:
+            raise InvalidQueryError(f"no such strategy: {chosen}")
+        matches = getattr(self, chosen)(query, max_results + 1)
+        hits = hits_of(chosen, matches).withColumn("section", section_display(F.col("section_path"))).orderBy("rank")
+        return result_of(chosen, [r.asDict(recursive=True) for r in hits.collect()], max_results)
+
+    def get_document(self, document_id: str) -> dict | None:
+        return _one(self.store.table("documents").filter(F.col("document_id") == document_id))
+
+    def get_chunk(self, chunk_id: str) -> dict | None:
+        return _one(self.store.table("chunks").filter(F.col("chunk_id") == chunk_id))
+
+    def documents_of(self, source_id: str) -> DataFrame:
+        return self.store.table("documents", source_id).orderBy("relative_path")
+
+    def chunks_of(self, document_id: str) -> DataFrame:
+        return self.store.table("chunks").filter(F.col("document_id") == document_id).orderBy("ordinal")
+
+
+def _one(found: DataFrame) -> dict | None:
+    row = found.head()
+    return row.asDict(recursive=True) if row else None
