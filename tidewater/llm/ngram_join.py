@@ -11,12 +11,15 @@ from tidewater.llm.graph import components
 from tidewater.llm.shared import as_bytes, shingle_set, written
 
 _CELL_BITS = 18
+#: Buckets of at most so many sets are small.
+SMALL = 64
 
 
 def _commonness(docs: DataFrame, width: int) -> np.ndarray:
-    """For each of a fixed number of hash cells, how often n-grams of all documents fall there, as a power of two.
+    """For each of a fixed number of hash cells, how often n-grams of all documents fall there.
 
-    It orders n-grams, rare ones first, whatever the order, results are the same.
+    Cells order the n-grams: one that many documents share lifts its cell over the others, so
+    prefixes hardly hold it. Whatever the order, results are the same.
     """
 
     def count(batches):
@@ -30,7 +33,7 @@ def _commonness(docs: DataFrame, width: int) -> np.ndarray:
     counted = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << _CELL_BITS, np.int64)
     table[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    return np.log2(np.maximum(table, 1)).astype(np.uint8)
+    return np.minimum(table, (1 << 32) - 1).astype(np.uint32)
 
 
 def _digest(values: np.ndarray) -> int:
@@ -55,10 +58,9 @@ def _prefixes(docs: DataFrame, commonness: np.ndarray, width: int, percent: int)
                 if not n or not known:
                     rows.append((n, None, None, None))
                     continue
-                rank = common[(grams >> np.uint64(64 - _CELL_BITS)).astype(np.int64)].astype(np.uint64)
+                rank = common[(grams >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
                 length = n - -(-percent * n // 100) + 1
-                # within a power of two the order is the hash's own
-                prefix = grams[np.argsort((rank << np.uint64(56)) | (grams >> np.uint64(8)), kind="stable")[:length]]
+                prefix = grams[np.lexsort((grams, rank))[:length]]
                 group = _digest(np.append(prefix, np.uint64(n)))
                 rows.append((n, _digest(grams), group, None if group in seen else prefix.view(np.int64)))
                 seen.add(group)
@@ -111,7 +113,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("node", "lead", "p", "q").mapInArrow(count, f"node {kind}, lead {kind}, shared long, n long, m long")
 
 
-def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, pivots: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least
     `percent` / 100 between their sets of word n-grams: (doc_id, n_shingles,
     component_id), component_id the smallest id reachable.
@@ -119,10 +121,12 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_
     N-grams are ordered rare first, by counts over all documents. Two similar sets
     share one of their rarest n - ceil(percent n / 100) + 1 n-grams, the prefix.
     Documents with the same prefix and size are one group; groups that share a
-    prefix n-gram with another are kept, then expand to their distinct sets. In each bucket of an
-    n-gram, every set is verified against the smallest id, so the pairs
-    are as many as the bucket's rows. What is still in different components is then
-    compared pair by pair, unless the distances to the bucket's first set differ by more than a
+    prefix n-gram with another are kept, then expand to their distinct sets. Sets that hold too few shared
+    prefix n-grams for the sizes in a bucket leave it. In each bucket of an
+    n-gram, every set that shares enough is verified against the smallest id, so the pairs
+    are as many as the bucket's rows at most; sets left outside its component go on to `pivots`
+    more sets near the smallest. What is still in different components is then
+    compared pair by pair, unless the n-grams they could share are too few or the distances to the bucket's first set differ by more than a
     link allows (Jaccard distance is a metric). So no link is lost and
     no bucket of linked copies is squared.
 
@@ -140,19 +144,27 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_
     of_gram = Window.partitionBy("gram")
     shared = grams.withColumn("lo", F.min("group_key").over(of_gram)).withColumn("hi", F.max("group_key").over(of_gram)).filter("lo < hi").select("gram", "group_key").distinct()
     alike = sets.groupBy("group_key").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("group_key").alias("gram"), "group_key")
-    members = shared.unionByName(alike).join(sets.select("group_key", "node", "n"), "group_key").select("gram", "node", "n")
-    members = written(members.withColumn("lead", F.min("node").over(of_gram)), "members")
+    buckets = shared.withColumn("alike", F.lit(False)).unionByName(alike.withColumn("alike", F.lit(True)))
+    buckets = buckets.join(sets.select("group_key", "node", "n"), "group_key").select("gram", "node", "n", "alike")
+    first = F.min(F.struct("node", "n")).over(of_gram)
+    members = written(_enough(buckets, percent).withColumn("first", first).withColumn("lead", F.col("first.node")).withColumn("lead_n", F.col("first.n")).drop("first"), "members")
 
     near = f"100 * shared >= {percent} * (n + m - shared)"
-    stars = members.filter("node <> lead").select("node", "lead").distinct()
+    stars = _stars(members, percent)
     texts = written(_packed(docs, members.select("node").distinct()), "texts")
     tested = written(_verified(stars, texts, width), "stars")
     links = tested.filter(near).select(F.col("node").alias("u"), F.col("lead").alias("v"))
     linked = components(links)
 
-    rest = written(_unresolved(members, tested, linked, percent), "rest")
-    more = _verified(rest, texts, width).filter(near).select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    linked = components(linked.select(F.col("vertex").alias("u"), F.col("component").alias("v")).unionByName(more))
+    apart = (1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("apart")
+    known = members.join(tested.select("node", "lead", apart), ["node", "lead"], "left").withColumn("apart", F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("apart")))
+    found = F.col("node").alias("u"), F.col("lead").alias("v")
+    for pivot in range(1, pivots + 1):
+        known = written(_unresolved(known, linked), "unresolved")
+        more = _verified(_to_pivot(known, pivot, percent), texts, width).filter(near).select(*found)
+        linked = components(_edges(linked).unionByName(more))
+    more = _verified(written(_rest(_unresolved(known, linked), percent), "rest"), texts, width).filter(near).select(*found)
+    linked = components(_edges(linked).unionByName(more))
 
     # rows with one id are one document
     homes = sets.join(linked, sets["node"] == linked["vertex"], "left").select("n", "set_key", F.coalesce("component", "node").alias("home"))
@@ -160,24 +172,96 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("home", "doc_id")).alias("component_id"))
 
 
-def _unresolved(members: DataFrame, tested: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, lead) that share a prefix n-gram, are in different components and may yet be similar."""
+def _needed(n, m, percent: int):
+    """How many n-grams of their prefixes sets of n and m n-grams share at least, if they are similar.
+
+    The last n-gram of the prefix that ends first parts the n-grams both have: those before it are in both
+    prefixes, those after it at most what the larger set has outside its prefix.
+    """
+    n, m = (F.col(x) if isinstance(x, str) else x for x in (n, m))
+    return percent * (n + m) / (100 + percent) - percent * F.greatest(n, m) / 100 - 1e-9
+
+
+def _enough(buckets: DataFrame, percent: int) -> DataFrame:
+    """buckets (gram, node, n, alike) with held, without sets that cannot be similar to another of the bucket.
+
+    held is how many prefix n-grams a set could share with another. Two sets that
+    share an n-gram of a small bucket meet there, so in large buckets only the n-grams of large ones count. Sets of
+    one group share the whole prefix.
+    """
+    of_gram, of_node = Window.partitionBy("gram"), Window.partitionBy("node")
+    rows = buckets.withColumn("size", F.count("*").over(of_gram)).withColumn("large", F.col("size") > SMALL)
+    total = lambda which: F.sum(F.when(which, 1).otherwise(0)).over(of_node)
+    cross = ~F.col("alike")
+    held = F.when(F.col("alike"), F.col("n")).when(F.col("large"), total(cross & F.col("large"))).otherwise(total(cross))
+    rows = rows.withColumn("held", held)
+    smaller, larger = F.min("n").over(of_gram), F.max("n").over(of_gram)
+    rows = rows.withColumn("least", F.least(_needed("n", F.least("n", smaller), percent), _needed("n", F.greatest("n", larger), percent)))
+    return rows.filter("held >= least")
+
+
+def _needed_exactly(n: str, m: str, percent: int):
+    """_needed() for two given sizes, in whole n-grams."""
+    n, m = F.col(n), F.col(m)
+    return F.ceil(percent * (n + m) / (100 + percent) - 1e-9) - F.ceil(percent * F.greatest(n, m) / 100 - 1e-9) + 1
+
+
+def _similar_sizes(n, m, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, lead) of each set and the first of its buckets that may be similar.
+
+    Both stand in a bucket only if its first set is the lead or a smaller one; so the set's large buckets with such
+    first sets bound how many prefix n-grams the two share, unless they meet in a small bucket.
+    """
+    free = ~F.col("large") | F.col("alike")
+    pairs = members.filter("node <> lead").groupBy("node", "lead").agg(
+        F.max(free).alias("free"), F.max("held").alias("held"), F.sum(F.when(free, 0).otherwise(1)).alias("w"), F.min("n").alias("n"), F.min("lead_n").alias("m")
+    )
+    through = F.sum("w").over(Window.partitionBy("node").orderBy("lead"))
+    able = pairs.withColumn("most", F.when(F.col("free"), F.col("held")).otherwise(through)).filter((F.col("most") >= _needed("n", "m", percent)) & _similar_sizes(F.col("n"), F.col("m"), percent))
+    return able.select("node", "lead")
+
+
+def _edges(linked: DataFrame) -> DataFrame:
+    return linked.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
+
+
+def _unresolved(known: DataFrame, linked: DataFrame) -> DataFrame:
+    """The buckets whose sets are in different components, with each set's component, home, and whether that is the first set's, inside."""
     homes = linked.select(F.col("vertex").alias("node"), F.col("component").alias("home"))
-    placed = members.join(homes, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    placed = known.drop("home", "inside").join(homes, "node", "left").withColumn("home", F.coalesce("home", "node"))
     of_gram = Window.partitionBy("gram")
-    mixed_up = placed.withColumn("lo", F.min("home").over(of_gram)).withColumn("hi", F.max("home").over(of_gram)).filter("lo < hi")
-    apart = (1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("apart")
-    far = mixed_up.join(tested.select("node", "lead", apart), ["node", "lead"], "left").select("gram", "node", "n", "lead", "home", F.coalesce("apart", F.lit(0.0)).alias("apart"))
     lead_home = F.max(F.when(F.col("node") == F.col("lead"), F.col("home"))).over(of_gram)
-    far = written(far.withColumn("inside", F.col("home") == lead_home), "far")
-    outside = far.filter(~F.col("inside"))
-    a, b = outside.alias("a"), far.filter("node <> lead").alias("b")
+    several = placed.withColumn("lo", F.min("home").over(of_gram)).withColumn("hi", F.max("home").over(of_gram)).withColumn("inside", F.col("home") == lead_home)
+    return several.filter("lo < hi").drop("lo", "hi")
+
+
+def _to_pivot(known: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (node, lead) of the sets still outside, and near enough to link, with the bucket's k-th closest set to its first: likely a central copy."""
+    closest = Window.partitionBy("gram", "inside").orderBy(F.asc_nulls_last("apart"), "node")
+    pivots = known.filter("node <> lead").withColumn("k", F.row_number().over(closest)).filter(f"inside and k = {k}").select("gram", F.col("node").alias("pivot"))
+    outside = known.filter(~F.col("inside") & (F.col("apart") <= 2 * (1 - percent / 100) + 1e-9))
+    return outside.join(pivots, "gram").select("node", F.col("pivot").alias("lead")).distinct()
+
+
+def _rest(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, lead) that share a prefix n-gram, are in different components and may yet be similar."""
+    # a set shares `least` of the `held` n-grams it could share, so one of the first held - least + 1 in any order
+    kind = Window.partitionBy("node", "large", "alike")
+    most = F.col("held") - F.min("least").over(kind) + 1
+    ranked = known.withColumn("few", (F.row_number().over(kind.orderBy("size", "gram")) <= most) | F.max("inside").over(Window.partitionBy("node")))
+    outside = ranked.filter(~F.col("inside") & F.col("few"))
+    a, b = outside.alias("a"), known.filter("node <> lead").alias("b")
     allowed = 1 - percent / 100 + 1e-9
     close = (
         (F.col("a.gram") == F.col("b.gram"))
         & (F.col("a.home") != F.col("b.home"))
         & (F.col("b.inside") | (F.col("a.node") < F.col("b.node")))
-        & (F.abs(F.col("a.apart") - F.col("b.apart")) <= allowed)
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        & (F.coalesce(F.abs(F.col("a.apart") - F.col("b.apart")), F.lit(0.0)) <= allowed)
+        & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
+        & (F.least("a.held", "b.held") >= _needed_exactly("a.n", "b.n", percent))
     )
     return a.join(b, close).select(F.col("a.node").alias("node"), F.col("b.node").alias("lead")).distinct()
