@@ -5,31 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import let, words_of, written
+from tidewater.llm.shared import WORD_GAP, let, written
 
 
-def _line_facts(line: Column, number: Column, min_words: int) -> Column:
-    """number, raw hash, two hashes of the words, and the half keys of a line; no words: key null."""
-
-    def facts(w: Column) -> Column:
-        n = F.size(w)
-
-        def halves(longer: Column) -> list[Column]:
-            """One word of `longer` words is changed or extra, so the other words before or after the middle are shared."""
-            before = F.floor((longer - 1) / 2).cast("int")
-            after = longer - 1 - before
-            return [F.xxhash64(longer, F.lit("before"), F.slice(w, F.lit(1), before)), F.xxhash64(longer, F.lit("after"), F.slice(w, n - after + 1, after))]
-
-        keys = F.when(n >= min_words, F.array(*halves(n), *halves(n + 1)))
-        return F.struct(
-            number.cast("long").alias("line_no"),
-            F.xxhash64(line).alias("raw"),
-            F.when(n > 0, F.xxhash64(w)).alias("key"),
-            F.when(n > 0, F.xxhash64(F.lit("second"), w)).alias("key2"),
-            keys.alias("halves"),
-        )
-
-    return let(words_of(F.lower(line)), facts)
+#: What a line shares with another one: its first and last words, only the first, only the last.
+BOTH, HEAD, TAIL = 0, 1, 2
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,50 +21,84 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 8, id_col: str = "doc_id",
     one edit is allowed if both lines have `min_words` words or more; shorter lines must have the same words.
 
     Lines with the same words first become one, at the earliest place. A line within one edit of another shares
-    all but one word, hence half of them, with it; lines that share a half with another one emit their
-    deletion neighbourhood: the hash of each variant with one word deleted, and of the whole. Variants that are equal at the same
+    its first or its last min_words / 2 words with it; lines that share those with another one emit their
+    deletion neighbourhood (where the edit can be, if they share only one end): the hash of each variant with one word deleted, and of the whole. Variants that are equal at the same
     place differ by a changed word there; a variant equal to a whole line by a missing word. Every member of
     such a group is paired with the group's earliest line only, and word arrays are compared.
 
     Null texts stay null and empty texts empty. Lines without a word stay. A null id sorts first.
-    Rows with the same id and text count as one document and get one result each. Extra columns stay; one named
-    line_dedup is replaced. An empty table gives an empty one.
+    Rows with the same id and text count as one document and get one result each; other texts of an id are other
+    documents. Extra columns stay; one named line_dedup is replaced. An empty table gives an empty one.
     """
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    numbered = text.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = numbered.select("doc_id", _line_facts(F.col("line"), F.col("n"), min_words).alias("f")).select("doc_id", "f.*").filter("key is not null")
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
+    each = _numbered(text, "doc_id", "tag").withColumn("words", F.array_remove(F.split("line", " "), "")).filter(F.size("words") > 0)
+    # of two lines one edit apart, the first or the last words are the same: as many as half of min_words, rounded down
+    half = min_words // 2
+    long = F.size("words") >= min_words
+    lines = each.select(
+        "doc_id",
+        "tag",
+        "line_no",
+        F.xxhash64("words").alias("key"),
+        F.xxhash64(F.lit("second"), "words").alias("key2"),
+        F.when(long, F.xxhash64(F.lit("first"), F.slice("words", 1, half))).alias("head"),
+        F.when(long, F.xxhash64(F.lit("last"), F.slice("words", -half, half))).alias("tail"),
+    )
     lines = written(lines, "lines")
-    at = F.struct("doc_id", "line_no", "raw")
-    distinct = written(lines.groupBy("key", "key2").agg(F.min(at).alias("first"), F.min("halves").alias("halves")), "distinct")
-
-    halves = distinct.select(F.explode("halves").alias("half"), "key", "first")
-    several = halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("half")
-    asked = halves.join(several, "half").select("first.*").distinct()
-    asked = asked.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "raw")).alias("asked")).withColumnRenamed("doc_id", "of")
-    chosen = text.join(asked, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "asked", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    spot = F.struct(F.col("n").cast("long").alias("line_no"), F.xxhash64("line").alias("raw"))
-    candidates = chosen.filter(F.array_contains("asked", spot)).select(F.struct("doc_id", F.col("n").cast("long").alias("line_no"), F.xxhash64("line").alias("raw")).alias("at"), words_of(F.lower("line")).alias("words"))
-    candidates = written(candidates.distinct(), "candidates")
-    near = _near(candidates)
-
-    first = distinct.select("key", "key2", "first")
-    repeated = lines.join(first, ["key", "key2"]).filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "line_no", "raw", F.lit(False).alias("near"))
-    gone = repeated.unionByName(near.select("at.*", F.lit(True).alias("near")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "raw", "near")).alias("gone")).withColumnRenamed("doc_id", "of")
-    joined = docs.drop("line_dedup").join(gone, F.col(id_col).eqNullSafe(F.col("of")), "left").drop("of")
+    at = F.struct("doc_id", "tag", "line_no")
+    same = ["key", "key2"]
+    distinct = written(lines.groupBy(*same).agg(F.min(at).alias("first"), F.min("head").alias("head"), F.min("tail").alias("tail")), "distinct")
+
+    # what a pair shares tells where its edit is: both ends, only the first words or only the last
+    shared = ((BOTH, F.xxhash64("head", "tail")), (HEAD, F.col("head")), (TAIL, F.col("tail")))
+    ends = F.array(*[F.struct(F.lit(kind).alias("kind"), half_key.alias("half")) for kind, half_key in shared])
+    halves = distinct.filter("head is not null").select(F.explode(ends).alias("e"), *same).select("e.*", *same)
+    several = halves.groupBy("kind", "half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("kind", "half")
+    asked = halves.join(several, ["kind", "half"]).groupBy(*same).agg(F.collect_set("kind").alias("kinds")).join(distinct, same)
+    asked = asked.select("first.doc_id", "first.tag", F.struct("first.line_no", "kinds").alias("line")).groupBy("doc_id", "tag").agg(F.collect_list("line").alias("asked"))
+    chosen = _numbered(_with(text, asked, ["doc_id", "tag"], "inner"), "doc_id", "tag", "asked")
+    chosen = chosen.withColumn("spot", F.array_position(F.transform("asked", lambda x: x["line_no"]), F.col("line_no")).cast("int")).filter("spot > 0")
+    found = chosen.select(at.alias("at"), F.array_remove(F.split("line", " "), "").alias("words"), F.element_at("asked", F.col("spot"))["kinds"].alias("kinds"))
+    candidates = written(found, "candidates")
+    near = written(_near(candidates, half), "near")
+
+    first = distinct.select(*same, "first")
+    repeated = lines.join(first, same).filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "tag", F.struct(F.col("line_no"), F.lit(False).alias("near")).alias("g"))
+    gone = repeated.unionByName(near.select("at.doc_id", "at.tag", F.struct(F.col("at.line_no").alias("line_no"), F.lit(True).alias("near")).alias("g")))
+    gone = gone.groupBy(F.col("doc_id").alias(id_col), F.col("tag").alias("_line_dedup_tag")).agg(F.collect_set("g").alias("_line_dedup_gone"))
+    tagged = docs.drop("line_dedup").withColumn("_line_dedup_tag", F.xxhash64(text_col))
+    joined = _with(tagged, gone, [id_col, "_line_dedup_tag"], "left")
     return _without(joined, text_col).select(*[c for c in docs.columns if c != "line_dedup"], "line_dedup")
 
 
-def _near(candidates: DataFrame) -> DataFrame:
-    """at of the candidates that are one edit from an earlier candidate."""
+def _numbered(text: DataFrame, *kept: str) -> DataFrame:
+    """(kept columns, line_no, line) of each line, lower-cased and with spaces for white space."""
+    plain = F.lower("text")
+    for gap in WORD_GAP.replace("\n", ""):
+        plain = F.replace(plain, F.lit(gap), F.lit(" "))
+    return text.select(*kept, F.posexplode(F.split(plain, "\n")).alias("n", "line")).select(*kept, F.col("n").cast("long").alias("line_no"), "line")
 
-    def neighbourhood(w: Column) -> Column:
-        n = F.size(w)
-        whole = F.struct(F.lit(0).alias("place"), F.xxhash64(w).alias("variant"))
-        without = lambda i: F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n)))
-        return F.array_append(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), without(i).alias("variant"))), whole)
 
-    variants = candidates.select("at", F.explode(let(F.col("words"), neighbourhood)).alias("v")).select("at", "v.*")
+def _with(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """left joined with right's other columns by keys that may be null."""
+    named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(named, same[0] & same[1], how).drop(*[f"_{k}" for k in keys])
+
+
+def _near(candidates: DataFrame, half: int) -> DataFrame:
+    """at of the candidates that are one edit from an earlier candidate."""
+    candidates = candidates.dropDuplicates(["at"])
+    word = candidates.select("at", "kinds", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
+    # a variant's hash is the xor of its words', each with its place: those before the deleted word keep theirs, those after it move up
+    so_far, line = Window.partitionBy("at").orderBy("p").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("at")
+    placed = word.withColumn("a", F.xxhash64("word", "p")).withColumn("b", F.xxhash64("word", F.col("p") - 1))
+    summed = placed.select("at", "kinds", "n", "p", "a", F.bit_xor("a").over(so_far).alias("a_to"), F.bit_xor("b").over(so_far).alias("b_to"), F.bit_xor("a").over(line).alias("a_all"), F.bit_xor("b").over(line).alias("b_all"))
+    rest = F.col("a_to").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b_all")).bitwiseXOR(F.col("b_to"))
+    has, place = lambda kind: F.array_contains("kinds", kind), F.col("p") + 1
+    asked = has(BOTH) | (has(HEAD) & (place >= F.col("n") - half)) | (has(TAIL) & (place <= half + 1))
+    both = F.array(F.when(asked, F.struct(place.alias("place"), rest.alias("variant"))), F.when(F.col("p") == 0, F.struct(F.lit(0).alias("place"), F.col("a_all").alias("variant"))))
+    variants = summed.select("at", F.explode(F.filter(both, lambda v: v.isNotNull())).alias("v")).select("at", "v.*")
     deleted, whole = F.col("place") > 0, F.col("place") == 0
     equal = Window.partitionBy("variant")
     seen = variants.select(
@@ -93,8 +107,8 @@ def _near(candidates: DataFrame) -> DataFrame:
         F.when(deleted, F.min(F.when(whole, F.col("at"))).over(equal)).otherwise(F.min(F.when(deleted, F.col("at"))).over(equal)).alias("missing"),
     )
     pairs = seen.select("at", F.explode(F.array("changed", "missing")).alias("earlier")).filter("earlier is not null and earlier < at").distinct()
-    words = candidates.select(F.col("at").alias("earlier"), F.col("words").alias("earlier_words"))
-    both = pairs.join(candidates, "at").join(words, "earlier")
+    texts = candidates.select("at", "words")
+    both = pairs.join(texts, "at").join(texts.select(F.col("at").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
     return both.filter(_one_edit(F.col("words"), F.col("earlier_words"))).select("at").distinct()
 
 
@@ -112,15 +126,10 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def _without(joined: DataFrame, text_col: str) -> DataFrame:
     """Takes the lines in `gone` out of the text."""
-
-    def cut(gone: Column) -> Column:
-        lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(x.alias("line"), F.struct(i.cast("long").alias("line_no"), F.xxhash64(x).alias("raw")).alias("at")))
-        kept = F.transform(F.filter(lines, lambda x: ~F.array_contains(F.transform(gone, lambda g: F.struct(g["line_no"], g["raw"])), x["at"])), lambda x: x["line"])
-        return F.array_join(kept, "\n")
-
-    count = lambda near: F.coalesce(F.size(F.filter("gone", lambda g: g["near"] == near)), F.lit(0)).cast("long")
-    n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long")
+    numbers = lambda g: F.transform(g, lambda x: x["line_no"])
+    cut = let(numbers(F.col("_line_dedup_gone")), lambda g: F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(g, i.cast("long"))), "\n"))
+    count = lambda near: F.coalesce(F.size(F.filter("_line_dedup_gone", lambda g: g["near"] == near)), F.lit(0)).cast("long")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long")
     facts = F.struct(n_lines.alias("n_lines"), count(False).alias("n_repeated"), count(True).alias("n_near"))
-    # the lines of a text go only if they are this text's, so counts follow what is left
-    text = F.when(F.col("gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(let(F.col("gone"), cut))
-    return joined.withColumn("line_dedup", facts).withColumn(text_col, text).drop("gone")
+    text = F.when(F.col("_line_dedup_gone").isNull(), F.col(text_col)).otherwise(cut)
+    return joined.withColumn("line_dedup", facts).withColumn(text_col, text).drop("_line_dedup_gone", "_line_dedup_tag")
