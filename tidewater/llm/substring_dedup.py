@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.shared import as_bytes, mixed, window_hashes, word_hashes, written
 
 #: Words of the short k-mers whose local minima anchor the windows.
-ANCHOR = 5
+ANCHOR = 10
 
 
 def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -67,6 +67,8 @@ def _asked(docs: DataFrame, window: int) -> DataFrame:
             first = np.append(True, value[1:] != value[:-1])
             twice = np.add.reduceat(np.ones(len(value), np.int64), np.flatnonzero(first))[np.cumsum(first) - 1] > 1
             other = first | (np.append(True, owner[1:] != owner[:-1]))
+            # by document, so that neighbours in a shuffle block repeat the id and compress
+            other = np.flatnonzero(other)[np.argsort(owner[other], kind="stable")]
             value, owner, first, twice = value[other], owner[other], first[other], twice[other]
             ids = batch.column(0).take(pa.array(owner))
             key = np.where(first, value, value ^ _id_mix(batch.column(0))[owner])
@@ -82,7 +84,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     def pack(batches):
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = pa.array([None if t is None else z.compress(t) for t in as_bytes(batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc_id", "packed"])
@@ -99,11 +101,12 @@ def _known_anchors(ids: pa.Array, known: pa.Array) -> list[np.ndarray]:
     return np.split(key, np.cumsum(sizes)[:-1])
 
 
-_POINT = "doc_id {0}, tag long, start long, length long, from_id {0}, from_tag long, from_start long"
+#: A spot is the checksum of a text and a place in it, in one number that grows with the place.
+_PLACE_BITS = 31
 
 
 def _edges(found: DataFrame, window: int) -> DataFrame:
-    """The windows over repeated anchors, the graph's edges: rows of _POINT and key, settled.
+    """The windows over repeated anchors, the graph's edges: (key, settled, doc_id, spot, length).
 
     A batch keeps an edge's first place; it asks for an earlier one by its key. The edge's other places
     are repeated for certain: they are compacted to paths and settled here, their words compared.
@@ -116,10 +119,11 @@ def _edges(found: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             packed, anchors = batch.column(1).to_pylist(), _known_anchors(ids, batch.column(2))
-            keys, places, owners, tags, hashes = [], [], [], [], []
+            keys, places, owners, hashes = [], [], [], []
+            tags = np.zeros(len(ids), np.int64)
             for k, (p, a) in enumerate(zip(packed, anchors, strict=True)):
-                text = z.decompress(p)
-                tags.append(zlib.crc32(text))
+                text = z.decompress(p) if p is not None else b""
+                tags[k] = zlib.crc32(text)
                 own = word_hashes(text.split())
                 hashes.append(own)
                 if len(own) < window:
@@ -130,40 +134,42 @@ def _edges(found: DataFrame, window: int) -> DataFrame:
                 owners.append(np.full(len(at), k, np.int64))
             if not keys:
                 continue
-            key, place, owner, tag = np.concatenate(keys), np.concatenate(places), np.concatenate(owners), np.array(tags, np.int64)
-            by_id = np.lexsort((tag, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)))
-            rank = np.empty(len(by_id), np.int64)
-            same = np.zeros(len(by_id), bool)
-            id_list = ids.to_pylist()
-            for j in range(1, len(by_id)):
-                a, b = by_id[j - 1], by_id[j]
-                same[j] = id_list[a] == id_list[b] and tag[a] == tag[b]
-            rank[by_id] = np.cumsum(~same)
+            key, place, owner = np.concatenate(keys), np.concatenate(places), np.concatenate(owners)
+            rank = _ranks(ids, tags)
             order = np.lexsort((place, rank[owner], key))
             key, place, owner = key[order], place[order], owner[order]
             first = np.append(True, key[1:] != key[:-1])
             source = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             # a repeated row of the same document is not earlier
             asks = first | ((rank[owner] == rank[owner[source]]) & (place == place[source]))
-            n = int(asks.sum())
-            point = [ids.take(pa.array(owner[asks])), pa.array(tag[owner[asks]]), pa.array(place[asks]), pa.array(np.ones(n, np.int64))]
-            nothing = [pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*point, *nothing, pa.array(key[asks].view(np.int64)), pa.array(np.zeros(n, bool))], _NAMES)
             rest = ~asks
-            o, s, fo, fs = owner[rest], place[rest], owner[source[rest]], place[source[rest]]
-            o, s, size, fo, fs = _paths(o, s, fo, fs)
+            asks = np.flatnonzero(asks)[np.lexsort((place[asks], owner[asks]))]
+            spot = tags[owner] << _PLACE_BITS | place
+            yield _edge_rows(ids, key[asks].view(np.int64), False, owner[asks], spot[asks], np.ones(len(asks), np.int64))
+            o, s, size, fo, fs = _paths(owner[rest], place[rest], owner[source[rest]], place[source[rest]])
             equal = [np.array_equal(hashes[a][b : b + m + window - 1], hashes[c][d : d + m + window - 1]) for a, b, m, c, d in zip(o, s, size, fo, fs, strict=True)]
             equal = np.array(equal, bool)
             o, s, size = o[equal], s[equal], size[equal]
             scatter = mixed(_id_mix(ids)[o] ^ s.astype(np.uint64)).view(np.int64)
-            nothing = [pa.nulls(len(o), ids.type), pa.nulls(len(o), pa.int64()), pa.nulls(len(o), pa.int64())]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(o)), pa.array(tag[o]), pa.array(s), pa.array(size), *nothing, pa.array(scatter), pa.array(np.ones(len(o), bool))], _NAMES)
+            yield _edge_rows(ids, scatter, True, o, tags[o] << _PLACE_BITS | s, size)
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(edges, _POINT.format(kind) + ", key long, settled boolean")
+    return found.mapInArrow(edges, f"key long, settled boolean, doc_id {kind}, spot long, length long")
+
 
+def _edge_rows(ids: pa.Array, key, settled: bool, owner, spot, length) -> pa.RecordBatch:
+    columns = [pa.array(key), pa.array(np.full(len(key), settled)), ids.take(pa.array(owner)), pa.array(spot), pa.array(length)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "settled", "doc_id", "spot", "length"])
 
-_NAMES = ["doc_id", "tag", "start", "length", "from_id", "from_tag", "from_start", "key", "settled"]
+
+def _ranks(ids: pa.Array, tags: np.ndarray) -> np.ndarray:
+    """Numbers that order (id, tag) as Spark does, null ids first; equal for equal ones."""
+    known, value = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((tags, value, known))
+    columns = np.stack([known[order].astype(np.int64), value[order].astype(np.int64), tags[order]])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)))
+    return rank
 
 
 def _paths(owner, start, from_owner, from_start):
@@ -180,33 +186,26 @@ def _paths(owner, start, from_owner, from_start):
 
 def _removed_edges(edges: DataFrame) -> DataFrame:
     """Edges whose first place in the corpus is another one, with that place; settled paths as they are."""
-    at = F.struct("doc_id", "tag", "start")
+    at = F.struct("doc_id", "spot")
     first = edges.withColumn("first", F.min(at).over(Window.partitionBy("key", "settled")))
     removed = first.filter(F.col("settled") | ~at.eqNullSafe(F.col("first")))
-    source = [F.when(~F.col("settled"), F.col("first")[c]).alias(f"from_{n}") for c, n in (("doc_id", "id"), ("tag", "tag"), ("start", "start"))]
-    return removed.select("doc_id", "tag", "start", "length", *source, "settled")
+    return removed.select("doc_id", "spot", "length", "settled", F.when(~F.col("settled"), F.col("first")["doc_id"]).alias("from_id"), F.when(~F.col("settled"), F.col("first")["spot"]).alias("from_spot"))
 
 
 def _compacted(removed: DataFrame) -> DataFrame:
     """Nonbranching paths: runs of removed edges that follow each other in the document and in the source."""
-    by_doc = Window.partitionBy("doc_id", "tag").orderBy("start")
-    follows = (
-        ~F.col("settled")
-        & (F.lag("start").over(by_doc) == F.col("start") - 1)
-        & F.lag("from_id").over(by_doc).eqNullSafe(F.col("from_id"))
-        & (F.lag("from_tag").over(by_doc) == F.col("from_tag"))
-        & (F.lag("from_start").over(by_doc) == F.col("from_start") - 1)
-    )
+    by_doc = Window.partitionBy("doc_id").orderBy("spot")
+    before = lambda c: F.lag(c).over(by_doc)
+    follows = (before("spot") == F.col("spot") - 1) & before("from_id").eqNullSafe(F.col("from_id")) & (before("from_spot") == F.col("from_spot") - 1)
     marked = removed.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
     path = marked.withColumn("path", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("start", "from_id", "from_tag", "from_start")).alias("head")
-    made = path.groupBy("doc_id", "tag", "path").agg(first, F.sum("length").alias("length"), F.first("settled").alias("settled"))
-    return made.select("doc_id", "tag", "head.*", "length", "settled")
+    head = F.min(F.struct("spot", "from_id", "from_spot", "settled")).alias("head")
+    return path.groupBy("doc_id", "path").agg(head, F.sum("length").alias("length")).select("doc_id", "head.*", "length")
 
 
 def _source_digests(paths: DataFrame, packed: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tag, start, length, digest): each path with the digest of its words at the source."""
-    per_source = paths.filter("not settled").groupBy("from_id").agg(F.collect_list(F.struct("from_tag", "from_start", "doc_id", "tag", "start", "length")).alias("paths"))
+    """(doc_id, spot, length, digest): each path with the digest of its words at the source."""
+    per_source = paths.filter("not settled").groupBy("from_id").agg(F.collect_list(F.struct("from_spot", "doc_id", "spot", "length")).alias("paths"))
 
     def digests(batches):
         import xxhash
@@ -216,20 +215,20 @@ def _source_digests(paths: DataFrame, packed: DataFrame, window: int) -> DataFra
         for batch in batches:
             rows = []
             for p, paths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = z.decompress(p)
+                text = z.decompress(p) if p is not None else b""
                 tag, words = zlib.crc32(text), text.split()
                 for x in paths:
-                    if x["from_tag"] == tag:
-                        span = b" ".join(words[x["from_start"] : x["from_start"] + x["length"] + window - 1])
-                        rows.append((x["doc_id"], x["tag"], x["start"], x["length"], xxhash.xxh3_128_digest(span)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "tag", "start", "length", "digest"])
+                    if x["from_spot"] >> _PLACE_BITS == tag:
+                        start = x["from_spot"] & ((1 << _PLACE_BITS) - 1)
+                        rows.append((x["doc_id"], x["spot"], x["length"], xxhash.xxh3_128_digest(b" ".join(words[start : start + x["length"] + window - 1]))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            types = [id_type, pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "spot", "length", "digest"])
 
     kind = packed.schema["doc_id"].dataType
     id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32()
-    joined = packed.filter("packed is not null").join(per_source, packed["doc_id"].eqNullSafe(per_source["from_id"])).select("packed", "paths")
-    return joined.mapInArrow(digests, f"doc_id {kind.simpleString()}, tag long, start long, length long, digest binary")
+    joined = packed.join(per_source, packed["doc_id"].eqNullSafe(per_source["from_id"])).select("packed", "paths")
+    return joined.mapInArrow(digests, f"doc_id {kind.simpleString()}, spot long, length long, digest binary")
 
 
 def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +239,7 @@ def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
 
     Windows are the edges of a graph of k-mers. Two windows can be equal only if their anchors are,
     the least short k-mers in them; so first the anchors are counted, about two
-    to seventeen words, and only windows with a repeated anchor become
+    to twelve words, and only windows with a repeated anchor become
     edges. Every batch keeps an edge's first place and settles the others, so a
     hot edge or anchor is one row a batch in the shuffle. Repeated edges that follow each other
     in a document and at their source are compacted to a path, and a path's words are compared with those at
@@ -258,12 +257,12 @@ def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
     known = asked.filter("settled or any or n > 1").select("doc_id", "key", "settled")
     anchors = written(known.groupBy("doc_id").agg(F.collect_list(F.struct("key", "settled")).alias("known")), "anchors")
     packed = _packed(docs)
-    found = packed.filter("packed is not null").join(anchors.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
+    found = packed.join(anchors.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
     paths = written(_compacted(_removed_edges(_edges(found.select("doc_id", "packed", "known"), window))), "paths")
 
-    settled = paths.filter("settled").select("doc_id", "tag", "start", "length", F.lit(None).cast("binary").alias("digest"))
+    settled = paths.filter("settled").select("doc_id", "spot", "length", F.lit(None).cast("binary").alias("digest"))
     spans = settled.unionByName(_source_digests(paths, packed, window))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "length", "digest")).alias("spans"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("spot", "length", "digest")).alias("spans"))
     cut = packed.join(spans.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "packed", "spans")
 
     def kept(batches):
@@ -281,8 +280,9 @@ def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
                 tag, words = zlib.crc32(text), text.split()
                 keep = np.ones(len(words), bool)
                 for x in spans or ():
-                    a, b = x["start"], x["start"] + x["length"] + window - 1
-                    if x["tag"] == tag and (x["digest"] is None or x["digest"] == xxhash.xxh3_128_digest(b" ".join(words[a:b]))):
+                    a = x["spot"] & ((1 << _PLACE_BITS) - 1)
+                    b = a + x["length"] + window - 1
+                    if x["spot"] >> _PLACE_BITS == tag and (x["digest"] is None or x["digest"] == xxhash.xxh3_128_digest(b" ".join(words[a:b]))):
                         keep[a:b] = False
                 rows.append((b" ".join(compress(words, keep)).decode(), len(words), int((~keep).sum())))
             texts, n, gone = zip(*rows, strict=True) if rows else ((), (), ())
