@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occur earlier; those without a word left go."""
-    kept = dedup_lines(docs).drop("line_dedup").filter(F.col("text").rlike(SAYS))
+    """Documents without lines that occur earlier, up to one edit in ten words; those without a word left go."""
+    kept = dedup_lines(docs, words_per_edit=10).drop("line_dedup").filter(F.col("text").rlike(SAYS))
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 

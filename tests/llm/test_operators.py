@@ -215,6 +215,48 @@ def test_line_dedup(spark, docs, empty, rows):
     assert dedup_lines(empty).count() == 0
 
 
+def units_of(line):
+    return re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\s\u3040-\u30ff\u4e00-\u9fff]+", line.lower())
+
+
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_line_dedup_budget_grows(spark):
+    rng = random.Random(11)
+    lines = []
+    for n in (20, 29, 30, 47, 64, 100):
+        base = [f"w{rng.randint(0, 900)}" for _ in range(n)]
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, n // 10 + 2)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], [f"x{rng.randint(0, 9)}"], [w[at], "y"]])
+            lines.append(" ".join(w))
+    unspaced = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(40))
+    lines += [unspaced, "一二三" + unspaced[3:], "一二三四五六七" + unspaced[7:]]
+    rng.shuffle(lines)
+    rows = [(d, "\n".join(lines[d * 5 : d * 5 + 5])) for d in range(-(-len(lines) // 5))]
+    gone, units = set(), [units_of(x) for x in lines]
+    for n, a in enumerate(units):
+        for b in units[:n]:
+            if a == b or one_edit(a, b) and lines[n].count(" ") > 6 or word_edits(a, b) <= min(len(a), len(b)) // 10:
+                gone.add(n)
+    expected = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if d * 5 + k not in gone) for d, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dedup_lines(df, words_per_edit=10)
+    assert {r.doc_id: r.text for r in got.collect()} == expected
+    assert got.agg(F.sum("line_dedup.n_near")).first()[0] > dedup_lines(df).agg(F.sum("line_dedup.n_near")).first()[0] > 0
+    assert dedup_lines(df.limit(0), words_per_edit=10).count() == 0
+
+
 def test_token_counts(docs, empty, rows):
     tok = Tokenizer.from_file(PATH)
     expected = {d: len(tok.encode(t or "", add_special_tokens=False).ids) for d, t in rows}

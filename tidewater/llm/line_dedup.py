@@ -11,8 +11,11 @@ from tidewater.llm.shared import WORD_GAP, let, written
 #: What a line shares with another one: its first and last words, only the first, only the last.
 BOTH, HEAD, TAIL = 0, 1, 2
 
+#: A character of a script that sets no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def dedup_lines(docs: DataFrame, *, min_words: int = 8, words_per_edit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""Removes each line that an earlier line of the corpus (smaller id, or same document and line before) repeats with at
     most one word changed, missing or extra: docs with `text` replaced and one struct column `line_dedup`
     (n_lines, n_repeated, n_near; long). Lines are parted by \n and judged on the input, not on what is left.
@@ -26,6 +29,9 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 8, id_col: str = "doc_id",
     place differ by a changed word there; a variant equal to a whole line by a missing word. Every member of
     such a group is paired with the group's earliest line only, and word arrays are compared.
 
+    With `words_per_edit` w, a line of n units is also removed if it is within n // w edits of an earlier line; both have
+    2 w units or more, and n is the smaller count. A unit is a word, and each character of a script without spaces. _wide() says how.
+
     Null texts stay null and empty texts empty. Lines without a word stay. A null id sorts first.
     Rows with the same id and text count as one document and get one result each; other texts of an id are other
     documents. Extra columns stay; one named line_dedup is replaced. An empty table gives an empty one.
@@ -61,6 +67,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 8, id_col: str = "doc_id",
     found = chosen.select(at.alias("at"), F.array_remove(F.split("line", " "), "").alias("words"), F.element_at("asked", F.col("spot"))["kinds"].alias("kinds"))
     candidates = written(found, "candidates")
     near = written(_near(candidates, half), "near")
+    if words_per_edit:
+        near = near.unionByName(_wide(_units(text, 2 * words_per_edit), words_per_edit)).distinct()
 
     first = distinct.select(*same, "first")
     repeated = lines.join(first, same).filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "tag", F.struct(F.col("line_no"), F.lit(False).alias("near")).alias("g"))
@@ -124,6 +132,58 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
+def _units(text: DataFrame, least: int) -> DataFrame:
+    """(at, h, n): the units' hashes of each distinct line of `least` units or more, at its earliest place."""
+    each = _numbered(text, "doc_id", "tag").withColumn("words", F.array_remove(F.split("line", " "), ""))
+    apart = F.regexp_extract_all("line", F.lit(rf"{UNSPACED}|(?:(?!{UNSPACED})[^ ])+"), F.lit(0))
+    each = each.withColumn("units", F.when(F.col("line").rlike(UNSPACED), apart).otherwise(F.col("words"))).filter(F.size("units") >= least)
+    one = F.struct(F.struct("doc_id", "tag", "line_no").alias("at"), F.transform("units", lambda u: F.xxhash64(u)).alias("h"))
+    first = each.groupBy(F.xxhash64("words").alias("key"), F.xxhash64(F.lit("second"), "words").alias("key2")).agg(F.min(one).alias("one"))
+    return written(first.select("one.at", "one.h", F.size("one.h").alias("n")), "units")
+
+
+def _wide(lines: DataFrame, per_edit: int) -> DataFrame:
+    """at of the lines (at, h, n) that are within n // per_edit edits of an earlier one, n the smaller count.
+
+    k edits leave one of k + 1 separate blocks of the later line as it is, and the earlier line has the same run. Of a
+    block's two windows, each one unit shorter, the smaller hash is asked for; a line is listed under each window that is not
+    larger than both beside it, so under all that can be asked for. A line asks by its k + 1 blocks that the fewest lines have. The earliest
+    line of a window is tried first; what that settles is not compared with the others.
+    """
+    run = 2 * per_edit // 3
+    windows = F.transform(F.sequence(F.lit(1), F.col("n") - run + 2), lambda i: F.xxhash64(F.slice("h", i, run - 1)))
+    hashed = lines.select("at", "n", windows.alias("g"))
+    beside = lambda g, i: F.coalesce(F.get("g", i), F.lit(-(1 << 63)))
+    listed = F.array_distinct(F.filter("g", lambda g, i: (g <= beside(g, i - 1)) | (g <= beside(g, i + 1))))
+    index = written(hashed.select(F.explode(listed).alias("g"), F.struct("at", "n").alias("by")), "index")
+    counts = index.groupBy("g").agg(F.count("*").alias("of"), F.min("by").alias("first")).filter("of > 1")
+    block = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / run).cast("int") - 1), lambda b: F.least(F.get("g", b * run), F.get("g", b * run + 1)))
+    blocks = hashed.select("at", "n", F.posexplode(block).alias("b", "g")).join(counts, "g", "left")
+    place = F.row_number().over(Window.partitionBy("at").orderBy(F.coalesce("of", F.lit(0)), "b"))
+    # blocks of no other line count as asked: they are the rarest
+    asked = written(blocks.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") / per_edit) + 1).filter("of > 1").select("at", "n", "g", "first"), "asked")
+    pair = F.struct(F.col("by.at").alias("at"), F.col("by.n").alias("n"))
+    quick = written(_within(asked.select("at", "n", F.col("first").alias("by")).select("at", "n", pair.alias("by")), lines, per_edit), "quick")
+    rest = asked.join(quick, "at", "left_anti").select("at", "n", "g").join(index, "g").select("at", "n", "by")
+    return quick.unionByName(written(_within(rest, lines, per_edit), "rest"))
+
+
+def _within(pairs: DataFrame, lines: DataFrame, per_edit: int) -> DataFrame:
+    """at of the pairs (at, n, by struct<at, n>) whose second line is earlier and within the budget."""
+    budget = F.floor(F.least("n", "by.n") / per_edit).cast("int")
+    some = pairs.filter((F.col("by.at") < F.col("at")) & (F.abs(F.col("n") - F.col("by.n")) <= budget))
+    some = some.select("at", F.col("by.at").alias("earlier"), budget.alias("most")).distinct()
+    said = lines.select("at", "h")
+    both = some.join(said, "at").join(said.select(F.col("at").alias("earlier"), F.col("h").alias("e")), "earlier")
+    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(x + 0x10000), 8, "0")), "UTF-32")
+    # letters of hashes never make a distance longer; what they leave is compared with a letter for each unit of the pair
+    rough = lambda h: F.array_join(F.transform(h, lambda x: letter(F.pmod(x, F.lit(1_000_000)))), "")
+    both = both.filter(F.levenshtein(rough("h"), rough("e")) <= F.col("most"))
+    exact = lambda h, all_: F.array_join(F.transform(h, lambda x: letter(F.array_position(all_, x))), "")
+    known = both.withColumn("all", F.array_distinct(F.concat("h", "e")))
+    return known.filter(F.levenshtein(exact("h", F.col("all")), exact("e", F.col("all"))) <= F.col("most")).select("at").distinct()
+
+
 def _without(joined: DataFrame, text_col: str) -> DataFrame:
     """Takes the lines in `gone` out of the text."""
     numbers = lambda g: F.transform(g, lambda x: x["line_no"])
