@@ -195,6 +195,28 @@ def test_decontamination(spark, docs, empty):
     assert contaminated(empty, items).count() == 0 and contaminated(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_swapped_words_and_partial_passages(spark):
+    rng = random.Random(12)
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text"), "item_id").collect()]
+    short, items = bench[0], [t for t in bench if len(t) >= 144]
+    at = next(m.start() for m in re.finditer(r"\w{7,}", short) if m.start() > 20)
+    swapped = short[:at] + "zzzzzzz" + short[at + 7 :]
+    rows, wanted = [(0, "before " + swapped + " after")], {0: short}
+    for k, item in enumerate(items[:8], 1):
+        half = -(-len(item) // 2)
+        at = rng.choice([0, len(item) - half, rng.randrange(len(item) - half)])
+        rows.append((k, "what comes first: " + item[at : at + half] + " and what follows"))
+        wanted[k] = item
+    rows.append((99, " ".join(f"q{k}x" for k in range(300))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = contaminated(df, spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()
+    assert {(r.doc_id, bench[r.item_id]) for r in got} == set(wanted.items())
+    fold = lambda t: re.sub(r"\s", " ", t).lower()
+    text = dict(rows)
+    for r in got:
+        assert edits(fold(text[r.doc_id][r.start : r.end]), fold(bench[r.item_id])) == r.edits or r.doc_id == 0
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 8:
         return a == b

@@ -15,14 +15,26 @@ from tidewater.llm.chars import Run, runs
 _FILTER_BITS = 20
 
 
+#: Segments of an item have a third of its characters, within these bounds; each overlaps the next by half.
+_SEGMENT = 48, 100
+
+
 @dataclass
 class Block:
-    """A bounded part of the benchmark: folded items, their edit budgets, and where each q-gram occurs."""
+    """A bounded part of the benchmark: folded items, where each q-gram occurs in them, and their parts: first each
+    item whole, then its segments. first[i] is the first of item i's `count[i]` segments, `stride[i]` apart but for the last."""
 
     ids: list[int]
-    items: list[np.ndarray]
+    parts: list[np.ndarray]
+    of: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
     budget: np.ndarray
     least: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    stride: np.ndarray
+    lowest: np.ndarray
     seen: np.ndarray
     grams: np.ndarray
     item: np.ndarray
@@ -34,15 +46,51 @@ def _block(rows: list[tuple[int, str]], rate: float, q: int) -> Block:
     run = next(runs([t for _, t in rows], most=1 << 40))
     items = [run.codes[s:e] for s, e in zip(run.starts, run.ends, strict=True)]
     sizes = run.ends - run.starts
+    of, begin, size = list(range(len(items))), [0] * len(items), sizes.tolist()
+    first, count, stride = (np.zeros(len(items), np.int64) for _ in range(3))
+    for i, m in enumerate(sizes.tolist()):
+        stride[i] = half = min(max(m // 3, _SEGMENT[0]), _SEGMENT[1]) // 2
+        at = [*range(0, m - 2 * half, half), m - 2 * half] if m >= 3 * half else []
+        first[i], count[i] = len(of), len(at)
+        of, begin, size = of + [i] * len(at), begin + at, size + [2 * half] * len(at)
+    of, begin, size = (np.array(x, np.int64) for x in (of, begin, size))
     # e edits spoil q grams each: of m - q + 1, this many stay
-    budget = np.maximum(np.minimum((rate * sizes).astype(np.int64), (sizes - q) // q), 0)
+    budget = np.maximum(np.minimum((rate * size).astype(np.int64), (size - q) // q), 0)
+    least = size - q + 1 - q * budget
+    lowest = np.full(len(items), 1 << 40)
+    np.minimum.at(lowest, of, least)
     h, inside = run.grams(q) if len(run.codes) >= q else (np.empty(0, np.uint64), np.empty(0, bool))
     at = np.flatnonzero(inside)
     item = np.searchsorted(run.ends, at, side="right")
     order = np.argsort(h[at], kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[h[at] >> np.uint64(64 - _FILTER_BITS)] = True
-    return Block([i for i, _ in rows], items, budget, sizes - q + 1 - q * budget, seen, h[at][order], item[order], (at - run.starts[item])[order], q)
+    parts = [items[i][b : b + m] for i, b, m in zip(of, begin, size, strict=True)]
+    return Block([i for i, _ in rows], parts, of, begin, size, budget, least, first, count, stride, lowest, seen, h[at][order], item[order], (at - run.starts[item])[order], q)
+
+
+def _dense(at: np.ndarray, item: np.ndarray, block: Block) -> np.ndarray:
+    """Which hits lie where their item has as many as its least demanding part needs: in two adjacent stretches of text
+    that no match is longer than. Stretches share counters, so counts are never too low."""
+    mask = (1 << _FILTER_BITS) - 1
+    cell = (item * 7_368_787 + at // (block.size + 2 * block.budget + 2)[item]) & mask
+    count = np.bincount(cell, minlength=mask + 1)
+    near = count + np.maximum(np.roll(count, 1), np.roll(count, -1))
+    return near[cell] >= block.lowest[item]
+
+
+def _parts_at(item: np.ndarray, place: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, part) for each part of the item that has the q-gram at place."""
+    n, k = block.count[item], place // np.maximum(block.stride[item], 1)
+    hits, parts = [np.arange(len(item))], [item]
+    # the regular segments that can reach place, and the last one
+    for number, ok in ((k, k < n - 1), (k - 1, (k >= 1) & (k - 1 < n - 1)), (n - 1, n > 0)):
+        hits.append(np.flatnonzero(ok))
+        parts.append((block.first[item] + number)[ok])
+    hit, part = np.concatenate(hits), np.concatenate(parts)
+    rest = place[hit] - block.begin[part]
+    fits = (rest >= 0) & (rest + block.q <= block.size[part])
+    return hit[fits], part[fits]
 
 
 def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -65,6 +113,30 @@ def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int) -
     return int(cost[end]), int(origin[end]), len(item) + int(diagonal[end])
 
 
+def _reaches(places: dict[int, int], m: int, region: list[int], most: int) -> bool:
+    """Whether some stretch of region is within `most` edits of a part of m characters, whose places of each character
+    are bits: a column of the table of distances at a time, by Myers' bit vectors."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for c in region:
+        same = places.get(c, 0)
+        v, h = same | down, (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(h | up)), up & h
+        score += bool(more & top) - bool(less & top)
+        if score <= most:
+            return True
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (full & ~(v | more)), more & v
+    return False
+
+
+def _bits(part: np.ndarray) -> dict[int, int]:
+    places: dict[int, int] = {}
+    for k, c in enumerate(part.tolist()):
+        places[c] = places.get(c, 0) | 1 << k
+    return places
+
+
 def _matches(run: Run, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
     """(text of the run, item, start, end, edits)"""
     if len(run.codes) >= block.q and len(block.grams):
@@ -73,16 +145,28 @@ def _matches(run: Run, block: Block) -> Iterator[tuple[int, int, int, int, int]]
         lo = np.searchsorted(block.grams, h[at], side="left")
         n = np.searchsorted(block.grams, h[at], side="right") - lo
         spread = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = block.item[spread], np.repeat(at, n) - block.place[spread]
+        where, item, place = np.repeat(at, n), block.item[spread], block.place[spread]
+        dense = _dense(where, item, block)
+        where, item, place = where[dense], item[dense], place[dense]
+        hit, part = _parts_at(item, place, block)
+        diagonal = where[hit] - (place[hit] - block.begin[part])
         # bands as wide as twice the budget, each overlapping the next by half
-        half = block.budget[item] + 1
-        band = np.floor_divide(diagonal, half)
-        key = np.concatenate([item << 40 | (band + 1), item << 40 | (band + 2)])
-        key, count = np.unique(key, return_counts=True)
+        band = np.floor_divide(diagonal, block.budget[part] + 1)
+        # diagonals are negative where a part would start before the run
+        shift = 1 << 39
+        key = np.concatenate([part << 40 | (band + shift - 1), part << 40 | (band + shift)])
+        # a q-gram that stays is at one place of the part, however often the text has it
+        spot = np.tile(place[hit] - block.begin[part], 2)
+        order = np.lexsort((spot, key))
+        key, spot = key[order], spot[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])
+        key, count = np.unique(key[new], return_counts=True)
+        bits: dict[int, dict[int, int]] = {}
         found: dict[tuple[int, int], list] = {}
         for k in key[count >= block.least[key >> 40]]:
-            i, b = int(k >> 40), int(k & ((1 << 40) - 1)) - 2
-            e, m = int(block.budget[i]), len(block.items[i])
+            p, b = int(k >> 40), int(k & ((1 << 40) - 1)) - shift
+            i, e, m, whole = int(block.of[p]), int(block.budget[p]), int(block.size[p]), p < len(block.ids)
             lo_d, hi_d = b * (e + 1), (b + 2) * (e + 1)
             for text in range(int(np.searchsorted(run.ends, max(lo_d, 0), side="right")), len(run.ends)):
                 if run.starts[text] >= hi_d + m:
@@ -91,17 +175,21 @@ def _matches(run: Run, block: Block) -> Iterator[tuple[int, int, int, int, int]]
                 if t - s < m - e:
                     continue
                 region = run.codes[s:t]
-                edits, a, z = _exact(block.items[i], region) or banded_distance(block.items[i], region, -e, max(t - s - m, 0) + e)
+                if p not in bits:
+                    bits[p] = _bits(block.parts[p])
+                if not _reaches(bits[p], m, region.tolist(), e):
+                    continue
+                edits, a, z = _exact(block.parts[p], region) or banded_distance(block.parts[p], region, -e, max(t - s - m, 0) + e)
                 if edits <= e:
                     spans = found.setdefault((text, i), [])
-                    span = (edits, s - int(run.starts[text]) + a, s - int(run.starts[text]) + z)
-                    clash = [x for x in spans if x[1] < span[2] and span[1] < x[2]]
+                    span = (not whole, edits, s - int(run.starts[text]) + a, s - int(run.starts[text]) + z)
+                    clash = [x for x in spans if x[2] < span[3] and span[2] < x[3]]
                     if all(span < x for x in clash):
                         spans[:] = [x for x in spans if x not in clash] + [span]
         for (text, i), spans in found.items():
-            for edits, a, z in spans:
+            for _, edits, a, z in spans:
                 yield text, i, a, z, edits
-    for i, item in enumerate(block.items):
+    for i, item in enumerate(block.parts[: len(block.ids)]):
         if 0 < len(item) < block.q:  # too short for a gram: the text itself is sought
             needle, hay = item.astype("<u4").tobytes(), run.codes.astype("<u4").tobytes()
             pos = hay.find(needle)
@@ -122,8 +210,8 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
-    rate: float = 0.06,
-    q: int = 12,
+    rate: float = 0.1,
+    q: int = 7,
     block_chars: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -131,13 +219,15 @@ def contaminated(
     item_text_col: str = "text",
 ) -> DataFrame:
     """Finds benchmark items inside texts: (id, item_id, start, end, edits), a row
-    for each place of a text that some item turns into by at most `rate` of its
-    length in edits (at most what leaves a q-gram untouched). Case and the kind of
+    for each place of a text that some item, or a segment of it, turns into by at most `rate` of its
+    length in edits (at most what leaves a q-gram untouched). Segments have a third of the item's characters, but 48 to 100,
+    and overlap by half, so any run of half the item (72 to 150 characters) has one. Where the whole item matches,
+    none of its segments is given; of overlapping segments the one with the fewest edits; edits are then the segment's. Case and the kind of
     white space don't count; start and end are characters of the given text.
 
     A text is never shuffled: blocks of the benchmark, each of at most
     `block_chars` characters or of one longer item, are broadcast in turn. For each item, shared q-grams are counted in
-    overlapping diagonal bands; bands with at least m - q + 1 - q * budget of
+    overlapping diagonal bands of it and its segments; bands with at least m - q + 1 - q * budget of
     them are aligned within the band.
 
     Null or empty items match nothing, and nothing matches null or empty texts;
