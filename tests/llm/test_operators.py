@@ -404,6 +404,22 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_regression_memory():
+    import inspect
+    import tracemalloc
+
+    assert inspect.signature(toxicity.fit).parameters["features"].default == 4096
+    rng = np.random.default_rng(13)
+    lists = [np.unique(rng.integers(0, 4096, 1100)).astype(np.uint16) for _ in range(3000)]
+    y = (np.arange(3000) % 2).astype(float)
+    y_of = [x[:500] if t else x[-500:] for x, t in zip(lists, y, strict=True)]
+    tracemalloc.start()
+    w, b = toxicity._regression(y_of, y, np.ones(4096), steps=30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and w[:1000].mean() > 0 > w[-1000:].mean()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

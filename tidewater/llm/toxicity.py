@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,8 +45,8 @@ def fit(
     *,
     orders: tuple[int, ...] = (3, 4, 5),
     bits: int = 20,
-    features: int = 2048,
-    rows_per_class: int = 6_000,
+    features: int = 4096,
+    rows_per_class: int = 15_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -102,6 +103,8 @@ def fit(
     place[best] = np.arange(len(best))
     ratio = ratio[best]
 
+    small = np.uint16 if len(best) <= 1 << 16 else np.int32
+
     def listed(batches):
         for batch in batches:
             found: list = [[] for _ in range(batch.num_rows)]
@@ -109,30 +112,65 @@ def fit(
                 of, feature = _present(run, orders, bits, place)
                 cuts = np.searchsorted(of, np.arange(len(run.ends) + 1))
                 for k in range(len(run.ends)):
-                    found[run.first + k] = feature[cuts[k] : cuts[k + 1]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in map(np.asarray, found)], pa.binary())], ["label", "features"])
+                    found[run.first + k] = feature[cuts[k] : cuts[k + 1]].astype(small)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.asarray(f, small).tobytes() for f in found], pa.binary())], ["label", "features"])
 
     got = sample.mapInArrow(listed, "label long, features binary").toArrow()
-    lists = [np.frombuffer(x, np.int32) for x in got["features"].to_pylist()]
-    weight, bias = _regression(lists, got["label"].to_numpy().astype(float), ratio)
+    lists = [np.frombuffer(x, small) for x in got["features"].to_pylist()]
+    y = got["label"].to_numpy().astype(float)
+    weight, bias = _regression(lists, y, ratio, toxic=_toxic_share(lists, y, ratio))
     return Model(place, weight * ratio, bias, orders)
 
 
-def _regression(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps; toxic rows weigh 0.35 in all; rows in any order give the same up to rounding."""
-    index = np.concatenate(lists) if lists else np.empty(0, np.int32)
-    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    x = scale[index]
-    share = np.where(y == 1, 0.35 / max(y.sum(), 1), 0.65 / max((1 - y).sum(), 1))
-    norm = np.bincount(row, weights=x * x, minlength=len(lists))
+def _toxic_share(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> float:
+    """The share with the best F1 on a fifth of the rows, chosen by their content, after learning from the others."""
+    held = np.array([zlib.crc32(x.tobytes()) % 5 == 0 for x in lists], bool)
+    best, chosen = -1.0, 0.5
+    for share in _SHARES:
+        w, b = _regression([x for x, h in zip(lists, held, strict=True) if not h], y[~held], scale, steps=100, toxic=share)
+        ws = w * scale
+        said = np.array([ws[x].sum() + b >= 0 for x, h in zip(lists, held, strict=True) if h], bool)
+        f1 = 2 * (said & (y[held] == 1)).sum() / max(said.sum() + y[held].sum(), 1)
+        if f1 > best:
+            best, chosen = f1, share
+    return chosen
+
+
+#: So many features of rows are widened at a time.
+_WIDE = 200_000
+
+#: Shares of the loss that toxic rows may have; a part of the training rows decides.
+_SHARES = 0.2, 0.35, 0.5, 0.65
+
+
+def _regression(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 300, decay: float = 1e-4, toxic: float = 0.5) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient steps; rows in any order give the same up to rounding.
+
+    Lists stay as small as they came; gradients are summed over bounded blocks of rows.
+    """
+    sizes = np.array([len(x) for x in lists], np.int64)
+    index, ends = np.concatenate(lists) if lists else np.empty(0, np.int32), np.append(0, np.cumsum(sizes))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _WIDE)), len(sizes)))
+
+    def blocks():
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            feature = index[ends[lo] : ends[hi]].astype(np.int64)
+            yield lo, hi, feature, np.repeat(np.arange(hi - lo), sizes[lo:hi]), scale[feature]
+
+    share = np.where(y == 1, toxic / max(y.sum(), 1), (1 - toxic) / max((1 - y).sum(), 1))
+    norm = np.zeros(len(y))
+    for lo, hi, _, row, x in blocks():
+        norm[lo:hi] = np.bincount(row, weights=x * x, minlength=hi - lo)
     rate = 4.0 / (1.0 + (norm * share).sum() + norm.max(initial=0) / 16)
     w = v = np.zeros(len(scale))
     b = c = 0.0
     for k in range(steps):
-        z = np.bincount(row, weights=x * v[index], minlength=len(lists)) + c
-        g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * share
-        nw = v - rate * (np.bincount(index, weights=x * g[row], minlength=len(scale)) + decay * v)
-        nb = c - rate * g.sum()
+        nw, nb = v - rate * decay * v, c
+        for lo, hi, feature, row, x in blocks():
+            z = np.bincount(row, weights=x * v[feature], minlength=hi - lo) + c
+            g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[lo:hi]) * share[lo:hi]
+            nw -= rate * np.bincount(feature, weights=x * g[row], minlength=len(scale))
+            nb -= rate * g.sum()
         t = k / (k + 3)
         v, c = nw + t * (nw - w), nb + t * (nb - b)
         w, b = nw, nb
