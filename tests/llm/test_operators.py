@@ -50,7 +50,7 @@ def rows(spark):
 def docs(spark, rows):
     """All rows, with columns that clash with names used inside."""
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for name in ("n", "key", "words", "line", "node", "packed", "tag", "gone", "known", "length", "score", "quality_"):
+    for name in ("n", "key", "words", "line", "node", "packed", "tag", "gone", "known", "length", "score", "quality_", "row", "at", "_doc_id", "item_id", "start"):
         df = df.withColumn(name, F.lit("x"))
     return df.cache()
 
@@ -237,8 +237,11 @@ def test_line_dedup(spark, docs, empty, rows):
     assert dedup_lines(empty).count() == 0
 
 
-def units_of(line):
-    return re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\s\u3040-\u30ff\u4e00-\u9fff]+", line.lower())
+def near_lines(rows, units, least):
+    """(id, line number) of the lines that go, by comparing every two."""
+    plain = [(d, k, re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")) for d, t in rows for k, x in enumerate((t or "").split("\n")) if words_of(x)]
+    plain = [(d, k, units(x)) for d, k, x in sorted(plain, key=lambda r: r[:2])]
+    return {(d, k) for n, (d, k, a) in enumerate(plain) for _, _, b in plain[:n] if a == b or (min(len(a), len(b)) >= least and word_edits(a, b) <= 1)}
 
 
 def word_edits(a, b):
@@ -251,32 +254,46 @@ def word_edits(a, b):
     return row[-1]
 
 
-def test_line_dedup_budget_grows(spark):
-    rng = random.Random(11)
-    lines = []
-    for n in (20, 29, 30, 47, 64, 100):
-        base = [f"w{rng.randint(0, 900)}" for _ in range(n)]
-        for k in range(8):
+@pytest.mark.parametrize(("unit", "least"), [("word", 8), ("word", 2), ("char", 8), ("char", 5)])
+def test_line_dedup_units(spark, unit, least):
+    """Lines of 1 to 34 units, around powers of two too, with none to two edits anywhere; some repeated, one variant in many lines."""
+    rng, lines = random.Random(11), []
+    letters = [chr(0x4E00 + k) for k in range(60)] if unit == "char" else [f"w{k}" for k in range(60)]
+    gap = "" if unit == "char" else " "
+    for n in (1, 2, 3, 4, 7, 8, 9, 15, 16, 17, 31, 32, 33, 34):
+        base = rng.choices(letters, k=n)
+        for _ in range(6):
             w = list(base)
-            for _ in range(rng.randint(0, n // 10 + 2)):
-                at = rng.randrange(len(w))
-                w[at : at + 1] = rng.choice([[], [f"x{rng.randint(0, 9)}"], [w[at], "y"]])
-            lines.append(" ".join(w))
-    unspaced = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(40))
-    lines += [unspaced, "一二三" + unspaced[3:], "一二三四五六七" + unspaced[7:]]
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(w)) if w else 0
+                w[at : at + 1] = rng.choice([[], rng.choices(letters, k=1), [*w[at : at + 1], rng.choice(letters)]])
+            lines.append(gap.join(w))
+    lines += [gap.join([*letters[:9], str(k) if unit == "word" else chr(0x3400 + k), *letters[9:15]]) for k in range(40)]
     rng.shuffle(lines)
     rows = [(d, "\n".join(lines[d * 5 : d * 5 + 5])) for d in range(-(-len(lines) // 5))]
-    gone, units = set(), [units_of(x) for x in lines]
-    for n, a in enumerate(units):
-        for b in units[:n]:
-            if a == b or one_edit(a, b) and lines[n].count(" ") > 6 or word_edits(a, b) <= min(len(a), len(b)) // 10:
-                gone.add(n)
-    expected = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if d * 5 + k not in gone) for d, t in rows}
+    gone = near_lines(rows, list if unit == "char" else str.split, least)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = dedup_lines(df, words_per_edit=10)
-    assert {r.doc_id: r.text for r in got.collect()} == expected
-    assert got.agg(F.sum("line_dedup.n_near")).first()[0] > dedup_lines(df).agg(F.sum("line_dedup.n_near")).first()[0] > 0
-    assert dedup_lines(df.limit(0), words_per_edit=10).count() == 0
+    got = dedup_lines(df, unit=unit, units_per_edit=least)
+    assert {r.doc_id: r.text for r in got.collect()} == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
+    counts = got.agg(F.sum("line_dedup.n_repeated") + F.sum("line_dedup.n_near"), F.sum("line_dedup.n_near")).first()
+    assert counts[0] == len(gone) and counts[1] > 20
+
+
+def test_line_dedup_of_clashing_columns_repeated_rows_and_null_ids(spark):
+    line = "one line of more than eight words is here"
+    names = ["_doc_id", "tag", "at", "row", "first", "line_no", "left", "line_dedup", "_tag", "a.b"]
+    rows = [(2, line), (2, line), (None, line), (7, line + " x\n\n " + line.upper()), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(n) for n in names])
+    got = dedup_lines(df)
+    assert got.columns == ["doc_id", "text", *[n for n in names if n != "line_dedup"], "line_dedup"]
+    found = sorted(((r.doc_id or 0, r.text, tuple(r.line_dedup)) for r in got.collect()), key=repr)
+    assert found == sorted([(0, line, (1, 0, 0)), (2, "", (1, 1, 0)), (2, "", (1, 1, 0)), (7, "", (3, 1, 1)), (8, None, (0, 0, 0)), (9, "", (1, 0, 0))], key=repr)
+
+
+def test_line_dedup_of_a_very_long_line(spark):
+    words = [f"w{k}" for k in range(30_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:20_000], "x", *words[20_001:]])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert {r.doc_id: r.text == "" for r in dedup_lines(df).collect()} == {1: False, 2: True, 3: False}
 
 
 def test_token_counts(docs, empty, rows):

@@ -2,126 +2,164 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import WORD_GAP, let, written
-
+from tidewater.llm.shared import WORD_GAP, let, packed_rows, unpacked_rows, written
 
-#: What a line shares with another one: its first and last words, only the first, only the last.
-BOTH, HEAD, TAIL = 0, 1, 2
 
-#: A character of a script that sets no spaces between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+@dataclass(frozen=True)
+class Unit:
+    """What an edit changes: how many a line has, its first and last k of them, and all as an array."""
 
+    count: Callable[[Column], Column]
+    first: Callable[[Column, Column], Column]
+    last: Callable[[Column, Column], Column]
+    each: Callable[[Column], Column]
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 8, words_per_edit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    r"""Removes each line that an earlier line of the corpus (smaller id, or same document and line before) repeats with at
-    most one word changed, missing or extra: docs with `text` replaced and one struct column `line_dedup`
-    (n_lines, n_repeated, n_near; long). Lines are parted by \n and judged on the input, not on what is left.
 
-    The edit distance counts words, lower-cased and split at ASCII white space. Up to
-    one edit is allowed if both lines have `min_words` words or more; shorter lines must have the same words.
+#: Lines come with single spaces between words and none at their ends.
+UNITS = {
+    "word": Unit(
+        lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1,
+        lambda s, k: F.call_function("substring_index", s, F.lit(" "), k),
+        lambda s, k: F.call_function("substring_index", s, F.lit(" "), -k),
+        lambda s: F.split(s, " "),
+    ),
+    "char": Unit(
+        lambda s: F.length(s),
+        lambda s, k: F.substring(s, F.lit(1), k),
+        lambda s, k: F.substring(s, -k, k),
+        lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)),
+    ),
+}
 
-    Lines with the same words first become one, at the earliest place. A line within one edit of another shares
-    its first or its last min_words / 2 words with it; lines that share those with another one emit their
-    deletion neighbourhood (where the edit can be, if they share only one end): the hash of each variant with one word deleted, and of the whole. Variants that are equal at the same
-    place differ by a changed word there; a variant equal to a whole line by a missing word. Every member of
-    such a group is paired with the group's earliest line only, and word arrays are compared.
 
-    With `words_per_edit` w, a line of n units is also removed if it is within n // w edits of an earlier line; both have
-    2 w units or more, and n is the smaller count. A unit is a word, and each character of a script without spaces. _wide() says how.
+def dedup_lines(docs: DataFrame, *, unit: str = "word", units_per_edit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    r"""Removes each line that an earlier line of the corpus (smaller id, or same document and line before) repeats with at
+    most one unit changed, missing or extra: docs with `text` replaced and one struct column `line_dedup`
+    (n_lines, n_repeated, n_near; long). Lines are parted by \n and judged on the input, not on what is left.
 
-    Null texts stay null and empty texts empty. Lines without a word stay. A null id sorts first.
-    Rows with the same id and text count as one document and get one result each; other texts of an id are other
-    documents. Extra columns stay; one named line_dedup is replaced. An empty table gives an empty one.
+    Lines are compared lower-cased, with runs of ASCII white space as one space and none at the ends. A unit is a word, or
+    a character where `unit` is "char" (for scripts without spaces). The edit bound is relative as well as absolute: one edit,
+    and no more than one in `units_per_edit` units of either line; so lines with fewer units must be equal.
+
+    Equal lines first become one, at the earliest place. An edit leaves a line's first or its last half as it is, so only lines
+    that share such a half with another one can be near it. These emit their whole deletion neighbourhood: a hash of the
+    line without each of its units, and of the whole line. Lines of one length that are equal without the unit at the same
+    place differ by a changed unit there; a line that is equal to another one without a unit, by a missing unit. The
+    earliest line of each variant is found by a grouping that pre-aggregates, and joined back, so adaptive execution can
+    split a variant that many lines have. Pairs are as many as variants; units are compared before a line goes.
+
+    Null texts stay null and empty texts empty. Lines without a word stay. A null id sorts first. Lines of any length are
+    handled: variants are hashed by running sums over the line's rows. Rows with the same id and text count as one document and
+    get one result each; other texts of an id are other documents, in an order that their hashes give. Extra columns stay,
+    whatever their names; one named line_dedup is replaced. An empty table gives an empty one.
     """
+    if units_per_edit < 2:
+        raise ValueError("units_per_edit must be 2 or more")
+    of = UNITS[unit]
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
-    each = _numbered(text, "doc_id", "tag").withColumn("words", F.array_remove(F.split("line", " "), "")).filter(F.size("words") > 0)
-    # of two lines one edit apart, the first or the last words are the same: as many as half of min_words, rounded down
-    half = min_words // 2
-    long = F.size("words") >= min_words
-    lines = each.select(
-        "doc_id",
-        "tag",
-        "line_no",
-        F.xxhash64("words").alias("key"),
-        F.xxhash64(F.lit("second"), "words").alias("key2"),
-        F.when(long, F.xxhash64(F.lit("first"), F.slice("words", 1, half))).alias("head"),
-        F.when(long, F.xxhash64(F.lit("last"), F.slice("words", -half, half))).alias("tail"),
-    )
-    lines = written(lines, "lines")
     at = F.struct("doc_id", "tag", "line_no")
-    same = ["key", "key2"]
-    distinct = written(lines.groupBy(*same).agg(F.min(at).alias("first"), F.min("head").alias("head"), F.min("tail").alias("tail")), "distinct")
-
-    # what a pair shares tells where its edit is: both ends, only the first words or only the last
-    shared = ((BOTH, F.xxhash64("head", "tail")), (HEAD, F.col("head")), (TAIL, F.col("tail")))
-    ends = F.array(*[F.struct(F.lit(kind).alias("kind"), half_key.alias("half")) for kind, half_key in shared])
-    halves = distinct.filter("head is not null").select(F.explode(ends).alias("e"), *same).select("e.*", *same)
-    several = halves.groupBy("kind", "half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("kind", "half")
-    asked = halves.join(several, ["kind", "half"]).groupBy(*same).agg(F.collect_set("kind").alias("kinds")).join(distinct, same)
-    asked = asked.select("first.doc_id", "first.tag", F.struct("first.line_no", "kinds").alias("line")).groupBy("doc_id", "tag").agg(F.collect_list("line").alias("asked"))
-    chosen = _numbered(_with(text, asked, ["doc_id", "tag"], "inner"), "doc_id", "tag", "asked")
-    chosen = chosen.withColumn("spot", F.array_position(F.transform("asked", lambda x: x["line_no"]), F.col("line_no")).cast("int")).filter("spot > 0")
-    found = chosen.select(at.alias("at"), F.array_remove(F.split("line", " "), "").alias("words"), F.element_at("asked", F.col("spot"))["kinds"].alias("kinds"))
-    candidates = written(found, "candidates")
-    near = written(_near(candidates, half), "near")
-    if words_per_edit:
-        near = near.unionByName(_wide(_units(text, 2 * words_per_edit), words_per_edit)).distinct()
-
-    first = distinct.select(*same, "first")
-    repeated = lines.join(first, same).filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "tag", F.struct(F.col("line_no"), F.lit(False).alias("near")).alias("g"))
-    gone = repeated.unionByName(near.select("at.doc_id", "at.tag", F.struct(F.col("at.line_no").alias("line_no"), F.lit(True).alias("near")).alias("g")))
-    gone = gone.groupBy(F.col("doc_id").alias(id_col), F.col("tag").alias("_line_dedup_tag")).agg(F.collect_set("g").alias("_line_dedup_gone"))
-    tagged = docs.drop("line_dedup").withColumn("_line_dedup_tag", F.xxhash64(text_col))
-    joined = _with(tagged, gone, [id_col, "_line_dedup_tag"], "left")
-    return _without(joined, text_col).select(*[c for c in docs.columns if c != "line_dedup"], "line_dedup")
-
-
-def _numbered(text: DataFrame, *kept: str) -> DataFrame:
-    """(kept columns, line_no, line) of each line, lower-cased and with spaces for white space."""
+    each = _lines(text, "doc_id", "tag")
+    keyed = each.select(at.alias("at"), F.xxhash64("line").alias("key"), F.xxhash64(F.lit("second"), "line").alias("key2"), _halves(F.col("line"), of, units_per_edit).alias("halves"))
+    distinct = keyed.groupBy("key", "key2").agg(F.min("at").alias("at"), F.first("halves").alias("halves"))
+    distinct = written(distinct.select("at", "halves"), "distinct")
+
+    halves = distinct.filter("halves is not null").select("at", F.explode("halves").alias("half"))
+    several = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    asked = halves.join(several, "half").select("at").distinct()
+    asked = asked.groupBy("at.doc_id", "at.tag").agg(F.collect_list("at.line_no").alias("asked"))
+    candidates = written(_lines(_with(text, asked, ["doc_id", "tag"], "inner"), "doc_id", "tag", asked="asked").select(at.alias("at"), "line"), "candidates")
+    near = written(_near(candidates, of), "near")
+
+    found = distinct.select("at").join(near.withColumn("near", F.lit(True)), "at", "left").select("at.*", "near")
+    line = F.struct("line_no", F.coalesce("near", F.lit(False)).alias("near"))
+    first = found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(line)).alias("first"))
+    rows = packed_rows(docs, drop=["line_dedup"]).select("row", F.col("row")[id_col].alias("doc_id"), F.xxhash64(F.col("row")[text_col]).alias("tag"))
+    joined = _with(rows, first, ["doc_id", "tag"], "left")
+    return _without(joined, text_col, [c for c in docs.columns if c != "line_dedup"])
+
+
+def _flags(numbers: Column) -> Column:
+    """From the sorted numbers of a text's chosen lines, a flag for each line up to the last of them."""
+
+    def flags(k: Column) -> Column:
+        return F.flatten(F.transform(k, lambda n, i: F.concat(F.array_repeat(F.lit(False), n - F.coalesce(F.get(k, i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+
+    return let(numbers, flags)
+
+
+def _lines(text: DataFrame, *kept: str, asked: str | None = None) -> DataFrame:
+    """(kept columns, line_no, line) of each line with a word, or of those whose numbers `asked` has, as it is compared."""
     plain = F.lower("text")
     for gap in WORD_GAP.replace("\n", ""):
         plain = F.replace(plain, F.lit(gap), F.lit(" "))
-    return text.select(*kept, F.posexplode(F.split(plain, "\n")).alias("n", "line")).select(*kept, F.col("n").cast("long").alias("line_no"), "line")
+    all_lines = F.split(plain, "\n")
+    if asked:
+        numbered = F.transform(all_lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+        some = let(_flags(F.sort_array(asked)), lambda f: F.filter(numbered, lambda x: F.coalesce(F.get(f, x["line_no"]), F.lit(False))))
+        each = text.select(*kept, F.explode(some).alias("l")).select(*kept, "l.*")
+    else:
+        each = text.select(*kept, F.posexplode(all_lines).alias("line_no", "line"))
+    single = F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", " +", " ")).otherwise(F.col("line"))
+    return each.withColumn("line", F.trim(single)).filter("line <> ''")
+
+
+def _halves(line: Column, of: Unit, least: int) -> Column:
+    """Hashes of the line's first and last units, as many as the half of the largest power of two that it has; null for lines
+    that must be equal. A line whose count is a power of two also gives the halves that lines of one unit less have."""
+
+    def both(k: Column) -> list[Column]:
+        return [F.xxhash64(F.lit("first"), of.first(line, k)), F.xxhash64(F.lit("last"), of.last(line, k))]
+
+    def found(n: Column) -> Column:
+        k = F.pow(F.lit(2.0), F.floor(F.log2(n + 0.5)) - 1).cast("int")
+        return F.when(n < least, None).when((n == 2 * k) & (k > 1), F.array(*both(k), *both((k / 2).cast("int")))).otherwise(F.array(*both(k)))
+
+    return found(of.count(line))
 
 
 def _with(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """left joined with right's other columns by keys that may be null."""
+    """left joined with right's other columns by keys, of which the first may be null."""
     named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return left.join(named, same[0] & same[1], how).drop(*[f"_{k}" for k in keys])
 
 
-def _near(candidates: DataFrame, half: int) -> DataFrame:
-    """at of the candidates that are one edit from an earlier candidate."""
-    candidates = candidates.dropDuplicates(["at"])
-    word = candidates.select("at", "kinds", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
-    # a variant's hash is the xor of its words', each with its place: those before the deleted word keep theirs, those after it move up
+def _variants(candidates: DataFrame, of: Unit) -> DataFrame:
+    """(at, place, variant): the hash of each line without the unit at place, and at place 0 of the whole.
+
+    A hash is the xor of the units' own, each with its place: those before the deleted one keep theirs, those after it move up.
+    """
+    unit = candidates.dropDuplicates(["at"]).select("at", F.posexplode(of.each(F.col("line"))).alias("p", "unit"))
+    placed = unit.select("at", "p", F.xxhash64("unit", "p").alias("a"), F.xxhash64("unit", F.col("p") - 1).alias("b"))
     so_far, line = Window.partitionBy("at").orderBy("p").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("at")
-    placed = word.withColumn("a", F.xxhash64("word", "p")).withColumn("b", F.xxhash64("word", F.col("p") - 1))
-    summed = placed.select("at", "kinds", "n", "p", "a", F.bit_xor("a").over(so_far).alias("a_to"), F.bit_xor("b").over(so_far).alias("b_to"), F.bit_xor("a").over(line).alias("a_all"), F.bit_xor("b").over(line).alias("b_all"))
+    summed = placed.select("at", "p", "a", F.bit_xor("a").over(so_far).alias("a_to"), F.bit_xor("b").over(so_far).alias("b_to"), F.bit_xor("a").over(line).alias("a_all"), F.bit_xor("b").over(line).alias("b_all"))
     rest = F.col("a_to").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b_all")).bitwiseXOR(F.col("b_to"))
-    has, place = lambda kind: F.array_contains("kinds", kind), F.col("p") + 1
-    asked = has(BOTH) | (has(HEAD) & (place >= F.col("n") - half)) | (has(TAIL) & (place <= half + 1))
-    both = F.array(F.when(asked, F.struct(place.alias("place"), rest.alias("variant"))), F.when(F.col("p") == 0, F.struct(F.lit(0).alias("place"), F.col("a_all").alias("variant"))))
-    variants = summed.select("at", F.explode(F.filter(both, lambda v: v.isNotNull())).alias("v")).select("at", "v.*")
-    deleted, whole = F.col("place") > 0, F.col("place") == 0
-    equal = Window.partitionBy("variant")
-    seen = variants.select(
-        "at",
-        F.min("at").over(Window.partitionBy("variant", "place")).alias("changed"),
-        F.when(deleted, F.min(F.when(whole, F.col("at"))).over(equal)).otherwise(F.min(F.when(deleted, F.col("at"))).over(equal)).alias("missing"),
-    )
-    pairs = seen.select("at", F.explode(F.array("changed", "missing")).alias("earlier")).filter("earlier is not null and earlier < at").distinct()
-    texts = candidates.select("at", "words")
-    both = pairs.join(texts, "at").join(texts.select(F.col("at").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
-    return both.filter(_one_edit(F.col("words"), F.col("earlier_words"))).select("at").distinct()
+    deleted = F.struct((F.col("p") + 1).alias("place"), rest.alias("variant"))
+    whole = F.struct(F.lit(0).alias("place"), F.col("a_all").alias("variant"))
+    return summed.select("at", F.explode(F.when(F.col("p") == 0, F.array(deleted, whole)).otherwise(F.array(deleted))).alias("v")).select("at", "v.*")
+
+
+def _near(candidates: DataFrame, of: Unit) -> DataFrame:
+    """at of the candidates that are one edit from an earlier candidate."""
+    variants = written(_variants(candidates, of), "variants")
+    deleted, whole = variants.filter("place > 0"), variants.filter("place = 0").select("variant", F.col("at").alias("other"))
+    first = deleted.groupBy("variant", "place").agg(F.min("at").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    changed = deleted.join(first, ["variant", "place"]).select("at", "other")
+    missing = deleted.select("variant", "at").join(whole, "variant").select("at", "other")
+    pairs = changed.unionByName(missing).filter("at <> other")
+    pairs = pairs.select(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("earlier")).distinct()
+    both = pairs.join(candidates, "at").join(candidates.select(F.col("at").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
+    return both.filter(_one_edit(of.each(F.col("line")), of.each(F.col("earlier_line")))).select("at").distinct()
 
 
 def _one_edit(a: Column, b: Column) -> Column:
-    """Whether two word arrays are at most one changed, missing or extra word apart."""
+    """Whether two arrays of units are at most one changed, missing or extra one apart."""
 
     def common(x: Column, y: Column) -> Column:
         same = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: z["x"].eqNullSafe(z["y"]))
@@ -132,64 +170,18 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
-def _units(text: DataFrame, least: int) -> DataFrame:
-    """(at, h, n): the units' hashes of each distinct line of `least` units or more, at its earliest place."""
-    each = _numbered(text, "doc_id", "tag").withColumn("words", F.array_remove(F.split("line", " "), ""))
-    apart = F.regexp_extract_all("line", F.lit(rf"{UNSPACED}|(?:(?!{UNSPACED})[^ ])+"), F.lit(0))
-    each = each.withColumn("units", F.when(F.col("line").rlike(UNSPACED), apart).otherwise(F.col("words"))).filter(F.size("units") >= least)
-    one = F.struct(F.struct("doc_id", "tag", "line_no").alias("at"), F.transform("units", lambda u: F.xxhash64(u)).alias("h"))
-    first = each.groupBy(F.xxhash64("words").alias("key"), F.xxhash64(F.lit("second"), "words").alias("key2")).agg(F.min(one).alias("one"))
-    return written(first.select("one.at", "one.h", F.size("one.h").alias("n")), "units")
-
-
-def _wide(lines: DataFrame, per_edit: int) -> DataFrame:
-    """at of the lines (at, h, n) that are within n // per_edit edits of an earlier one, n the smaller count.
-
-    k edits leave one of k + 1 separate blocks of the later line as it is, and the earlier line has the same run. Of a
-    block's two windows, each one unit shorter, the smaller hash is asked for; a line is listed under each window that is not
-    larger than both beside it, so under all that can be asked for. A line asks by its k + 1 blocks that the fewest lines have. The earliest
-    line of a window is tried first; what that settles is not compared with the others.
-    """
-    run = 2 * per_edit // 3
-    windows = F.transform(F.sequence(F.lit(1), F.col("n") - run + 2), lambda i: F.xxhash64(F.slice("h", i, run - 1)))
-    hashed = lines.select("at", "n", windows.alias("g"))
-    beside = lambda g, i: F.coalesce(F.get("g", i), F.lit(-(1 << 63)))
-    listed = F.array_distinct(F.filter("g", lambda g, i: (g <= beside(g, i - 1)) | (g <= beside(g, i + 1))))
-    index = written(hashed.select(F.explode(listed).alias("g"), F.struct("at", "n").alias("by")), "index")
-    counts = index.groupBy("g").agg(F.count("*").alias("of"), F.min("by").alias("first")).filter("of > 1")
-    block = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / run).cast("int") - 1), lambda b: F.least(F.get("g", b * run), F.get("g", b * run + 1)))
-    blocks = hashed.select("at", "n", F.posexplode(block).alias("b", "g")).join(counts, "g", "left")
-    place = F.row_number().over(Window.partitionBy("at").orderBy(F.coalesce("of", F.lit(0)), "b"))
-    # blocks of no other line count as asked: they are the rarest
-    asked = written(blocks.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") / per_edit) + 1).filter("of > 1").select("at", "n", "g", "first"), "asked")
-    pair = F.struct(F.col("by.at").alias("at"), F.col("by.n").alias("n"))
-    quick = written(_within(asked.select("at", "n", F.col("first").alias("by")).select("at", "n", pair.alias("by")), lines, per_edit), "quick")
-    rest = asked.join(quick, "at", "left_anti").select("at", "n", "g").join(index, "g").select("at", "n", "by")
-    return quick.unionByName(written(_within(rest, lines, per_edit), "rest"))
-
-
-def _within(pairs: DataFrame, lines: DataFrame, per_edit: int) -> DataFrame:
-    """at of the pairs (at, n, by struct<at, n>) whose second line is earlier and within the budget."""
-    budget = F.floor(F.least("n", "by.n") / per_edit).cast("int")
-    some = pairs.filter((F.col("by.at") < F.col("at")) & (F.abs(F.col("n") - F.col("by.n")) <= budget))
-    some = some.select("at", F.col("by.at").alias("earlier"), budget.alias("most")).distinct()
-    said = lines.select("at", "h")
-    both = some.join(said, "at").join(said.select(F.col("at").alias("earlier"), F.col("h").alias("e")), "earlier")
-    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(x + 0x10000), 8, "0")), "UTF-32")
-    # letters of hashes never make a distance longer; what they leave is compared with a letter for each unit of the pair
-    rough = lambda h: F.array_join(F.transform(h, lambda x: letter(F.pmod(x, F.lit(1_000_000)))), "")
-    both = both.filter(F.levenshtein(rough("h"), rough("e")) <= F.col("most"))
-    exact = lambda h, all_: F.array_join(F.transform(h, lambda x: letter(F.array_position(all_, x))), "")
-    known = both.withColumn("all", F.array_distinct(F.concat("h", "e")))
-    return known.filter(F.levenshtein(exact("h", F.col("all")), exact("e", F.col("all"))) <= F.col("most")).select("at").distinct()
-
-
-def _without(joined: DataFrame, text_col: str) -> DataFrame:
-    """Takes the lines in `gone` out of the text."""
-    numbers = lambda g: F.transform(g, lambda x: x["line_no"])
-    cut = let(numbers(F.col("_line_dedup_gone")), lambda g: F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(g, i.cast("long"))), "\n"))
-    count = lambda near: F.coalesce(F.size(F.filter("_line_dedup_gone", lambda g: g["near"] == near)), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long")
-    facts = F.struct(n_lines.alias("n_lines"), count(False).alias("n_repeated"), count(True).alias("n_near"))
-    text = F.when(F.col("_line_dedup_gone").isNull(), F.col(text_col)).otherwise(cut)
-    return joined.withColumn("line_dedup", facts).withColumn(text_col, text).drop("_line_dedup_gone", "_line_dedup_tag")
+def _without(joined: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    """The rows with their lines that are first in the corpus and near none, and the lines without a word."""
+    text = F.col("row")[text_col]
+    numbers = F.transform(F.filter("first", lambda x: ~x["near"]), lambda x: x["line_no"])
+    lines = F.split(text, "\n")
+    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
+    left = let(_flags(numbers), lambda f: F.filter(lines, lambda x, i: F.coalesce(F.get(f, i), F.lit(False)) | blank(x)))
+    near = F.coalesce(F.size(F.filter("first", lambda x: x["near"])), F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    done = joined.withColumn("first", F.coalesce("first", F.array().cast("array<struct<line_no:int,near:boolean>>"))).select("row", "first", left.alias("left"))
+    facts = F.when(text.isNull(), F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n_lines", "n_repeated", "n_near")])).otherwise(
+        F.struct(n_lines.alias("n_lines"), (n_lines - F.size("left") - near).alias("n_repeated"), near.alias("n_near"))
+    )
+    kept = F.when(text.isNotNull(), F.array_join("left", "\n"))
+    return unpacked_rows(done, columns, {text_col: kept}, {"line_dedup": facts})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ WORD_GAP = "\t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary folder of this machine where that setting is missing (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where driver and executors are one
+    process on this machine may that be missing; a temporary folder then takes its place."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
         at = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,6 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed_rows(df: DataFrame, *, drop: list[str]) -> DataFrame:
+    """df's rows as one struct column, row, so that no other column's name can clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in drop]).alias("row"))
+
+
+def unpacked_rows(df: DataFrame, columns: list[str], replaced: dict[str, Column], added: dict[str, Column]) -> DataFrame:
+    """The columns of row again, some replaced, and added ones."""
+    return df.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in columns], *[v.alias(k) for k, v in added.items()])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
