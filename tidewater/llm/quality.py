@@ -9,17 +9,38 @@ from tidewater.llm.shared import WORD_GAP, let, words_of
 
 #: A line with a word.
 SAYS = r"[^\x20\x09-\x0D]"
-#: Punctuation: prose has a sentence end somewhere in the line.
-SENTENCE_END = r"[.!?…。！？؟।]"
-#: Navigation: items parted by such marks, with space around.
-SEPARATOR = r"(^| )[|»›•·→]+( |$)"
-#: Boilerplate: phrases that lines of notices hold (fixed values of this rule).
-BOILERPLATE = (
-    r"(?i)(all rights reserved|cookies? policy|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|"
-    r"subscribe to our newsletter|click here to|(licensed|released) under (the |cc |an? )|copyright (\(c\)|©))"
-)
+#: Punctuation: prose ends with a sentence end, quotes and brackets may follow.
+SENTENCE_END = r"[.!?…。！？؟।][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
 #: Marks that stand for layout or markup, not prose.
 SYMBOL = r"[#*$%&|<>]"
+#: Doubled marks.
+SHOUT = r"[!?]{2,}"
+#: Navigation: items parted by such marks, with space around.
+SEPARATOR = r"(^| )[|»›•·→]+( |$)"
+
+# fixed values of the rules, in English, French, German and Spanish
+#: What short lines for finding one's way say.
+NAVIGATION_PHRASES = (
+    "skip to content", "skip to main content", "back to top", "next page", "previous page", "read more", "sign in", "log in", "sign up", "main menu",
+    "aller au contenu", "haut de page", "page suivante", "page précédente", "lire la suite", "se connecter", "menu principal",
+    "zum inhalt springen", "nach oben", "nächste seite", "vorherige seite", "weiterlesen", "anmelden", "hauptmenü",
+    "ir al contenido", "volver arriba", "página siguiente", "página anterior", "leer más", "iniciar sesión", "menú principal",
+)
+#: What notices say.
+BOILERPLATE_PHRASES = (
+    "all rights reserved", "cookie policy", "cookies policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum",
+    "subscribe to our newsletter", "click here to", "licensed under", "released under the", "copyright (c)", "copyright ©",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "activer javascript", "cliquez ici pour", "sous licence",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren", "hier klicken", "lizenziert unter",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "active javascript", "haga clic aquí", "bajo la licencia",
+)
+#: Lines of at most so many words are short.
+SHORT = 10
+
+
+def phrase_pattern(phrases: tuple[str, ...]) -> str:
+    """Any of the phrases, not inside a word; upper or lower case is for the engine to ignore."""
+    return r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(p.replace("(", r"\(").replace(")", r"\)").replace(" ", " +") for p in phrases) + r")(?:\z|[^\p{L}\p{N}])"
 
 
 def _count(line: Column, pattern: str) -> Column:
@@ -29,18 +50,22 @@ def _count(line: Column, pattern: str) -> Column:
 def line_passes(line: Column) -> Column:
     """Whether a line passes the punctuation, navigation and boilerplate rules.
 
-    Punctuation: a sentence end in the line, no more than one symbol to five
+    Punctuation: a sentence end at the line's end, no more than one symbol to five
     words and no more than three in ten words followed by doubled marks (!!, ??).
-    Navigation: fewer than three separators, or under one to five words.
-    Boilerplate: none of the phrases. A line without a word passes.
+    Navigation: fewer than three separators, or under one to five words; and no
+    navigation phrase in a line of ten words or fewer. Boilerplate: none of the
+    phrases. A line without a word passes.
     """
     words = _count(line, r"[^\x20\x09-\x0D]+")
+    has = lambda phrases: line.rlike("(?iu)" + phrase_pattern(phrases))
+    # words are counted only where one of the rules needs them
     return ~line.rlike(SAYS) | (
         line.rlike(SENTENCE_END)
-        & (5 * _count(line, SYMBOL) <= words)
-        & (10 * _count(line, r"[!?]{2,}") <= 3 * words)
-        & ~((_count(line, SEPARATOR) >= 3) & (5 * _count(line, SEPARATOR) >= words))
-        & ~line.rlike(BOILERPLATE)
+        & (~line.rlike(SYMBOL) | (5 * _count(line, SYMBOL) <= words))
+        & (~line.rlike(SHOUT) | (10 * _count(line, SHOUT) <= 3 * words))
+        & ~(line.rlike(SEPARATOR) & (_count(line, SEPARATOR) >= 3) & (5 * _count(line, SEPARATOR) >= words))
+        & ~(has(NAVIGATION_PHRASES) & (words <= SHORT))
+        & ~has(BOILERPLATE_PHRASES)
     )
 
 
@@ -78,11 +103,13 @@ def quality(docs: DataFrame, *, max_loss: float = 0.5, text_col: str = "text") -
     windows. Then each line is judged on its own (line_passes); failing lines go,
     and the document is rejected if those held more than `max_loss` of the
     characters of its words. Everything happens within the row; nothing is
-    shuffled and no Python runs.
+    shuffled and no Python runs. The struct comes out of a generator, so that a
+    filter on it is not pushed below it and no row is judged twice.
 
     Null text: no words, cleaned null, failed. Empty text: no words, failed.
-    Repeated rows: judged alike. Any other columns, also one named quality, which
-    is replaced, play no part.
+    Very long texts: arrays of a row's words and lines are held, so memory grows
+    with the longest text. Repeated rows: judged alike. Any other columns, also one
+    named quality, which is replaced, play no part. An empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -121,7 +148,7 @@ def quality(docs: DataFrame, *, max_loss: float = 0.5, text_col: str = "text") -
                         v["lines"]["n_lines"].alias("n_lines"),
                         F.size(F.filter(v["lines"]["each"], lambda x: ~x["ok"])).cast("long").alias("n_failed_lines"),
                         (c["all"] - c["left"]).alias("removed_chars"),
-                        cleaned.alias("cleaned"),
+                        F.when(v["known"], cleaned).alias("cleaned"),
                     ),
                 ),
             )
@@ -131,12 +158,11 @@ def quality(docs: DataFrame, *, max_loss: float = 0.5, text_col: str = "text") -
             F.length(without(t)).cast("long").alias("chars"),
             (F.length(t) - F.length(F.regexp_replace(t, SYMBOL, ""))).cast("long").alias("symbols"),
             let(lines, of_lines).alias("lines"),
+            F.col(text_col).isNotNull().alias("known"),
         )
         return let(facts, result)
 
-    found = let(text, judged)
-    cleaned = F.when(F.col(text_col).isNotNull(), F.col("quality.cleaned"))
-    return docs.withColumn("quality", found).withColumn("quality", F.col("quality").withField("cleaned", cleaned))
+    return docs.drop("quality").withColumn("quality", F.explode(F.array(let(text, judged))))
 
 
 def _base_failed(words: Column) -> Column:

@@ -14,7 +14,7 @@ from tidewater.llm.decontamination import contaminated
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.ngram_join import similar_documents
 from tidewater.llm.packing import pack
-from tidewater.llm.quality import quality
+from tidewater.llm.quality import BOILERPLATE_PHRASES, NAVIGATION_PHRASES, SENTENCE_END, phrase_pattern, quality
 from tidewater.llm.substring_dedup import remove_repeated
 from tidewater.llm.token_counts import token_counts
 
@@ -66,7 +66,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_words=8)
+    kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), unit="word", units_per_edit=8)
     return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -119,12 +119,13 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(
 judged AS (
   SELECT doc_id, t, words, lines, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS said,
     list_filter(lines, lambda x: NOT regexp_matches(x, '[^\x20\x09-\x0D]') OR (
-      regexp_matches(x, '[.!?…。！？؟।]')
+      regexp_matches(x, '[SENTENCE_END]')
       AND 5 * len(regexp_extract_all(x, '[#*$%&|<>]')) <= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
       AND 10 * len(regexp_extract_all(x, '[!?]{2,}')) <= 3 * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
       AND NOT (len(regexp_extract_all(x, '(^| )[|»›•·→]+( |$)')) >= 3
         AND 5 * len(regexp_extract_all(x, '(^| )[|»›•·→]+( |$)')) >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
-      AND NOT regexp_matches(x, '(?i)(all rights reserved|cookies? policy|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our newsletter|click here to|(licensed|released) under (the |cc |an? )|copyright (\(c\)|©))')
+      AND NOT (regexp_matches(x, '(?i)[NAVIGATION]') AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 10)
+      AND NOT regexp_matches(x, '(?i)[BOILERPLATE]')
     )) AS passed
   FROM w),
 facts AS (
@@ -141,6 +142,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM facts
 """
 
+for _name, _pattern in (("SENTENCE_END", SENTENCE_END), ("NAVIGATION", phrase_pattern(NAVIGATION_PHRASES)), ("BOILERPLATE", phrase_pattern(BOILERPLATE_PHRASES))):
+    OP1_SQL = OP1_SQL.replace(f"[{_name}]", _pattern.replace("'", "''"))
+
 #: Turns and loss from the table; windows by a recursive walk over each conversation's prefix sums.
 OP3_SQL = r"""
 WITH RECURSIVE
