@@ -23,7 +23,7 @@ def test_bm25_is_that_of_a_full_text_index(spark):
         match = " OR ".join(f'"{w}"' for w in query.split())
         expected = dict(db.execute("SELECT id, bm25(t) FROM t WHERE t MATCH ?", [match]).fetchall())
         asked = phrases(query)
-        got = dict(lexical.bm25(spark, index, lengths, lexical.corpus_stats(lengths), asked).collect())
+        got = dict(lexical.bm25(spark, index, lengths, lexical.stats_of(lengths), asked).collect())
         assert got.keys() == expected.keys(), query
         assert all(abs(got[k] - v) < 1e-9 for k, v in expected.items()), query
 

@@ -17,6 +17,15 @@ def query_metrics(retrieved: DataFrame, relevant: DataFrame, k: int) -> DataFram
     return hits.groupBy("query_id").agg((found / F.count("*")).alias("recall_at_k"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def judged_metrics(retrieved: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """query_metrics() where relevance is a property of the hit: of retrieved (query_id, rank, relevant) and judged (query_id, n_relevant), at
+    most one row a query with n_relevant over 0. The relevant rows are counted, not paired with the queries."""
+    rank = F.when(F.col("relevant"), F.col("rank"))
+    hits = retrieved.groupBy("query_id").agg(F.count(F.when(rank <= k, 1)).alias("found"), F.min(rank).alias("first"))
+    both = judged.join(hits, "query_id", "left")
+    return both.select("query_id", (F.coalesce("found", F.lit(0)) / F.col("n_relevant")).alias("recall_at_k"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
 def category_breakdown(metrics: DataFrame, categories: DataFrame) -> DataFrame:
     """(category, query_count, mean_recall_at_k, mrr); every category has a row. categories: (query_id, category)."""
     spark = metrics.sparkSession

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewater.errors import InvalidQueryError
 from tidewater.functions.tokens import phrases, tokens
 
+#: n, the number of chunks, and their mean length; (0, 0) of none.
+Stats = tuple[float, float]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MAX_RESULTS = 50
 
@@ -19,6 +21,14 @@ def postings(docs: DataFrame, fields: list[str], id_col: str = "chunk_id") -> Da
     return each.groupBy("term", id_col, "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def term_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(term, n_chunks, n_places): in how many rows, and how often in all, each token stands. One grouping, which pre-aggregates."""
+    said = F.concat(*[tokens(F.col(f)) for f in fields])
+    count = lambda chunks, places: lambda t: F.struct(t.alias("term"), F.lit(chunks).alias("c"), F.lit(places).alias("p"))
+    rows = docs.select(said.alias("t")).select(F.explode(F.concat(F.transform("t", count(0, 1)), F.transform(F.array_distinct("t"), count(1, 0)))).alias("x"))
+    return rows.groupBy("x.term").agg(F.sum("x.c").alias("n_chunks"), F.sum("x.p").alias("n_places"))
+
+
 def lengths(docs: DataFrame, fields: list[str], id_col: str = "chunk_id") -> DataFrame:
     """(id, length): tokens over all fields."""
     total = sum((F.size(tokens(F.col(f))) for f in fields[1:]), F.size(tokens(F.col(fields[0]))))
@@ -30,6 +40,12 @@ def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
 
+def stats_of(doc_lengths: DataFrame) -> Stats:
+    """corpus_stats() as two numbers."""
+    n, mean = corpus_stats(doc_lengths).first()
+    return float(n), float(mean or 0.0)
+
+
 def phrase_frequencies(spark: SparkSession, index: DataFrame, asked: list[list[str]], id_col: str = "chunk_id") -> DataFrame:
     """(phrase, id, frequency): how often each phrase's tokens stand next to each other within a field.
 
@@ -46,16 +62,16 @@ def phrase_frequencies(spark: SparkSession, index: DataFrame, asked: list[list[s
     return whole.groupBy("phrase", id_col).agg(F.count("*").alias("frequency"))
 
 
-def bm25(spark: SparkSession, index: DataFrame, doc_lengths: DataFrame, stats: DataFrame, asked: list[list[str]], id_col: str = "chunk_id") -> DataFrame:
+def bm25(spark: SparkSession, index: DataFrame, doc_lengths: DataFrame, stats: Stats, asked: list[list[str]], id_col: str = "chunk_id") -> DataFrame:
     """(id, score) of the chunks with any phrase; lower is better. A phrase asked twice counts twice; contributions are added in the query's order, so equal chunks tie."""
     found = phrase_frequencies(spark, index, asked, id_col)
     spread = found.groupBy("phrase").agg(F.count("*").alias("n_with"))
-    joined = found.join(F.broadcast(spread), "phrase").join(doc_lengths, id_col).crossJoin(F.broadcast(stats))
-    n, w = F.col("n").cast("double"), F.col("n_with").cast("double")
+    joined = found.join(F.broadcast(spread), "phrase").join(doc_lengths, id_col)
+    n, mean, w = F.lit(float(stats[0])), F.lit(float(stats[1])), F.col("n_with").cast("double")
     idf = F.log((n - w + 0.5) / (w + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     f = F.col("frequency").cast("double")
-    part = idf * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("mean")))
+    part = idf * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean))
     parts = joined.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("phrase", part.alias("part")))).alias("parts"))
     return parts.select(id_col, (-F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))
 
@@ -69,12 +85,26 @@ def checked_query(query: str, max_results: int, most: int = MAX_RESULTS) -> str:
     return query.strip()
 
 
-def search(spark: SparkSession, index: DataFrame, doc_lengths: DataFrame, stats: DataFrame, query: str, *, tie: list[str | Column], details: DataFrame, max_results: int = 10, id_col: str = "chunk_id") -> DataFrame:
+def search(spark: SparkSession, index: DataFrame, doc_lengths: DataFrame, stats: Stats, query: str, *, tie: list[str], details: DataFrame, max_results: int = 10, id_col: str = "chunk_id") -> DataFrame:
     """The best chunks with details' columns, score and rank; ties go by `tie`, columns of details."""
     asked = phrases(checked_query(query, max_results))
     scored = bm25(spark, index, doc_lengths, stats, asked, id_col) if asked else spark.createDataFrame([], f"`{id_col}` {details.schema[id_col].dataType.simpleString()}, score double")
-    best = details.join(scored, id_col).orderBy("score", *tie).limit(max_results)
-    return ranked(best, ["score", *tie])
+    return best_with_details(scored, "score", details, tie, max_results, id_col)
+
+
+def best_with_details(scored: DataFrame, by: str, details: DataFrame, tie: list[str], n: int, id_col: str, digits: int | None = None) -> DataFrame:
+    """The n rows of scored (id, by) that come first by `by`, ties by columns of details, with details' columns and rank.
+
+    The n-th score is found first. Only ids up to it meet the columns that break ties, and only the n chosen ones meet the rest.
+    `digits` rounds scores before they are compared.
+    """
+    value = F.round(by, digits) if digits else F.col(by)
+    last = scored.select(value.alias("_v")).orderBy("_v").limit(n).agg(F.max("_v").alias("_last"))
+    few = scored.join(F.broadcast(last), value <= F.col("_last")).drop("_last")
+    breaking = list(dict.fromkeys([id_col, *tie]))
+    best = few.join(details.select(breaking), id_col).orderBy(value, *tie).limit(n)
+    chosen = details.join(F.broadcast(best.select(id_col, by)), id_col)
+    return ranked(chosen, [value, *tie])
 
 
 def ranked(best: DataFrame, order: list) -> DataFrame:

@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.vectors import l2_distance
-from tidewater.operators.lexical import ranked
+from tidewater.operators.lexical import best_with_details
+from tidewater.sources.tables import shared_folder
 
 
-def nearest(vectors: DataFrame, query: list[float], *, details: DataFrame, tie: list, max_results: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """The nearest chunks with details' columns, distance and rank; each task keeps its best before they meet."""
+def nearest(vectors: DataFrame, query: list[float], *, details: DataFrame, tie: list[str], max_results: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """The nearest chunks with details' columns, distance and rank. Distances alone pick what details are looked up for."""
     distance = l2_distance(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query]))
-    best = details.join(vectors.select(id_col, distance.alias("distance")), id_col).orderBy("distance", *tie).limit(max_results)
-    return ranked(best, ["distance", *tie])
+    return best_with_details(vectors.select(id_col, distance.alias("distance")), "distance", details, tie, max_results, id_col)
 
 
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, query_col: str, vector_col: str = "embedding", block: int = 500) -> DataFrame:
     """(query, id, distance, rank): for each row of queries (query, vector) its k nearest vectors.
 
-    A stated query set against all rows, in blocks: at most `block` queries are broadcast
-    at a time, and each partition keeps a query's k best before the shuffle.
+    A stated query set against all rows, in blocks of about `block` queries, of which one at a time is broadcast; each
+    task keeps a query's k best before the shuffle. If there are several blocks, the queries are written once with their block's
+    number, and each block's result is written before the next.
     """
     asked = queries.select(F.col(query_col).alias("query"), F.col(vector_col).alias("asked"))
-    rows = asked.collect() if asked.count() <= block else None
-    blocks = [rows] if rows is not None else _blocks(asked, block)
-    out = None
-    for part in blocks:
-        few = F.broadcast(vectors.sparkSession.createDataFrame(part, asked.schema))
-        pairs = vectors.crossJoin(few).select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
-        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", id_col))).filter(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
-def _blocks(asked: DataFrame, block: int):
-    part = []
-    for row in asked.toLocalIterator():
-        part.append(row)
-        if len(part) == block:
-            yield part
-            part = []
-    if part:
-        yield part
+    blocks = -(-asked.count() // block)
+    if blocks <= 1:
+        return _nearest_of(vectors, asked, k, id_col, vector_col)
+    spark, at = vectors.sparkSession, f"{shared_folder(vectors.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    numbered.write.partitionBy("block").parquet(f"{at}/queries")
+    for b in range(blocks):
+        part = spark.read.schema(numbered.schema).parquet(f"{at}/queries").filter(F.col("block") == b).drop("block")
+        _nearest_of(vectors, part, k, id_col, vector_col).write.mode("append").parquet(f"{at}/found")
+    return spark.read.parquet(f"{at}/found")
+
+
+def _nearest_of(vectors: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    pairs = vectors.join(F.broadcast(asked), how="cross").select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", id_col))).filter(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import fingerprints, text, tokens, vectors
 from tidewater.operators import chunking, evaluation, fusion, lexical, vector
+from tidewater.sources.tables import spread
 
 QUERY = "the of/the stupid Émentre and"
 FIELDS = ["title", "relative_path", "section", "text"]
@@ -20,7 +21,7 @@ BOUND = 400
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _path() -> Column:
@@ -106,7 +107,7 @@ lex AS (
 def _index(spark: SparkSession, sf_dir: str):
     docs = corpus(spark, sf_dir)
     lengths = lexical.lengths(docs, FIELDS)
-    return docs, lexical.postings(docs, FIELDS), lengths, lexical.corpus_stats(lengths)
+    return docs, lexical.postings(docs, FIELDS), lengths, lexical.stats_of(lengths)
 
 
 # --- identities, formats, text -------------------------------------------------
@@ -154,8 +155,9 @@ def processing_fingerprint(spark, sf_dir):
 
 def embedding_fingerprint(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("dimension")).groupBy("dimension").agg(F.count("*").alias("n"))
-    json = F.concat(F.lit('{"dimension":'), F.col("dimension").cast("string"), F.lit(f',"embedding_text_version":"{fingerprints.EMBEDDING_TEXT_VERSION}","model_id":"digest","model_revision":null,"provider_type":"fake"}}'))
-    return e.select("dimension", "n", F.sha2(json, 256).alias("fingerprint"))
+    known = {d: fingerprints.embedding_fingerprint("fake", "digest", None, d) for (d,) in e.select("dimension").collect()}
+    of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return e.select("dimension", "n", of[F.col("dimension")].alias("fingerprint"))
 
 
 # --- chunking --------------------------------------------------------------------
@@ -248,15 +250,14 @@ def sync_merge(spark, sf_dir):
 def vector_rebuild_input(spark, sf_dir):
     c = corpus(spark, sf_dir)
     embedded = text.embedding_text(F.col("title"), F.col("section_path"), F.col("text"))
-    return c.select("chunk_id", F.row_number().over(Window.partitionBy("document_id").orderBy("ordinal")).alias("place"), vectors.digest_vector(embedded, 8)[0].alias("first"))
+    return c.select("chunk_id", F.posexplode(vectors.digest_vector(embedded, 8)).alias("i", "value"))
 
 
 # --- lexical -------------------------------------------------------------------------
 
 
 def token_postings(spark, sf_dir):
-    got = lexical.postings(corpus(spark, sf_dir), FIELDS)
-    return got.groupBy("term").agg(F.countDistinct("chunk_id").alias("n_chunks"), F.sum(F.size("positions")).alias("n_places"))
+    return lexical.term_counts(corpus(spark, sf_dir), FIELDS)
 
 
 def corpus_stats(spark, sf_dir):
@@ -277,8 +278,7 @@ def _lexical(spark, sf_dir, n: int) -> DataFrame:
     details = docs.select("chunk_id", "doc_id", "relative_path", "content_hash")
     # equal chunks in theory can differ in the last bit between engines; ties go by the rounded score
     scored = lexical.bm25(spark, index, lengths, stats, tokens.phrases(QUERY))
-    best = details.join(scored, "chunk_id").orderBy(F.round("score", 9), "relative_path", "chunk_id").limit(n)
-    return lexical.ranked(best, [F.round("score", 9), "relative_path", "chunk_id"])
+    return lexical.best_with_details(scored, "score", details, ["relative_path", "chunk_id"], n, "chunk_id", digits=9)
 
 
 def lexical_topk(spark, sf_dir):
@@ -374,13 +374,15 @@ def golden_resolve(spark, sf_dir):
 
 
 def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Metrics of knn_batch: a query's relevant vectors are those of its label among the first 200 and itself."""
+    """Metrics of knn_batch: a query's relevant vectors are all those of its label, itself too."""
     e = _table(spark, sf_dir, "embeddings")
     asked = e.filter("vec_id % 50 = 0")
-    got = vector.nearest_each(e, asked, 5, id_col="vec_id", query_col="vec_id").select(F.col("query").alias("query_id"), F.col("vec_id").alias("id"), "rank")
-    relevant = asked.select(F.col("vec_id").alias("query_id"), "label").join(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "label"), "label")
+    got = vector.nearest_each(e, asked, 5, id_col="vec_id", query_col="vec_id").select(F.col("query").alias("query_id"), "vec_id", "rank")
+    own = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    hits = got.join(e.select("vec_id", "label"), "vec_id").join(own, "query_id").select("query_id", "rank", (F.col("label") == F.col("own")).alias("relevant"))
+    judged = own.join(e.groupBy(F.col("label").alias("own")).agg(F.count("*").alias("n_relevant")), "own").select("query_id", "n_relevant")
     category = F.element_at(F.array(*map(F.lit, evaluation.CATEGORIES)), (F.col("label") % 2 + 1).cast("int"))
-    return evaluation.query_metrics(got, relevant, 5), asked.select(F.col("vec_id").alias("query_id"), category.alias("category"))
+    return evaluation.judged_metrics(hits, judged, 5), asked.select(F.col("vec_id").alias("query_id"), category.alias("category"))
 
 
 def recall_at_k(spark, sf_dir):
@@ -413,7 +415,7 @@ asked AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0),
 near AS (
   SELECT * FROM (SELECT q.vec_id AS query, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rank FROM asked q, embeddings e) WHERE rank <= 5),
-golden AS (SELECT a.vec_id AS query_id, a.label, e.vec_id AS id FROM asked a JOIN embeddings e ON a.label = e.label AND e.vec_id % 20 = 0),
+golden AS (SELECT a.vec_id AS query_id, a.label, e.vec_id AS id FROM asked a JOIN embeddings e ON a.label = e.label),
 metrics AS (
   SELECT query_id, any_value(label) AS label, count(rank) / count(*) AS recall_at_k, coalesce(1 / min(rank), 0) AS reciprocal_rank
   FROM golden g LEFT JOIN near n ON n.query = g.query_id AND n.vec_id = g.id GROUP BY query_id)
@@ -477,7 +479,7 @@ sha256(title || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Part ' || source_id ||
         "sync_classification": f"WITH {CORPUS}, {_SNAPSHOTS} SELECT source_id, status, count(*) AS n FROM status GROUP BY source_id, status",
         "sync_deletes": f"WITH {CORPUS}, {_SNAPSHOTS} SELECT document_id, source_id FROM before WHERE document_id NOT IN (SELECT document_id FROM now)",
         "sync_merge": f"WITH {CORPUS}, {_SNAPSHOTS} SELECT document_id, content_hash, fingerprint FROM now",
-        "vector_rebuild_input": f"""WITH {CORPUS} SELECT chunk_id, 1 AS place, ('0x' || substr(sha256(title || chr(10) || text), 1, 2))::INT::DOUBLE / 255.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE AS first FROM corpus""",
+        "vector_rebuild_input": f"""WITH {CORPUS} SELECT chunk_id, i::INT AS i, ('0x' || substr(sha256(title || chr(10) || text), (i * 2 + 1)::INT, 2))::INT::DOUBLE / 255.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE AS value FROM corpus, range(8) AS r(i)""",
         "token_postings": f"WITH {CORPUS}, {INDEX} SELECT term, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_places FROM tok GROUP BY term",
         "corpus_stats": f"WITH {CORPUS}, {INDEX} SELECT n, round(mean, 9) AS mean FROM stats",
         "bm25_term": bm25("stupid"),
