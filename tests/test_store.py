@@ -1,12 +1,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater import errors
 from tidewater.operators.embeddings import DigestProvider
 from tidewater.plans.cli import main
 from tidewater.plans.golden import GoldenDataset, recall_at_k, reciprocal_rank, run_evaluation
-from tidewater.plans.ingest import ingest, rebuild_vectors
+from tidewater.plans.ingest import ingest, rebuild_lexical, rebuild_vectors
 from tidewater.plans.service import KnowledgeService, result_of
 from tidewater.plans.tools import tools
 from tidewater.sources.files import folder
@@ -93,6 +94,101 @@ def test_a_failed_sync_changes_nothing(spark, files, tmp_path):
         Store(spark, tmp_path / "store")
 
 
+def raw(spark, *rows):
+    return spark.createDataFrame([("s", *r) for r in rows], "source_id string, relative_path string, content string")
+
+
+def tables_of(store):
+    return sorted(str(p.relative_to(store.path)) for p in store.path.glob("*/*"))
+
+
+def test_a_sync_writes_only_what_changed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidewater.plans.ingest.MAX_DELTAS", 3)
+    store, provider = Store(spark, tmp_path / "store"), DigestProvider()
+    ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\ntwo"), ("c.txt", "three")))
+    rebuild_vectors(store, provider)
+    before, manifest = tables_of(store), store.manifest()
+    assert ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\ntwo"), ("c.txt", "three"))).unchanged == 3
+    assert tables_of(store) == before and store.manifest() == manifest
+    done = ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\nchanged"), ("d.txt", "four")), provider=provider)
+    assert (done.created, done.updated, done.deleted, done.unchanged) == (1, 1, 1, 1)
+    new = [t for t in tables_of(store) if t not in before]
+    assert sorted(t.split("/")[0] for t in new) == ["chunks", "documents", "gone", "lengths", "postings", "vectors"]
+    assert spark.read.parquet(str(store.path / next(t for t in new if t.startswith("chunks")))).count() == 2
+
+    for k in range(3):
+        ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), ("d.txt", "four")), provider=provider)
+        assert sorted(r.text for r in store.table("chunks").collect()) == ["# A\none", f"# B\nagain {k}", "four"]
+    assert store.manifest()["sources"]["s"]["delta"] < 3
+    fresh = Store(spark, tmp_path / "fresh")
+    ingest(fresh, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), ("d.txt", "four")))
+    rebuild_vectors(fresh, provider)
+    for name in ("chunks", "postings", "lengths", "vectors"):
+        rows = [sorted(map(repr, s.table(name).collect())) for s in (store, fresh)]
+        assert rows[0] == rows[1], name
+    assert store.stats() == fresh.stats()
+
+
+def test_what_a_sync_refuses(spark, tmp_path):
+    store = Store(spark, tmp_path / "store")
+    with pytest.raises(errors.IngestionError, match="several contents"):
+        ingest(store, "s", raw(spark, ("a.md", "one"), ("./a.md", "two")))
+    assert ingest(store, "s", raw(spark, ("a.md", "one"), ("./a.md", "one"))).created == 1
+    for bad, error in ((("", raw(spark)), errors.SourceConfigurationError), (("t", raw(spark, ("a.md", "x"))), errors.IngestionError), (("s", raw(spark, ("a.md", None))), errors.IngestionError), (("s", raw(spark, ("a.pdf", "x"))), errors.UnsupportedDocumentFormatError), (("s", raw(spark, ("../a.md", "x"))), errors.IngestionError)):
+        with pytest.raises(error):
+            ingest(store, *bad)
+    assert store.table("documents").count() == 1
+
+
+def test_lost_postings_are_made_anew_and_corrupt_rows_are_found(spark, tmp_path):
+    store = Store(spark, tmp_path / "store")
+    ingest(store, "s", raw(spark, ("a.md", "# A\nalpha beta"), ("b.md", "beta")))
+    service, manifest = KnowledgeService(store), store.manifest()
+    found = service.search("beta").results
+    lost = json.loads(json.dumps(manifest))
+    del lost["sources"]["s"]["tables"]["postings"]
+    store.publish(lost)
+    with pytest.raises(errors.IndexUnavailableError):
+        service.search("beta")
+    assert rebuild_lexical(store) == 2 and service.search("beta").results == found
+    chunk = found[0]["chunk_id"]
+    bad = store.table("chunks").withColumn("text", F.lit("not what was written"))
+    spoilt = store.manifest()
+    spoilt["sources"]["s"]["tables"]["chunks"] = [[store.write("chunks", "s", bad), 1]]
+    store.publish(spoilt)
+    for read in (lambda: service.get_chunk(chunk), lambda: service.search("beta")):
+        with pytest.raises(errors.StoreError, match="corrupt in text"):
+            read()
+
+
+def test_texts_are_read_for_the_chosen_chunks_only(spark, tmp_path):
+    """No text enters a join before the limit."""
+    store = Store(spark, tmp_path / "store")
+    ingest(store, "s", raw(spark, ("a.md", "# A\nalpha beta"), ("b.md", "beta")))
+    plan = KnowledgeService(store).lexical("beta", 1)._jdf.queryExecution().optimizedPlan().toString()
+    limit = next(k for k, line in enumerate(plan.splitlines()) if "GlobalLimit" in line)
+    below = [line for line in plan.splitlines()[limit:] if "Relation" in line or "Project" in line]
+    inner = plan.splitlines()[limit]
+    depth = len(inner) - len(inner.lstrip(" :+-"))
+    below = [x for x in plan.splitlines()[limit + 1 :] if len(x) - len(x.lstrip(" :+-")) > depth]
+    assert below and not any("text#" in x for x in below if "Project" in x)
+
+
+def test_stream_with_vectors_and_rows_of_another_source(spark, tmp_path):
+    store, provider = Store(spark, tmp_path / "store"), DigestProvider()
+    ingest(store, "s", raw(spark, ("a.md", "one")))
+    rebuild_vectors(store, provider)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"source_id": "s", "relative_path": "b.md", "content": "two"}))
+    arriving = spark.readStream.schema("source_id string, relative_path string, content string").json(str(tmp_path / "in"))
+    follow(arriving, store, "s", checkpoint=str(tmp_path / "cp"), provider=provider, available_now=True).awaitTermination()
+    assert store.table("vectors").count() == 2 == store.table("documents").count()
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"source_id": "t", "relative_path": "c.md", "content": "three"}))
+    with pytest.raises(Exception, match="not of source s"):
+        follow(arriving, store, "s", checkpoint=str(tmp_path / "cp"), provider=provider, available_now=True).awaitTermination()
+    assert store.table("documents").count() == 2
+
+
 def test_stream_upserts(spark, tmp_path):
     store = Store(spark, tmp_path / "store")
     (tmp_path / "in").mkdir()

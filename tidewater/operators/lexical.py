@@ -14,11 +14,12 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MAX_RESULTS = 50
 
 
-def postings(docs: DataFrame, fields: list[str], id_col: str = "chunk_id") -> DataFrame:
-    """(term, id, field, positions): where each token stands."""
+def postings(docs: DataFrame, fields: list[str], id_col: str = "chunk_id", more: list[str] | None = None) -> DataFrame:
+    """(term, id, more columns of the row, field, positions): where each token stands."""
+    ids = [id_col, *(more or [])]
     by_field = F.array(*[F.struct(F.lit(k).alias("field"), tokens(F.col(f)).alias("tokens")) for k, f in enumerate(fields)])
-    each = docs.select(id_col, F.explode(by_field).alias("f")).select(id_col, "f.field", F.posexplode("f.tokens").alias("position", "term"))
-    return each.groupBy("term", id_col, "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    each = docs.select(*ids, F.explode(by_field).alias("f")).select(*ids, "f.field", F.posexplode("f.tokens").alias("position", "term"))
+    return each.groupBy("term", *ids, "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def term_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -29,10 +30,10 @@ def term_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
     return rows.groupBy("x.term").agg(F.sum("x.c").alias("n_chunks"), F.sum("x.p").alias("n_places"))
 
 
-def lengths(docs: DataFrame, fields: list[str], id_col: str = "chunk_id") -> DataFrame:
-    """(id, length): tokens over all fields."""
+def lengths(docs: DataFrame, fields: list[str], id_col: str = "chunk_id", more: list[str] | None = None) -> DataFrame:
+    """(id, more columns of the row, length): tokens over all fields."""
     total = sum((F.size(tokens(F.col(f))) for f in fields[1:]), F.size(tokens(F.col(fields[0]))))
-    return docs.select(id_col, total.cast("long").alias("length"))
+    return docs.select(id_col, *(more or []), total.cast("long").alias("length"))
 
 
 def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def bm25(spark: SparkSession, index: DataFrame, doc_lengths: DataFrame, stats: S
     """(id, score) of the chunks with any phrase; lower is better. A phrase asked twice counts twice; contributions are added in the query's order, so equal chunks tie."""
     found = phrase_frequencies(spark, index, asked, id_col)
     spread = found.groupBy("phrase").agg(F.count("*").alias("n_with"))
-    joined = found.join(F.broadcast(spread), "phrase").join(doc_lengths, id_col)
+    joined = found.join(F.broadcast(spread), "phrase").join(doc_lengths.select(id_col, "length"), id_col)
     n, mean, w = F.lit(float(stats[0])), F.lit(float(stats[1])), F.col("n_with").cast("double")
     idf = F.log((n - w + 0.5) / (w + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)

@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.errors import EmbeddingError, IngestionError, UnsupportedDocumentFormatError, VectorIndexIncompatibleError
+from tidewater.errors import EmbeddingError, IngestionError, SourceConfigurationError, UnsupportedDocumentFormatError, VectorIndexIncompatibleError
 from tidewater.functions import text
 from tidewater.functions.fingerprints import processing_fingerprint
 from tidewater.functions.vectors import valid_vector
@@ -16,7 +16,7 @@ from tidewater.operators import lexical
 from tidewater.operators.chunking import chunks
 from tidewater.operators.embeddings import EmbeddingProvider, fingerprint_of
 from tidewater.plans.sync import classify
-from tidewater.sources.store import SCHEMAS, Store
+from tidewater.sources.store import MAX_DELTAS, Store
 
 #: The indexed fields, in the order of postings.field.
 FIELDS = ["title", "relative_path", "section", "text"]
@@ -71,15 +71,26 @@ def embedded(chunk_rows: DataFrame, documents: DataFrame, provider: EmbeddingPro
     return indexed(chunk_rows, documents).select("chunk_id", "document_id", provider.embed_documents(whole).alias("embedding"))
 
 
-def _columns(name: str) -> list[str]:
-    return [c.split()[0] for c in SCHEMAS[name].split(", ")]
-
-
 def _refuse(found: DataFrame, condition: Column, error: type[Exception], label: str) -> None:
     if bad := found.filter(condition).head():
         raise error(f"{label}: {bad[0]}")
 
 
+def _incoming(store: Store, source_id: str, raw: DataFrame, max_chunk_chars: int, now: datetime) -> DataFrame:
+    """raw's documents, kept for the sync; rows that are of another source, have no path or format, or share a path with other content are refused."""
+    found = processed(raw, max_chunk_chars=max_chunk_chars, now=now).persist()
+    try:
+        _refuse(found.select("source_id"), ~F.col("source_id").eqNullSafe(F.lit(source_id)), IngestionError, f"not of source {source_id}")
+        _refuse(found.select("given", "relative_path", "text"), F.col("relative_path").isNull() | F.col("text").isNull(), IngestionError, "not a relative path, or no content")
+        _refuse(found.select("given", "format"), F.col("format").isNull(), UnsupportedDocumentFormatError, "no format for")
+        versions = found.groupBy("relative_path").agg(F.min("content_hash").alias("a"), F.max("content_hash").alias("b"))
+        _refuse(versions, F.col("a") != F.col("b"), IngestionError, "several contents for")
+    except Exception:
+        found.unpersist()
+        raise
+    return found
+
+
 def ingest(
     store: Store,
     source_id: str,
@@ -94,22 +105,23 @@ def ingest(
 ) -> IngestionResult:
     """Makes raw (source_id, relative_path, content) the snapshot of a source; nothing changes if any of it fails.
 
-    Only new and changed documents are chunked, indexed and embedded; the rest is taken over. Documents
+    Only new and changed documents are chunked, indexed, embedded and written, chunked once; the rest stays where it is. Documents
     that are missing are deleted, unless keep_missing. If a vector index is active, what is written must be
     embedded by its model; without an active one, vectors are not written.
     """
     store.require_writable()
+    if not source_id.strip():
+        raise SourceConfigurationError("source_id must not be blank")
     manifest = store.manifest()
-    found = processed(raw, max_chunk_chars=max_chunk_chars, now=now or datetime.now(UTC)).persist()
+    found = _incoming(store, source_id, raw, max_chunk_chars, now or datetime.now(UTC))
     try:
         discovered = found.count()
-        _refuse(found.select("given", "relative_path"), F.col("relative_path").isNull(), IngestionError, "not a relative path")
-        _refuse(found.select("given", "format"), F.col("format").isNull(), UnsupportedDocumentFormatError, "no format for")
-        found_once = found.dropDuplicates(["document_id"])
-        before = store.table("documents", source_id)
-        status = classify(before, found_once).persist()
+        now_once = found.dropDuplicates(["document_id"])
+        status = classify(store.table("documents", source_id), now_once).persist()
         counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
         n = {s: counts.get(s, 0) for s in ("created", "updated", "reprocessed", "unchanged", "deleted")}
+        if keep_missing:
+            n["deleted"] = 0
         writes = n["created"] + n["updated"] + n["reprocessed"]
 
         active = manifest["vector"]
@@ -119,38 +131,79 @@ def ingest(
         if active and not fingerprint and writes:
             raise VectorIndexIncompatibleError("a vector index is active, so what is written must be embedded")
 
-        kept_status = ["unchanged", "deleted"] if keep_missing else ["unchanged"]
-        kept = status.filter(F.col("status").isin(kept_status)).select("document_id")
-        changed = found_once.join(status.filter(F.col("status").isin("created", "updated", "reprocessed")).select("document_id"), "document_id", "left_semi")
-        new_chunks = chunks(changed.select("document_id", "text", "format"), max_chunk_chars=max_chunk_chars)
-        old_chunks = store.table("chunks", source_id).join(kept, "document_id", "left_semi")
-        documents = before.join(kept, "document_id", "left_semi").unionByName(changed.select(*_columns("documents")))
-        tables = {"documents": store.write("documents", source_id, documents.select(*_columns("documents")))}
-        tables["chunks"] = store.write("chunks", source_id, old_chunks.unionByName(new_chunks).select(*_columns("chunks")))
-        old_ids = old_chunks.select("chunk_id")
-        new_rows = indexed(new_chunks, changed)
-        postings = store.table("postings", source_id).join(old_ids, "chunk_id", "left_semi").unionByName(lexical.postings(new_rows, FIELDS))
-        lengths = store.table("lengths", source_id).join(old_ids, "chunk_id", "left_semi").unionByName(lexical.lengths(new_rows, FIELDS))
-        tables["postings"] = store.write("postings", source_id, postings.select(*_columns("postings")))
-        tables["lengths"] = store.write("lengths", source_id, lengths.select(*_columns("lengths")))
-        if active:
-            vectors = store.table("vectors", source_id).join(old_ids, "chunk_id", "left_semi")
-            if provider and writes:
-                vectors = vectors.unionByName(embedded(new_chunks, changed, provider))
-            tables["vectors"] = store.write("vectors", source_id, vectors.select(*_columns("vectors")))
-            _check_vectors(store, tables["vectors"], active["dimension"])
+        entry = manifest["sources"].get(source_id, {"tables": {}, "delta": 0, "stats": {"chunks": 0, "tokens": 0}})
+        entry |= {"source_type": source_type, "display_name": display_name}
+        of = lambda *kinds: status.filter(F.col("status").isin(*kinds)).select("document_id")
+        if writes or n["deleted"]:
+            changed = now_once.join(of("created", "updated", "reprocessed"), "document_id", "left_semi")
+            gone = of("updated", "reprocessed", *([] if keep_missing else ["deleted"])) if n["updated"] + n["reprocessed"] + n["deleted"] else None
+            _add_delta(store, source_id, entry, changed if writes else None, gone, max_chunk_chars, provider if active else None)
+            if active and writes:
+                _check_vectors(store, entry["tables"]["vectors"][-1][0], active["dimension"])
+            if entry["delta"] > MAX_DELTAS:
+                _write_anew(store, source_id, entry)
+            _count(store, entry)
+        status.unpersist()
     finally:
         found.unpersist()
-    manifest["sources"][source_id] = {"source_type": source_type, "display_name": display_name, "tables": tables}
+    manifest["sources"][source_id] = entry
     store.publish(manifest)
-    if keep_missing:
-        n["deleted"] = 0
     return IngestionResult(source_id, discovered, **n, embedding_fingerprint=fingerprint if active else None, vector_reindexed=writes if active and provider else None)
 
 
+def _add_delta(store: Store, source_id: str, entry: dict, changed: DataFrame | None, gone: DataFrame | None, max_chunk_chars: int, provider: EmbeddingProvider | None) -> None:
+    """Writes what is new and what is gone and adds it to the entry."""
+    entry["delta"] += 1
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        at = store.write(name, source_id, df)
+        entry["tables"][name] = [*entry["tables"].get(name, []), [at, entry["delta"]]]
+        return store.at(name, [at])
+
+    if gone is not None:
+        put("gone", gone)
+    if changed is not None:
+        documents = put("documents", changed)
+        chunk_rows = put("chunks", chunks(changed.select("document_id", "text", "format"), max_chunk_chars=max_chunk_chars))
+        put("postings", lexical_rows(chunk_rows, documents)[0])
+        put("lengths", lexical_rows(chunk_rows, documents)[1])
+        if provider:
+            put("vectors", embedded(chunk_rows, documents, provider))
+
+
+def lexical_rows(chunk_rows: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of chunks, with their document."""
+    named = indexed(chunk_rows, documents)
+    return tuple(f(named, FIELDS, more=["document_id"]) for f in (lexical.postings, lexical.lengths))
+
+
+def _write_anew(store: Store, source_id: str, entry: dict) -> None:
+    """The source's tables without what is gone, as its first delta."""
+    live = {name: store.live(name, entry) for name in entry["tables"] if name != "gone"}
+    entry["tables"] = {name: [[store.write(name, source_id, df), 1]] for name, df in live.items()}
+    entry["delta"] = 1
+
+
+def _count(store: Store, entry: dict) -> None:
+    n, total = store.live("lengths", entry).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    entry["stats"] = {"chunks": n, "tokens": total}
+
+
 def _check_vectors(store: Store, at: str, dimension: int) -> None:
-    written = store.spark.read.schema(SCHEMAS["vectors"]).parquet(str(store.path / at))
-    _refuse(written.select("chunk_id", "embedding"), ~valid_vector(F.col("embedding"), dimension), EmbeddingError, "not a vector of the index")
+    _refuse(store.at("vectors", [at]).select("chunk_id", "embedding"), ~valid_vector(F.col("embedding"), dimension), EmbeddingError, "not a vector of the index")
+
+
+def rebuild_lexical(store: Store) -> int:
+    """Makes postings and lengths of all sources anew from their chunks, without the sources' files: the number of chunks."""
+    store.require_writable()
+    manifest = store.manifest()
+    for source_id, entry in manifest["sources"].items():
+        made = lexical_rows(store.live("chunks", entry), store.live("documents", entry))
+        for name, df in zip(("postings", "lengths"), made, strict=True):
+            entry["tables"][name] = [[store.write(name, source_id, df), entry["delta"]]]
+        _count(store, entry)
+    store.publish(manifest)
+    return int(store.stats()[0])
 
 
 def rebuild_vectors(store: Store, provider: EmbeddingProvider) -> tuple[str, int]:
@@ -158,10 +211,10 @@ def rebuild_vectors(store: Store, provider: EmbeddingProvider) -> tuple[str, int
     store.require_writable()
     manifest = store.manifest()
     for source_id, entry in manifest["sources"].items():
-        vectors = embedded(store.table("chunks", source_id), store.table("documents", source_id), provider)
+        vectors = embedded(store.live("chunks", entry), store.live("documents", entry), provider)
         at = store.write("vectors", source_id, vectors)
         _check_vectors(store, at, provider.dimension)
-        entry["tables"]["vectors"] = at
+        entry["tables"]["vectors"] = [[at, entry["delta"]]]
     manifest["vector"] = {"fingerprint": fingerprint_of(provider), "dimension": provider.dimension}
     store.publish(manifest)
     return manifest["vector"]["fingerprint"], store.table("vectors").count()

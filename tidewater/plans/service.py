@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.errors import InvalidQueryError, VectorIndexIncompatibleError, VectorIndexUnavailableError
+from tidewater.errors import IndexUnavailableError, InvalidQueryError, StoreError, VectorIndexIncompatibleError, VectorIndexUnavailableError
 from tidewater.functions.text import section_display
 from tidewater.operators import fusion, lexical, vector
 from tidewater.operators.embeddings import EmbeddingProvider, fingerprint_of
@@ -62,10 +64,11 @@ class KnowledgeService:
         return self.store.table("chunks").join(docs, "document_id")
 
     def lexical(self, query: str, n: int) -> DataFrame:
-        lengths = self.store.table("lengths")
-        return lexical.search(
-            self.store.spark, self.store.table("postings"), lengths, lexical.corpus_stats(lengths), query, tie=TIE, details=self._details(), max_results=n
-        )
+        lexical.checked_query(query, n)
+        if any("postings" not in s["tables"] for s in self.store.manifest()["sources"].values() if s["stats"]["chunks"]):
+            raise IndexUnavailableError("a source has no postings; rebuild the lexical index")
+        postings, lengths = self.store.table("postings"), self.store.table("lengths")
+        return lexical.search(self.store.spark, postings, lengths, self.store.stats(), query, tie=TIE, details=self._details(), max_results=n)
 
     def vector(self, query: str, n: int) -> DataFrame:
         stripped = lexical.checked_query(query, n)
@@ -95,13 +98,13 @@ class KnowledgeService:
             raise InvalidQueryError(f"no such strategy: {chosen}")
         matches = getattr(self, chosen)(query, max_results + 1)
         hits = hits_of(chosen, matches).withColumn("section", section_display(F.col("section_path"))).orderBy("rank")
-        return result_of(chosen, [r.asDict(recursive=True) for r in hits.collect()], max_results)
+        return result_of(chosen, [checked(r.asDict(recursive=True), "chunk_id", "document_id") for r in hits.collect()], max_results)
 
     def get_document(self, document_id: str) -> dict | None:
-        return _one(self.store.table("documents").filter(F.col("document_id") == document_id))
+        return _one(self.store.table("documents").filter(F.col("document_id") == document_id), "document_id")
 
     def get_chunk(self, chunk_id: str) -> dict | None:
-        return _one(self.store.table("chunks").filter(F.col("chunk_id") == chunk_id))
+        return _one(self.store.table("chunks").filter(F.col("chunk_id") == chunk_id), "chunk_id", "document_id")
 
     def documents_of(self, source_id: str) -> DataFrame:
         return self.store.table("documents", source_id).orderBy("relative_path")
@@ -110,6 +113,23 @@ class KnowledgeService:
         return self.store.table("chunks").filter(F.col("document_id") == document_id).orderBy("ordinal")
 
 
-def _one(found: DataFrame) -> dict | None:
+def _one(found: DataFrame, *ids: str) -> dict | None:
     row = found.head()
-    return row.asDict(recursive=True) if row else None
+    return checked(row.asDict(recursive=True), *ids) if row else None
+
+
+# fixed forms of stored values
+_FORMS = {"document_id": r"doc_[0-9a-f]{24}", "chunk_id": r"chunk_[0-9a-f]{24}", "content_hash": r"[0-9a-f]{64}", "processing_fingerprint": r"[0-9a-f]{64}"}
+
+
+def checked(row: dict, *ids: str) -> dict:
+    """A row as read from the store; StoreError if it is not what was once written: ids and digests have their form, a chunk's
+    text its digest and length, names are not blank and numbers not negative."""
+    wrong = [c for c, form in _FORMS.items() if (c in ids or c in row) and not re.fullmatch(form, row.get(c) or "")]
+    wrong += [c for c in ("source_id", "relative_path", "title") if c in row and not (row[c] or "").strip()]
+    wrong += [c for c in ("ordinal", "section_occurrence", "ordinal_in_section") if c in row and (row[c] is None or row[c] < 0)]
+    if "text" in row and (not row["text"] or hashlib.sha256(row["text"].encode()).hexdigest() != row["content_hash"] or len(row["text"]) != row["char_count"]):
+        wrong.append("text")
+    if wrong:
+        raise StoreError(f"a stored row is corrupt in {', '.join(sorted(wrong))}: {row.get(ids[0]) if ids else ''}")
+    return row

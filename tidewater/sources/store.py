@@ -12,21 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.errors import StoreError, UnsupportedSchemaVersionError
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: With more deltas than this, a sync writes a source's tables anew.
+MAX_DELTAS = 8
 SCHEMAS = {
     "documents": "document_id string, source_id string, relative_path string, title string, content_hash string, ingested_at timestamp, document_type string, processing_fingerprint string",
     "chunks": "chunk_id string, document_id string, section_path array<string>, section_occurrence int, ordinal int, ordinal_in_section int, text string, content_hash string, char_count int",
-    "postings": "term string, chunk_id string, field int, positions array<int>",
-    "lengths": "chunk_id string, length long",
+    "postings": "term string, chunk_id string, document_id string, field int, positions array<int>",
+    "lengths": "chunk_id string, document_id string, length long",
     "vectors": "chunk_id string, document_id string, embedding array<float>",
+    "gone": "document_id string",
 }
+#: Reading by these skips row groups.
+SORTED = {"documents": "document_id", "chunks": "document_id", "postings": "term"}
 
 
 class Store:
     """A folder of immutable tables by source and a manifest of those that count.
 
-    A sync writes a source's new tables beside the old ones; replacing the manifest publishes all of them at
-    once. Other sources' tables stay where they are.
+    A sync adds deltas: rows of new and changed documents, and the ids of documents that are gone or replaced, in `gone`. A row
+    counts unless a later delta's `gone` has its document. Replacing the manifest publishes all of it at once; what did
+    not change stays where it is. After MAX_DELTAS the source's tables are written anew, so a table is read from few parts.
+
+    The manifest has for each source: tables (name -> [[path, delta], ...]), delta, the number of the last one, and stats
+    (chunks, and their tokens in all).
     """
 
     def __init__(self, spark: SparkSession, path: str | Path, *, read_only: bool = False):
@@ -61,15 +70,41 @@ class Store:
             raise StoreError("the store is open for reading only")
 
     def table(self, name: str, source_id: str | None = None) -> DataFrame:
-        """A table of one source or of all."""
-        parts = [s["tables"][name] for k, s in self.manifest()["sources"].items() if name in s["tables"] and source_id in (None, k)]
-        if not parts:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[str(self.path / p) for p in parts])
+        """The rows that count of one source's table or of all."""
+        sources = self.manifest()["sources"]
+        found = [self.live(name, entry) for k, entry in sources.items() if source_id in (None, k)]
+        out = self.spark.createDataFrame([], SCHEMAS[name])
+        for df in found:
+            out = out.unionByName(df)
+        return out
+
+    def live(self, name: str, entry: dict) -> DataFrame:
+        """The rows that count of a table, by a source's entry of the manifest."""
+        out = self.spark.createDataFrame([], SCHEMAS[name])
+        gone = entry["tables"].get("gone", [])
+        # deltas after which the same ids are gone are read together
+        later = lambda delta: tuple(p for p, d in gone if d > delta)
+        parts: dict[tuple, list[str]] = {}
+        for path, delta in entry["tables"].get(name, []):
+            parts.setdefault(later(delta), []).append(path)
+        for ids, paths in parts.items():
+            df = self.at(name, paths)
+            out = out.unionByName(df.join(self.at("gone", ids), "document_id", "left_anti").select(df.columns) if ids else df)
+        return out
+
+    def at(self, name: str, paths) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[str(self.path / p) for p in paths])
+
+    def stats(self) -> tuple[float, float]:
+        """The number of chunks and their mean length in tokens, from the manifest."""
+        known = [s["stats"] for s in self.manifest()["sources"].values()]
+        n, total = sum(s["chunks"] for s in known), sum(s["tokens"] for s in known)
+        return float(n), total / n if n else 0.0
 
     def write(self, name: str, source_id: str, df: DataFrame) -> str:
-        """Writes a table of a source; it counts once a manifest names it. Postings are sorted by term, so that reading a query's terms skips the rest."""
+        """Writes a table of a source; it counts once a manifest names it."""
         self.require_writable()
         at = f"{name}/{hashlib.sha256(source_id.encode()).hexdigest()[:16]}-{uuid.uuid4().hex}"
-        (df.sortWithinPartitions("term") if name == "postings" else df).write.parquet(str(self.path / at))
+        rows = df.select([c.split()[0] for c in SCHEMAS[name].split(", ")])
+        (rows.sortWithinPartitions(SORTED[name]) if name in SORTED else rows).write.parquet(str(self.path / at))
         return at
