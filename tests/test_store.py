@@ -229,10 +229,10 @@ def test_command_line(spark, files, tmp_path, capsys):
     run = lambda *a: (main([*a, "--config", str(config)], spark), capsys.readouterr())
     assert run("ingest", "--json")[0] == 0
     code, out = run("search", "rollback_job")
-    assert code == 0 and "section: Guide > Rollback" in out.out
+    assert code == 0 and out.out.startswith("success: ") and "\tGuide > Rollback\t" in out.out
     assert run("rebuild-vectors")[0] == 0
     code, out = run("evaluate", "--dataset", str(golden(tmp_path)))
-    assert code == 0 and "hybrid by category" in out.out
+    assert code == 0 and "hybrid\tlexical\t1\t1\t" in out.out
     code, out = run("search", " ")
     assert code == 1 and out.err.startswith("error: ")
     config.write_text("[processing]\nno = 1\n")

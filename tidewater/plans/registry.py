@@ -320,6 +320,18 @@ def hybrid_search(spark, sf_dir):
     return _hybrid(spark, sf_dir, 10).select("rank", "doc_id", F.round("rrf_score", 12).alias("rrf_score"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "vector_rank")])
 
 
+def rrf_fusion(spark, sf_dir):
+    """A top-k report: two rankings of the corpus, by length and by place, fused; many fused scores tie."""
+    d = corpus(spark, sf_dir).select("chunk_id", "doc_id", "relative_path", "content_hash", F.length("text").alias("n"))
+
+    def side(first: Column, value: str) -> DataFrame:
+        few = d.orderBy(first, "doc_id").limit(50)
+        return few.withColumn("rank", F.row_number().over(Window.orderBy(first, "doc_id"))).withColumn(value, F.col("n").cast("double")).drop("n")
+
+    got = fusion.fuse(side(F.desc("n"), "score"), side(F.col("doc_id") % 97, "distance"), max_results=40, tie=["relative_path", "chunk_id"])
+    return got.select("rank", "doc_id", F.round("rrf_score", 12).alias("rrf_score"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "vector_rank")])
+
+
 def rrf_contract_check(spark, sf_dir):
     c = corpus(spark, sf_dir).select("chunk_id", "content_hash", "doc_id")
     left = c.unionByName(c.filter("doc_id % 10 = 0"))
@@ -332,8 +344,10 @@ def truncation_status(spark, sf_dir):
     docs, index, lengths, stats = _index(spark, sf_dir)
     found = lexical.bm25(spark, index, lengths, stats, [["stupid"], ["idiot"]]).join(docs, "chunk_id")
     n = docs.groupBy("source_id").agg(F.lit(0).alias("zero")).join(found.groupBy("source_id").agg(F.count("*").alias("n")), "source_id", "left")
+    from tidewater.plans.service import status_column
+
     hits = F.coalesce("n", F.lit(0))
-    return n.select("source_id", F.least(hits, F.lit(5)).alias("shown"), F.when(hits == 0, "empty").when(hits > 5, "partial").otherwise("success").alias("status"))
+    return n.select("source_id", F.least(hits, F.lit(5)).alias("shown"), status_column(hits, 5).alias("status"))
 
 
 def hit_projection(spark, sf_dir):
@@ -402,7 +416,7 @@ def category_breakdown(spark, sf_dir):
 _NAMES = """document_identity content_hash chunk_identity normalize_newlines path_normalize format_dispatch excerpt processing_fingerprint
 embedding_fingerprint markdown_sections greedy_pack_chunks hard_split_chunks chunk_reconstruction embedding_text fake_embedding vector_validation
 sync_classification sync_deletes sync_merge vector_rebuild_input token_postings corpus_stats lexical_topk knn_l2 knn_batch hybrid_search
-rrf_contract_check truncation_status hit_projection document_lookup documents_for_source chunks_for_document golden_resolve recall_at_k mrr category_breakdown""".split()
+rrf_fusion rrf_contract_check truncation_status hit_projection document_lookup documents_for_source chunks_for_document golden_resolve recall_at_k mrr category_breakdown""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -495,6 +509,12 @@ f AS (
   FROM lex l FULL JOIN vec v USING (chunk_id)),
 r AS (SELECT *, row_number() OVER (ORDER BY s DESC, least(a, b), a NULLS LAST, b NULLS LAST, p, chunk_id) AS rank FROM f)
 SELECT rank::INT AS rank, doc_id, round(s, 12) AS rrf_score, coalesce(a, 0)::INT AS lexical_rank, coalesce(b, 0)::INT AS vector_rank FROM r WHERE rank <= 10""",
+        "rrf_fusion": f"""WITH {CORPUS},
+a AS (SELECT chunk_id, doc_id, relative_path, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS a FROM corpus QUALIFY a <= 50),
+b AS (SELECT chunk_id, doc_id, relative_path, row_number() OVER (ORDER BY doc_id % 97, doc_id) AS b FROM corpus QUALIFY b <= 50),
+f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.relative_path, b.relative_path) AS p, chunk_id, a, b, coalesce(1::DOUBLE / (60 + a), 0) + coalesce(1::DOUBLE / (60 + b), 0) AS s FROM a FULL JOIN b USING (chunk_id))
+SELECT row_number() OVER (ORDER BY s DESC, least(a, b), a NULLS LAST, b NULLS LAST, p, chunk_id)::INT AS rank, doc_id, round(s, 12) AS rrf_score, coalesce(a, 0)::INT AS lexical_rank, coalesce(b, 0)::INT AS vector_rank
+FROM f ORDER BY 1 LIMIT 40""",
         "rrf_contract_check": f"""WITH {CORPUS} SELECT chunk_id, 'lexical repeats it' AS problem FROM corpus WHERE doc_id % 10 = 0
 UNION SELECT chunk_id, 'content differs' FROM corpus WHERE doc_id % 9 = 0 AND doc_id % 2 = 0""",
         "truncation_status": f"""WITH {CORPUS}, {INDEX}, found AS (SELECT DISTINCT chunk_id FROM tok WHERE term IN ('stupid', 'idiot')),

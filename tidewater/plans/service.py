@@ -7,7 +7,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.errors import IndexUnavailableError, InvalidQueryError, StoreError, VectorIndexIncompatibleError, VectorIndexUnavailableError
@@ -46,11 +46,21 @@ class RetrievalResult:
         return json.dumps(asdict(self), indent=2, default=str)
 
 
+def status_of(found: int, max_results: int) -> str:
+    """What a result says of so many matches: partial where the bound cuts them."""
+    return "partial" if found > max_results else "success" if found else "empty"
+
+
+def status_column(found: Column, max_results: int) -> Column:
+    """status_of() of a column: a table of what it says of 0 to max_results + 1, beyond which nothing changes."""
+    says = F.array(*[F.lit(status_of(k, max_results)) for k in range(max_results + 2)])
+    return F.get(says, F.least(found, F.lit(max_results + 1)).cast("int"))
+
+
 def result_of(strategy: str, hits: list[dict], max_results: int) -> RetrievalResult:
     """hits are one more than asked for if there are more."""
     more = len(hits) > max_results
-    status = "partial" if more else "success" if hits else "empty"
-    return RetrievalResult(strategy, status, hits[:max_results], max_results, more, "max_results" if more else None)
+    return RetrievalResult(strategy, status_of(len(hits), max_results), hits[:max_results], max_results, more, "max_results" if more else None)
 
 
 class KnowledgeService:
