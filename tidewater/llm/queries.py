@@ -17,12 +17,13 @@ from tidewater.llm.packing import pack
 from tidewater.llm.quality import BOILERPLATE_PHRASES, NAVIGATION_PHRASES, SENTENCE_END, phrase_pattern, quality
 from tidewater.llm.substring_dedup import remove_repeated
 from tidewater.llm.token_counts import token_counts
+from tidewater.sources.tables import spread
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def fold(of: int) -> Column:
@@ -145,14 +146,15 @@ FROM facts
 for _name, _pattern in (("SENTENCE_END", SENTENCE_END), ("NAVIGATION", phrase_pattern(NAVIGATION_PHRASES)), ("BOILERPLATE", phrase_pattern(BOILERPLATE_PHRASES))):
     OP1_SQL = OP1_SQL.replace(f"[{_name}]", _pattern.replace("'", "''"))
 
-#: Turns and loss from the table; windows by a recursive walk over each conversation's prefix sums.
+#: Turns and loss from the table; windows by a recursive walk over each conversation's prefix sums, anew from each 64 budgets on.
 OP3_SQL = r"""
 WITH RECURSIVE
 turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
 ranked AS (
-  SELECT conv_id, role, text, row_number() OVER o AS k, (strlen(text) + 3) // 4 + 4 AS tokens,
+  SELECT conv_id, role, text, row_number() OVER o AS k,
+    (strlen(role) + strlen(text) + len(regexp_extract_all(role || text, '[\\<>]')) + strlen('<turn|n|>') + strlen('</turn>') + 3) // 4 AS tokens,
     length(role) + length(text) + len(regexp_extract_all(role || text, '[\\<>]')) + length('<turn|n|>') + length('</turn>') AS chars
   FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 summed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) AS through FROM ranked),
@@ -161,8 +163,8 @@ room AS (
 walk AS (
   SELECT conv_id, k, k AS first, 0::HUGEINT AS before FROM summed WHERE k = 1
   UNION ALL
-  SELECT s.conv_id, s.k, CASE WHEN s.through - w.before > r.room THEN s.k ELSE w.first END,
-    CASE WHEN s.through - w.before > r.room THEN s.through - s.tokens ELSE w.before END
+  SELECT s.conv_id, s.k, CASE WHEN s.through - w.before > r.room OR (s.through - s.tokens) // 32768 > w.before // 32768 THEN s.k ELSE w.first END,
+    CASE WHEN s.through - w.before > r.room OR (s.through - s.tokens) // 32768 > w.before // 32768 THEN s.through - s.tokens ELSE w.before END
   FROM walk w JOIN summed s ON s.conv_id = w.conv_id AND s.k = w.k + 1 JOIN room r ON r.conv_id = w.conv_id),
 starts AS (SELECT DISTINCT conv_id, first, before FROM walk),
 shown AS (
