@@ -49,6 +49,9 @@ def fit(docs: DataFrame, *, order: int = 3, cells: int = 2**15, rows_per_languag
     The sample is bounded: about `rows_per_language` rows of each language, those
     with the smallest hashes of their ids. Of these, whole texts count: n-grams by
     language, summed by Spark into languages x cells numbers.
+
+    Repeated rows count each. Rows with a null id are in the sample or not together. An empty table, or one
+    language only, gives a model without classifiers: it says "und", or that language, for all texts with a letter.
     """
     docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
@@ -110,9 +113,9 @@ def predict(docs: DataFrame, model: Model, *, ambiguous_below: float = 0.2, keep
     kept = keep or []
 
     def label(batches):
-        import re
+        import regex
 
-        m, letter = sent.value, re.compile(r"[^\W\d_]")
+        m, letter = sent.value, regex.compile(r"\p{L}")
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             margins = np.zeros((len(texts), m.code.shape[1]))
