@@ -10,28 +10,28 @@ from pyspark.sql import functions as F
 from tidewater.llm.graph import components
 from tidewater.llm.shared import as_bytes, shingle_set, written
 
-_CELL_BITS = 18
-#: Buckets of at most so many sets are small.
+#: Buckets of at most so many sets are small. This moves costs only.
 SMALL = 64
 
 
-def _commonness(docs: DataFrame, width: int) -> np.ndarray:
-    """For each of a fixed number of hash cells, how often n-grams of all documents fall there.
+def _commonness(docs: DataFrame, width: int, bits: int) -> np.ndarray:
+    """For each of 2^bits hash cells, how often n-grams of all documents fall there.
 
     Cells order the n-grams: one that many documents share lifts its cell over the others, so
-    prefixes hardly hold it. Whatever the order, results are the same.
+    prefixes hardly hold it. Of N n-grams in all, one stands out if more documents share it than the cells' counts
+    differ by chance, about the root of N / 2^bits. Whatever the order, results are the same.
     """
 
     def count(batches):
-        total = np.zeros(1 << _CELL_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                np.add.at(total, (shingle_set(text, width) >> np.uint64(64 - _CELL_BITS)).astype(np.int64), 1)
+            sets = [shingle_set(text, width) for text in as_bytes(batch.column(0))]
+            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["cell", "n"])
 
     counted = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << _CELL_BITS, np.int64)
+    table = np.zeros(1 << bits, np.int64)
     table[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     return np.minimum(table, (1 << 32) - 1).astype(np.uint32)
 
@@ -50,6 +50,7 @@ def _prefixes(docs: DataFrame, commonness: np.ndarray, width: int, percent: int)
 
     def cut(batches):
         common = sent.value
+        shift = np.uint64(65 - len(common).bit_length())
         for batch in batches:
             rows, seen = [], set()
             for known, text in zip(batch.column(0).is_valid().to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -58,7 +59,7 @@ def _prefixes(docs: DataFrame, commonness: np.ndarray, width: int, percent: int)
                 if not n or not known:
                     rows.append((n, None, None, None))
                     continue
-                rank = common[(grams >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
+                rank = common[(grams >> shift).astype(np.int64)]
                 length = n - -(-percent * n // 100) + 1
                 prefix = grams[np.lexsort((grams, rank))[:length]]
                 group = _digest(np.append(prefix, np.uint64(n)))
@@ -113,7 +114,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("node", "lead", "p", "q").mapInArrow(count, f"node {kind}, lead {kind}, shared long, n long, m long")
 
 
-def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, pivots: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(
+    docs: DataFrame, *, width: int = 5, percent: int = 80, pivots: int = 1, small: int = SMALL, cell_bits: int = 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least
     `percent` / 100 between their sets of word n-grams: (doc_id, n_shingles,
     component_id), component_id the smallest id reachable.
@@ -128,26 +131,29 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, piv
     more sets near the smallest. What is still in different components is then
     compared pair by pair, unless the n-grams they could share are too few or the distances to the bucket's first set differ by more than a
     link allows (Jaccard distance is a metric). So no link is lost and
-    no bucket of linked copies is squared.
+    no bucket of linked copies is squared. What is known of a bucket (its size, its first set, its components) comes from
+    groupings that pre-aggregate and are joined back, so adaptive execution can split a bucket that many sets share.
 
-    Texts are lower-cased A-Z; words are split at ASCII white space. Null and
+    `pivots`, `small` (the size up to which sets meet in a bucket whatever else they share) and `cell_bits` (counts are kept
+    in 2^cell_bits cells; 4 bytes each are broadcast) change costs, not results. Texts are lower-cased A-Z; words are split at ASCII white space. Null and
     empty texts: no n-grams, linked with nothing. Fewer than `width` words: one n-gram of
-    all. Rows with the same id are one document in the links; each has its
-    row. A null id: component null, linked with nothing. Extra columns are not read.
+    all. Very long texts: a text's n-grams are held in its task. Rows with the same id are one document in the links; each has its
+    row. A null id: component null, linked with nothing. Extra columns are not read. An empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(_prefixes(docs, _commonness(docs, width), width, percent), "prefixes")
+    rows = written(_prefixes(docs, _commonness(docs, width, cell_bits), width, percent), "prefixes")
     sets = rows.filter("set_key is not null").groupBy("n", "set_key").agg(F.min("doc_id").alias("node"), F.min("group_key").alias("group_key"))
     sets = written(sets, "sets")
 
     grams = rows.select(F.explode("prefix").alias("gram"), "group_key")
-    of_gram = Window.partitionBy("gram")
-    shared = grams.withColumn("lo", F.min("group_key").over(of_gram)).withColumn("hi", F.max("group_key").over(of_gram)).filter("lo < hi").select("gram", "group_key").distinct()
+    several = grams.groupBy("gram").agg(F.min("group_key").alias("lo"), F.max("group_key").alias("hi")).filter("lo < hi").select("gram")
+    shared = grams.join(several, "gram").distinct()
     alike = sets.groupBy("group_key").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("group_key").alias("gram"), "group_key")
     buckets = shared.withColumn("alike", F.lit(False)).unionByName(alike.withColumn("alike", F.lit(True)))
-    buckets = buckets.join(sets.select("group_key", "node", "n"), "group_key").select("gram", "node", "n", "alike")
-    first = F.min(F.struct("node", "n")).over(of_gram)
-    members = written(_enough(buckets, percent).withColumn("first", first).withColumn("lead", F.col("first.node")).withColumn("lead_n", F.col("first.n")).drop("first"), "members")
+    buckets = written(buckets.join(sets.select("group_key", "node", "n"), "group_key").select("gram", "node", "n", "alike"), "buckets")
+    members = written(_enough(buckets, percent, small), "enough")
+    first = members.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"))
+    members = written(members.join(first, "gram").withColumn("lead", F.col("first.node")).withColumn("lead_n", F.col("first.n")).drop("first"), "members")
 
     near = f"100 * shared >= {percent} * (n + m - shared)"
     stars = _stars(members, percent)
@@ -182,22 +188,22 @@ def _needed(n, m, percent: int):
     return percent * (n + m) / (100 + percent) - percent * F.greatest(n, m) / 100 - 1e-9
 
 
-def _enough(buckets: DataFrame, percent: int) -> DataFrame:
+def _enough(buckets: DataFrame, percent: int, small: int) -> DataFrame:
     """buckets (gram, node, n, alike) with held, without sets that cannot be similar to another of the bucket.
 
     held is how many prefix n-grams a set could share with another. Two sets that
     share an n-gram of a small bucket meet there, so in large buckets only the n-grams of large ones count. Sets of
     one group share the whole prefix.
     """
-    of_gram, of_node = Window.partitionBy("gram"), Window.partitionBy("node")
-    rows = buckets.withColumn("size", F.count("*").over(of_gram)).withColumn("large", F.col("size") > SMALL)
-    total = lambda which: F.sum(F.when(which, 1).otherwise(0)).over(of_node)
+    of_gram = buckets.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("smaller"), F.max("n").alias("larger"))
+    rows = buckets.join(of_gram, "gram").withColumn("large", F.col("size") > small)
+    total = lambda which: F.sum(F.when(which, 1).otherwise(0))
     cross = ~F.col("alike")
-    held = F.when(F.col("alike"), F.col("n")).when(F.col("large"), total(cross & F.col("large"))).otherwise(total(cross))
-    rows = rows.withColumn("held", held)
-    smaller, larger = F.min("n").over(of_gram), F.max("n").over(of_gram)
-    rows = rows.withColumn("least", F.least(_needed("n", F.least("n", smaller), percent), _needed("n", F.greatest("n", larger), percent)))
-    return rows.filter("held >= least")
+    of_node = rows.groupBy("node").agg(total(cross & F.col("large")).alias("in_large"), total(cross).alias("in_all"))
+    held = F.when(F.col("alike"), F.col("n")).when(F.col("large"), F.col("in_large")).otherwise(F.col("in_all"))
+    least = F.least(_needed("n", F.least("n", "smaller"), percent), _needed("n", F.greatest("n", "larger"), percent))
+    rows = rows.join(of_node, "node").withColumn("held", held).withColumn("least", least)
+    return rows.filter("held >= least").select("gram", "node", "n", "alike", "size", "large", "held", "least")
 
 
 def _needed_exactly(n: str, m: str, percent: int):
@@ -233,10 +239,10 @@ def _unresolved(known: DataFrame, linked: DataFrame) -> DataFrame:
     """The buckets whose sets are in different components, with each set's component, home, and whether that is the first set's, inside."""
     homes = linked.select(F.col("vertex").alias("node"), F.col("component").alias("home"))
     placed = known.drop("home", "inside").join(homes, "node", "left").withColumn("home", F.coalesce("home", "node"))
-    of_gram = Window.partitionBy("gram")
-    lead_home = F.max(F.when(F.col("node") == F.col("lead"), F.col("home"))).over(of_gram)
-    several = placed.withColumn("lo", F.min("home").over(of_gram)).withColumn("hi", F.max("home").over(of_gram)).withColumn("inside", F.col("home") == lead_home)
-    return several.filter("lo < hi").drop("lo", "hi")
+    placed = written(placed, "placed")
+    lead_home = F.max(F.when(F.col("node") == F.col("lead"), F.col("home"))).alias("lead_home")
+    several = placed.groupBy("gram").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), lead_home).filter("lo < hi").select("gram", "lead_home")
+    return placed.join(several, "gram").withColumn("inside", F.col("home") == F.col("lead_home")).drop("lead_home")
 
 
 def _to_pivot(known: DataFrame, k: int, percent: int) -> DataFrame:
