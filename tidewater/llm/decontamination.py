@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewater.llm.chars import Run, runs
+from tidewater.llm.shared import written
 
 _FILTER_BITS = 20
 
@@ -225,21 +227,34 @@ def contaminated(
     none of its segments is given; of overlapping segments the one with the fewest edits; edits are then the segment's. Case and the kind of
     white space don't count; start and end are characters of the given text.
 
-    A text is never shuffled: blocks of the benchmark, each of at most
-    `block_chars` characters or of one longer item, are broadcast in turn. For each item, shared q-grams are counted in
-    overlapping diagonal bands of it and its segments; bands with at least m - q + 1 - q * budget of
-    them are aligned within the band.
+    For each item, shared q-grams are counted in overlapping diagonal bands of it and its segments; bands with at least
+    m - q + 1 - q * budget of them are aligned within the band. A text is never shuffled: the benchmark is broadcast, in
+    blocks of at most `block_chars` characters or of one longer item, one at a time. If there are several, the corpus is read
+    once: a bit for each q-gram of the whole benchmark, in a table of bounded size, first picks the texts that some block could
+    match, and the blocks go over these, which were written.
 
     Null or empty items match nothing, and nothing matches null or empty texts;
-    items shorter than q must occur as they are. Repeated items and rows match
-    each on their own. Null ids stay null. Extra columns are not read.
+    items shorter than q must occur as they are. Very long texts are searched whole, in their task. Repeated items and rows match
+    each on their own. Null ids stay null. Extra columns are not read. If both ids have one name, the item's is
+    benchmark_<name>. An empty table, of texts or of items, gives an empty one.
     """
     rows = benchmark.select(item_col, item_text_col).filter(F.length(item_text_col) > 0).orderBy(item_col, item_text_col)
-    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, start long, end long, edits long"
+    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    names = id_col, item_col if item_col != id_col else f"benchmark_{item_col}"
+    schema = f"`{names[0]}` {kinds[0].simpleString()}, `{names[1]}` {kinds[1].simpleString()}, start long, end long, edits long"
+    texts = docs.select(id_col, text_col)
+    total, longest = rows.agg(F.coalesce(F.sum(F.length(item_text_col)), F.lit(0)), F.coalesce(F.max(F.length(item_text_col)), F.lit(0))).first()
     found = docs.sparkSession.createDataFrame([], schema)
+    several = total > max(block_chars, longest)
+    if several:
+        texts = written(_possible(texts, _needs(_parts(rows, block_chars), rate, q, total)), "possible")
     for part in _parts(rows, block_chars):
-        found = found.unionByName(_scan(docs.select(id_col, text_col), _block(part, rate, q), schema, id_col, item_col))
+        sent = docs.sparkSession.sparkContext.broadcast(_block(part, rate, q))
+        hits = _scan(texts, sent, schema, names, to_arrow_type(kinds[1]))
+        if several:
+            hits = written(hits, "contaminated")
+            sent.destroy()
+        found = found.unionByName(hits)
     return found
 
 
@@ -255,10 +270,66 @@ def _parts(rows: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
-def _scan(docs: DataFrame, block: Block, schema: str, id_col: str, item_col: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-    item_type = pa.string() if f"`{item_col}` string" in schema else pa.int64()
+@dataclass
+class Needs:
+    """A bit for each q-gram of the benchmark; how many of its q-grams a match has at least, in a stretch of how many characters
+    at most; and items that have no q-gram, folded."""
+
+    bits: np.ndarray
+    least: int
+    stretch: int
+    short: list[bytes]
+    q: int
+
+
+#: The table of bits has eight for each q-gram, but no more than so many (a power of two; 128 MB).
+_MOST_BITS = 30
+
 
+def _needs(parts: Iterator[list[tuple[int, str]]], rate: float, q: int, total: int) -> Needs:
+    size = min(max((8 * total).bit_length(), _FILTER_BITS), _MOST_BITS)
+    out = Needs(np.zeros(1 << (size - 3), np.uint8), 1 << 40, 1, [], q)
+    for part in parts:
+        block = _block(part, rate, q)
+        cell = block.grams >> np.uint64(64 - size)
+        np.bitwise_or.at(out.bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
+        long = block.size >= q
+        if long.any():
+            out.least = min(out.least, int(block.least[long].min()))
+            out.stretch = max(out.stretch, int((block.size + 2 * block.budget)[long].max()))
+        out.short += [x.astype("<u4").tobytes() for x in block.parts[: len(block.ids)] if 0 < len(x) < q]
+    return out
+
+
+def _possible(texts: DataFrame, needs: Needs) -> DataFrame:
+    """The texts with a stretch that has as many of the benchmark's q-grams as a match needs, or with a short item."""
+    sent = texts.sparkSession.sparkContext.broadcast(needs)
+
+    def chosen(batches):
+        m = sent.value
+        size = len(m.bits).bit_length() + 2
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for run in runs(batch.column(1).to_pylist()):
+                if len(run.codes) >= m.q:
+                    h, inside = run.grams(m.q)
+                    cell = h >> np.uint64(64 - size)
+                    hit = (m.bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & inside
+                    through = np.append(0, np.cumsum(hit))
+                    at = np.flatnonzero(hit)
+                    text = np.searchsorted(run.ends, at, side="right")
+                    dense = through[np.minimum(at + m.stretch, np.minimum(run.ends[text], len(hit)))] - through[at] >= m.least
+                    keep[run.first + text[dense]] = True
+                if m.short:
+                    for k, (a, z) in enumerate(zip(run.starts, run.ends, strict=True)):
+                        whole = run.codes[a:z].astype("<u4").tobytes()
+                        keep[run.first + k] |= any(s in whole for s in m.short)
+            yield batch.filter(pa.array(keep))
+
+    return texts.mapInArrow(chosen, texts.schema)
+
+
+def _scan(texts: DataFrame, sent, schema: str, names: tuple[str, str], item_type: pa.DataType) -> DataFrame:
     def scan(batches):
         block = sent.value
         for batch in batches:
@@ -267,6 +338,6 @@ def _scan(docs: DataFrame, block: Block, schema: str, id_col: str, item_col: str
                 out += [(run.first + text, block.ids[i], a, z, e) for text, i, a, z, e in _matches(run, block)]
             which, items, starts, ends, edits = list(zip(*out, strict=True)) or [[]] * 5
             columns = [ids.take(pa.array(which, pa.int64())), pa.array(items, item_type), *(pa.array(x, pa.int64()) for x in (starts, ends, edits))]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, item_col, "start", "end", "edits"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, "start", "end", "edits"])
 
-    return docs.mapInArrow(scan, schema)
+    return texts.mapInArrow(scan, schema)
