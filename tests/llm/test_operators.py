@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
@@ -114,7 +114,7 @@ def test_substring_dedup_of_repeated_rows_and_null_ids(spark):
     assert got == [(0, 0), (5, 25), (5, 25), (7, 25)]
 
 
-@pytest.mark.parametrize("window", [1, 2, 3, 9, 20, 25])
+@pytest.mark.parametrize("window", [2, 3, 9, 20, 25])
 def test_substring_dedup_of_any_window_and_a_passage_in_many_documents(spark, window):
     rng = random.Random(14)
     passage = [f"p{k}" for k in range(40)]
@@ -386,10 +386,9 @@ def test_token_counts(docs, empty, rows):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_on_any_text(name):
-    if name.startswith("word"):
-        assert tokens.fast_coder(public_tokenizers.path(name))("Hello") == Tokenizer.from_file(public_tokenizers.path(name)).encode("Hello", add_special_tokens=False).ids
-        return
-    tok, enc, rng = Tokenizer.from_file(PATH), tokens.encoder(PATH, "count"), random.Random(6)
+    path = public_tokenizers.path(name)
+    tok, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path, len, tokens.vocabulary_pieces(path)), random.Random(6)
+    assert tokens.in_pieces(path) == name.startswith("byte")
     bits = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "1", "٣", "<|endoftext|>", "\x85", "\xa0", " ", "\x1c", ".", "!?", "漢字", "🙂", "é", "​", "\r\n", "don't"]
     for _ in range(3000):
         text = "".join(rng.choices(bits, k=rng.randint(1, 12)))
@@ -611,7 +610,8 @@ def quality_by_hand(text):
 
     w = words_of(text)
     grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
-    again = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)} if len(grams) < 3000 else set()
+    count = Counter(grams)
+    again = {k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(5)}
     if len(w) < 10 or 100 * len(again) > 20 * len(w):
         return None
     has = lambda pattern, x: regex.search("(?i)" + pattern.replace(r"\z", r"\Z"), x) is not None
@@ -647,14 +647,17 @@ def leaks_by_hand(text, items):
     """Whether an item, or a segment of it, is in the text within a tenth of its characters; texts without the q-grams that it needs are not aligned."""
     fold = lambda t: re.sub(r"\s", " ", t).lower()
     text = fold(text)
-    grams = {text[k : k + 7] for k in range(len(text) - 6)}
     for item in map(fold, items):
         half = min(max(len(item) // 3, 48), 100) // 2
         starts = [*range(0, len(item) - 2 * half, half), len(item) - 2 * half] if len(item) >= 3 * half else []
         for part in [item, *(item[a : a + 2 * half] for a in starts)]:
-            budget = max(min(int(0.1 * len(part)), (len(part) - 7) // 7), 0)
-            if len({part[k : k + 7] for k in range(len(part) - 6)} & grams) >= len(part) - 6 - 7 * budget - len(part) // 4 and (part in text or edits(part, text) <= budget):
-                return True
+            m = len(part)
+            budget = max(min(int(0.1 * m), (m - 7) // 7), 0)
+            # stretches of the text that overlap by more than a match is long
+            for at in range(0, len(text), 2 * m):
+                piece = text[at : at + 4 * m]
+                if part in piece or sum(part[k : k + 7] in piece for k in range(m - 6)) >= max(1, m - 6 - 7 * budget) and edits(part, piece) <= budget:
+                    return True
     return False
 
 

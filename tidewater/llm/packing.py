@@ -75,7 +75,8 @@ def pack(
     its length is a power of two.
 
     Sequence ids come from the partition's number and a counter, so a task that
-    runs again gives the same rows. Null and empty texts hold the end id alone.
+    runs again gives the same rows. Null and empty texts hold the end id alone. Very long texts are encoded whole, in their task,
+    and fill sequences of their own.
     Null ids and repeated rows are packed as any row; ties go by input order.
     Extra columns are not read. An empty table gives an empty one.
     """

@@ -19,7 +19,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col:
     cannot cross: words with the space before them; a text with other white
     space, or with special strings, is cut by the full pre-token pattern.
 
-    Null and empty texts: no bytes, no tokens. Null ids and repeated rows: a row
+    Null and empty texts: no bytes, no tokens. Very long texts are counted whole, in their task. Null ids and repeated rows: a row
     each. Extra columns are not read. An empty table gives an empty one.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(vocabulary_pieces(tokenizer))

@@ -24,14 +24,25 @@ def tokenizer_at(path: str):
     return _STATE[path]
 
 
+def in_pieces(path: str) -> bool:
+    """Whether the tokenizer parts texts by PRE_TOKEN and changes nothing before: byte-level, without a normalizer or a space put first."""
+    import json
+
+    spec = json.loads(tokenizer_at(path).to_str())
+    before = spec["pre_tokenizer"] or {}
+    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec["normalizer"]
+
+
 def vocabulary_pieces(path: str) -> dict[str, int]:
-    """Tier one: pre-tokens that are entries of the vocabulary, with their token counts.
+    """Tier one: pre-tokens that are entries of the vocabulary, with their token counts; none of a tokenizer that has other pieces.
 
     Byte-pair vocabularies list the frequent pre-tokens of their training text;
     the table is no larger than the vocabulary, whatever the corpus.
     """
     import regex
 
+    if not in_pieces(path):
+        return {}
     tok, pattern = tokenizer_at(path), regex.compile(PRE_TOKEN)
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
     texts = tok.decode_batch([[i] for i in range(tok.get_vocab_size())], skip_special_tokens=False)
@@ -97,11 +108,12 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Applies one value per piece to whole texts; as the tokenizer's own encode() does."""
+    """Applies one value per piece to whole texts; as the tokenizer's own encode() does. A tokenizer with other pieces gets texts whole."""
 
     def __init__(self, path: str, value, first: dict | None = None):
         import regex
 
+        self.value, self.whole = value, None if in_pieces(path) else tokenizer_at(path)
         coder = fast_coder(path)
         self.pieces, self.spaced = Pieces(coder, value, first), Pieces(coder, value, first, " ")
         self.pattern = regex.compile(PRE_TOKEN)
@@ -111,7 +123,9 @@ class Encoder:
 
     def parts(self, text: str) -> Iterator:
         """The values of a text's pieces, in order."""
-        if any(m in text for m in self.marks):
+        if self.whole:
+            yield self.value(self.whole.encode(text, add_special_tokens=False).ids)
+        elif any(m in text for m in self.marks):
             for k, part in enumerate(self.special.split(text)):
                 if k % 2:
                     yield self.marks[part]
