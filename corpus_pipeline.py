@@ -17,31 +17,38 @@ from tidewater.llm.shared import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their failing lines."""
+    """Documents that the rules keep, without their failing lines; null and empty texts fail. Repeated rows are judged alike."""
     kept = quality(docs).filter("quality.kept").withColumn("text", F.col("quality.cleaned"))
-    return kept.drop("quality").withColumn("n_chars", F.length("text").cast("long"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occur earlier, up to one edit in ten words; those without a word left go."""
-    kept = dedup_lines(docs, words_per_edit=10).drop("line_dedup").filter(F.col("text").rlike(SAYS))
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without lines that occur earlier, up to one changed, missing or extra word; those without a word left go,
+    null and empty texts too. Rows with one id and text count as one document and stay both."""
+    kept = dedup_lines(docs).drop("line_dedup").filter(F.col("text").rlike(SAYS))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest id. Of rows with one id, a representative's, the first text
+    stays. Documents with a null id, or without a word, are alike to none and stay."""
     groups = similar_documents(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    rest = docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    named = rest.filter("doc_id is not null")
+    first = named.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull(), *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("first"))
+    one = first.select(*[F.col("doc_id") if c == "doc_id" else F.col("first").getField(c).alias(c) for c in docs.columns])
+    return one.unionByName(rest.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no benchmark item occurs; null and empty texts stay. All rows of an id go if one of them has an item; a row
+    with a null id goes if any such row has one."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_found"]), "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens; null and empty texts hold the end token alone. Every row is packed."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=0)
 
 
