@@ -78,7 +78,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept per worker up to a bound."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

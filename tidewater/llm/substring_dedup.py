@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.shared import as_bytes, mixed, window_hashes, word_hashes, written
 
-#: Words of the short k-mers whose local minima anchor the windows.
-ANCHOR = 10
+
+def _anchor_words(window: int) -> int:
+    """Words of the short k-mers whose local minima anchor the windows."""
+    return max(1, window // 2)
 
 
 def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -31,8 +33,8 @@ def _anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
     The anchor is the least hash of a window's short k-mers, so equal windows have equal anchors.
     """
-    grams = window_hashes(hashes, ANCHOR)
-    width = window - ANCHOR + 1
+    grams = window_hashes(hashes, _anchor_words(window))
+    width = window - _anchor_words(window) + 1
     least = _extreme(grams, width, np.minimum)
     around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     return least, grams[_extreme(around, width, np.maximum) == grams]
@@ -204,8 +206,13 @@ def _compacted(removed: DataFrame) -> DataFrame:
 
 
 def _source_digests(paths: DataFrame, packed: DataFrame, window: int) -> DataFrame:
-    """(doc_id, spot, length, digest): each path with the digest of its words at the source."""
-    per_source = paths.filter("not settled").groupBy("from_id").agg(F.collect_list(F.struct("from_spot", "doc_id", "spot", "length")).alias("paths"))
+    """(doc_id, spot, length, digest): each path with the digest of its words at the source.
+
+    Paths with one source, thousands of copies too, ask for it once: what meets in a source's row are its distinct spans.
+    """
+    asking = paths.filter("not settled").select("doc_id", "spot", "length", "from_id", "from_spot")
+    spans = asking.select("from_id", "from_spot", "length").distinct()
+    per_source = spans.groupBy("from_id").agg(F.collect_list(F.struct("from_spot", "length")).alias("spans"))
 
     def digests(batches):
         import xxhash
@@ -213,22 +220,25 @@ def _source_digests(paths: DataFrame, packed: DataFrame, window: int) -> DataFra
 
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
-            for p, paths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            owner, rows = [], []
+            for k, (p, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 text = z.decompress(p) if p is not None else b""
                 tag, words = zlib.crc32(text), text.split()
-                for x in paths:
+                for x in spans:
                     if x["from_spot"] >> _PLACE_BITS == tag:
                         start = x["from_spot"] & ((1 << _PLACE_BITS) - 1)
-                        rows.append((x["doc_id"], x["spot"], x["length"], xxhash.xxh3_128_digest(b" ".join(words[start : start + x["length"] + window - 1]))))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            types = [id_type, pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "spot", "length", "digest"])
+                        owner.append(k)
+                        rows.append((x["from_spot"], x["length"], xxhash.xxh3_128_digest(b" ".join(words[start : start + x["length"] + window - 1]))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            found = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *found], ["source_id", "source_spot", "span", "digest"])
 
-    kind = packed.schema["doc_id"].dataType
-    id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32()
-    joined = packed.join(per_source, packed["doc_id"].eqNullSafe(per_source["from_id"])).select("packed", "paths")
-    return joined.mapInArrow(digests, f"doc_id {kind.simpleString()}, spot long, length long, digest binary")
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    joined = packed.join(per_source, packed["doc_id"].eqNullSafe(per_source["from_id"])).select("doc_id", "packed", "spans")
+    # repeated rows of one document give the same digests
+    known = joined.mapInArrow(digests, f"source_id {kind}, source_spot long, span long, digest binary").distinct()
+    same = F.col("from_id").eqNullSafe(F.col("source_id")) & (F.col("from_spot") == F.col("source_spot")) & (F.col("length") == F.col("span"))
+    return asking.join(known, same).select("doc_id", "spot", "length", "digest")
 
 
 def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,12 +256,15 @@ def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
     its source coordinates before they go.
 
     Words are split at ASCII white space and otherwise unchanged. Null texts
-    have no words. Texts with fewer than `window` words stay whole. A null id sorts
+    have no words. Texts with fewer than `window` words stay whole. Very long texts are held whole in their task. A null id sorts
     first. Identical repeated rows are one document and get one
     result each; different texts under one id are different documents, ordered by checksum. Extra columns are not read.
+    An empty table gives an empty one; ids that are not integers, and a window under two words, are refused.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint") or window < 2:
+        raise ValueError(f"ids must be integers and a window two words or more; they are {kind} and {window}")
     of_key = Window.partitionBy("key", "settled")
     asked = _asked(docs, window).withColumn("n", F.count("*").over(of_key)).withColumn("any", F.max("twice").over(of_key))
     known = asked.filter("settled or any or n > 1").select("doc_id", "key", "settled")
