@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import language_id, toxicity
+from tidewater.llm.centroids import clusters
 from tidewater.llm.chat import format_windows, read_back
 from tidewater.llm.decontamination import contaminated
 from tidewater.llm.line_dedup import dedup_lines
@@ -95,6 +96,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=[(fold(5) == 0).alias("held_out")])
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, seed="3", dims=64, scale=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
+        "op13_centroid_clusters": op13_centroid_clusters,
     }
 
 
@@ -206,5 +212,23 @@ FROM fate GROUP BY doc_id
 """
 
 
+
+
+def _op13_sql(k: int, rounds: int) -> str:
+    """Rounds one after another; products of integers this small are exact in doubles, and so are the floors of their means."""
+    near = "SELECT vec_id, any_value(v) AS v, arg_min(j, d * {k} + j) AS j, min(d) AS d FROM (SELECT x.vec_id, x.row, x.v, c.j, list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v) AS d FROM kept x, c{r} c) GROUP BY row, vec_id"
+    means = "SELECT c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT j, list(floor(t / n) ORDER BY i) AS v FROM (SELECT j, i, sum(v[i]) AS t, count(*) AS n FROM a{r}, range(1, 65) AS u(i) GROUP BY j, i) GROUP BY j) m USING (j)"
+    steps = "".join(f", a{r} AS MATERIALIZED ({near.format(r=r, k=k)})" + (f", c{r + 1} AS MATERIALIZED ({means.format(r=r)})" if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v FROM kept ORDER BY sha256('3:' || vec_id), v LIMIT {k}){steps}
+SELECT vec_id, j::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (j)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_line_dedup": OP5_SQL, "op13_centroid_clusters": _op13_sql(8, 10)}

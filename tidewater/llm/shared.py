@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.sources.tables import shared_folder
@@ -24,6 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Nothing reads the writing query's shuffle files again, so they go when it is done.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(written_at(df, name))
+
+
+def written_at(df: DataFrame, name: str) -> str:
+    """Writes df as written() does: the folder of its table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
@@ -32,7 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Removes a folder through the file system that holds it; nothing may read it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed_rows(df: DataFrame, *, drop: list[str]) -> DataFrame:
