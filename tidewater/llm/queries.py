@@ -18,6 +18,7 @@ from tidewater.llm.packing import pack
 from tidewater.llm.quality import BOILERPLATE_PHRASES, NAVIGATION_PHRASES, SENTENCE_END, phrase_pattern, quality
 from tidewater.llm.substring_dedup import remove_repeated
 from tidewater.llm.token_counts import token_counts
+from tidewater.llm.warc import id_of_record, read_archives, resolved, write_archives
 from tidewater.sources.tables import spread
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -96,6 +97,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=[(fold(5) == 0).alias("held_out")])
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    records = resolved(read_archives(write_archives(pages, least_bytes=100), payload=False)).filter("type in ('response', 'revisit')")
+    of = lambda c: id_of_record(F.col(c), pages.schema["page_id"].dataType.simpleString()).alias
+    return records.select(of("record_id")("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), of("refers_to")("refers_to"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, seed="3", dims=64, scale=1024)
 
@@ -112,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
+        "op12_warc": op12_warc,
         "op13_centroid_clusters": op13_centroid_clusters,
     }
 
@@ -213,6 +222,15 @@ FROM fate GROUP BY doc_id
 
 
 
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha256(t) AS payload_digest, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+FROM d
+"""
+
 
 def _op13_sql(k: int, rounds: int) -> str:
     """Rounds one after another; products of integers this small are exact in doubles, and so are the floors of their means."""
@@ -231,4 +249,4 @@ FROM a{rounds} JOIN c{rounds} c USING (j)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_line_dedup": OP5_SQL, "op13_centroid_clusters": _op13_sql(8, 10)}
+    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_line_dedup": OP5_SQL, "op12_warc": OP12_SQL, "op13_centroid_clusters": _op13_sql(8, 10)}
