@@ -15,7 +15,9 @@ from tidewater.llm.decontamination import contaminated
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.ngram_join import similar_documents
 from tidewater.llm.packing import pack
+from tidewater.llm.prefix_trie import placed_turns, trie, turn_digests
 from tidewater.llm.quality import BOILERPLATE_PHRASES, NAVIGATION_PHRASES, SENTENCE_END, phrase_pattern, quality
+from tidewater.llm.shared import written
 from tidewater.llm.substring_dedup import remove_repeated
 from tidewater.llm.token_counts import token_counts
 from tidewater.llm.warc import id_of_record, read_archives, resolved, write_archives
@@ -97,6 +99,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=[(fold(5) == 0).alias("held_out")])
 
 
+def rebuilt(placed: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Placed turns of conversations that share beginnings: of each conv_id c the first h turns of conversation c - c % 20, then c's own
+    after its first h; h is crc32(c) % 4. What is known of a first conversation is a row of three turns at most."""
+    h, first = F.crc32(F.col("conv_id").cast("string")) % 4, F.col("conv_id") - F.col("conv_id") % 20
+    heads = placed.filter((F.col("conv_id") % 20 == 0) & (F.col("place") <= 3)).groupBy(F.col("conv_id").alias("first"))
+    heads = written(heads.agg(F.max("place").alias("n_head"), F.collect_list(F.struct("place", "digest", "words")).alias("head")), "heads")
+    begun = conversations.select("conv_id", first.alias("first"), h.alias("h")).join(heads, "first")
+    begun = begun.select("conv_id", F.explode(F.filter("head", lambda t: t["place"] <= F.col("h"))).alias("t")).select("conv_id", "t.*")
+    own = placed.withColumns({"first": first, "h": h}).filter("place > h").join(heads.select("first", "n_head"), "first", "left")
+    place = F.col("place") - F.col("h") + F.least("h", F.coalesce("n_head", F.lit(0)))
+    return begun.unionByName(own.select("conv_id", place.alias("place"), "digest", "words"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    placed = placed_turns(turn_digests(turns))
+    conversations = written(placed.select("conv_id").distinct(), "conversation-ids")
+    return trie(rebuilt(placed, conversations), conversations)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = resolved(read_archives(write_archives(pages, least_bytes=100), payload=False)).filter("type in ('response', 'revisit')")
@@ -120,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_warc": op12_warc,
         "op13_centroid_clusters": op13_centroid_clusters,
     }
@@ -222,6 +245,37 @@ FROM fate GROUP BY doc_id
 
 
 
+#: A prefix is the digests of its turns in a row; nodes are put together from prefixes, subtrees by what they start with.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM t),
+ids AS (SELECT DISTINCT conv_id FROM t),
+crc AS (
+  WITH RECURSIVE bits AS (SELECT n::UBIGINT AS n, n::UBIGINT AS c, 0 AS k FROM range(256) r(n)
+    UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8)
+  SELECT list(c ORDER BY n) AS entries FROM bits WHERE k = 8),
+h AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS first, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, b: xor(entries[(xor(c, b) & 255)::INT + 1], c >> 8)), 4294967295::UBIGINT) % 4 AS h FROM ids, crc),
+turns AS (
+  SELECT h.conv_id, 0 AS own, p.place, p.digest, p.words FROM h JOIN placed p ON p.conv_id = h.first AND p.place <= h.h
+  UNION ALL SELECT h.conv_id, 1, p.place, p.digest, p.words FROM h JOIN placed p ON p.conv_id = h.conv_id AND p.place > h.h),
+prefixes AS (
+  SELECT conv_id, string_agg(digest, '') OVER w AS node, row_number() OVER w AS depth, words FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)
+  UNION ALL SELECT conv_id, '', 0, 0 FROM ids),
+nodes AS (SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words, CASE WHEN node <> '' THEN left(node, length(node) - 64) END AS up FROM prefixes GROUP BY node),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM prefixes GROUP BY conv_id) GROUP BY node),
+children AS (SELECT up AS node, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+subtrees AS (
+  SELECT a.node, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes a JOIN nodes b ON starts_with(b.node, a.node) LEFT JOIN children c ON c.node = b.node GROUP BY a.node)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, u.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+  s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.node = n.up LEFT JOIN children c ON c.node = n.node LEFT JOIN ends e ON e.node = n.node JOIN subtrees s ON s.node = n.node
+"""
+
 OP12_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha256(t) AS payload_digest, min(page_id) OVER (PARTITION BY t) AS first FROM p)
@@ -249,4 +303,4 @@ FROM a{rounds} JOIN c{rounds} c USING (j)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_line_dedup": OP5_SQL, "op12_warc": OP12_SQL, "op13_centroid_clusters": _op13_sql(8, 10)}
+    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op5_line_dedup": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL, "op13_centroid_clusters": _op13_sql(8, 10)}
