@@ -312,6 +312,9 @@ def fields_of(head: bytes) -> dict[str, str]:
         raise Damaged("not a head") from error
     pairs = [line.partition(":") for line in lines]
     fields = {name.strip().lower(): value.strip() for name, _, value in pairs}
+    once = [name.strip().lower() for name, _, _ in pairs if name.strip().lower() != "warc-concurrent-to"]
+    if len(once) > len(set(once)):
+        raise Damaged("a field is repeated")
     if not all(sep for _, sep, _ in pairs) or not re.fullmatch(r"[0-9]{1,15}", fields.get("content-length", "")):
         raise Damaged("not a head")
     if not all(fields.get(x) for x in ("warc-type", "warc-record-id", "warc-date")):
