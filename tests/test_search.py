@@ -18,14 +18,55 @@ def test_bm25_is_that_of_a_full_text_index(spark):
     db.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
     docs = spark.createDataFrame(rows, "chunk_id string, title string, text string").cache()
     fields = ["title", "text"]
-    index, lengths = lexical.postings(docs, fields).cache(), lexical.lengths(docs, fields).cache()
+    rows = lexical.postings(docs, fields).cache()
+    index = lexical.Index(rows, lexical.blocks(rows), lexical.stats_of(lexical.lengths(docs, fields)))
     for query in ["pay", "retry retry cafe", "/health/ready a.md", "payments", "Σ STRASSE straße", "²", "the pay 漢字"]:
         match = " OR ".join(f'"{w}"' for w in query.split())
         expected = dict(db.execute("SELECT id, bm25(t) FROM t WHERE t MATCH ?", [match]).fetchall())
         asked = phrases(query)
-        got = dict(lexical.bm25(spark, index, lengths, lexical.stats_of(lengths), asked).collect())
+        got = dict(lexical.bm25(index, asked).collect())
         assert got.keys() == expected.keys(), query
         assert all(abs(got[k] - v) < 1e-9 for k, v in expected.items()), query
+        # the same of an index of the query's own terms
+        own = lexical.index_of(lexical.marked(docs, fields, [t for phrase in asked for t in phrase]).cache())
+        assert dict(lexical.bm25(own, asked).collect()) == got, query
+
+
+def test_pruned_search_reads_less_and_finds_the_same(spark):
+    """Texts of many lengths, a word in all of them, some rare ones, and many equal texts that tie for the last places."""
+    rng = random.Random(2)
+    texts = [" ".join(["common"] * rng.randint(1, 6) + [f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 80))] + ["rare"] * (k % 97 == 0) + ["some"] * (k % 7 == 0)) for k in range(1500)]
+    texts += ["common rare"] * 40 + ["common some words"] * 60
+    docs = spark.createDataFrame([(f"c{k:05d}", t) for k, t in enumerate(texts)], "chunk_id string, text string").cache()
+    rows = lexical.postings(docs, ["text"]).cache()
+    index = lexical.Index(rows, lexical.blocks(rows), lexical.stats_of(lexical.lengths(docs, ["text"])))
+    for query, less in [("rare", 0.9), ("common", 0.5), ("common rare", 0.5), ("some common rare common", 0.5), ("common w1 w2 nothing", 1), ("rare/common some", 1), ("common/rare", 1)]:
+        asked = phrases(query)
+        whole = lexical.bm25(index, asked).collect()
+        for top in (1, 10, 45):
+            how = lexical.plan(index, asked, ["chunk_id"], top)
+            hits = rows.filter(F.col("term").isin(list(how.single))).count()
+            read = lexical.scored_rows(index, how, ["chunk_id"]).count() if how.single else 0
+            assert read <= hits * (less if top <= 10 else 1)
+            found = {r["chunk_id"]: r["score"] for r in lexical.bm25(index, asked, top=top).collect()}
+            last = sorted(r["score"] for r in whole)[min(top, len(whole)) - 1]
+            best = {r["chunk_id"]: r["score"] for r in whole if r["score"] <= last}
+            # all that tie for the last place are there, with the same bits
+            assert best.items() <= found.items() and all(s > last for c, s in found.items() if c not in best)
+        got = [lexical.search(index, query, tie=["chunk_id"], details=docs, max_results=45).select("chunk_id", "score", "rank").collect(), lexical.ranked(lexical.bm25(index, asked).orderBy("score", "chunk_id").limit(45), ["score", "chunk_id"]).collect()]
+        assert sorted(map(tuple, got[0]), key=lambda r: r[2]) == sorted(map(tuple, got[1]), key=lambda r: r[2])
+
+
+def test_a_filter_on_blocks_reaches_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(f"c{k}", "a " * (k % 9 + 1) + "b " * (k % 50)) for k in range(400)], "chunk_id string, text string")
+    lexical.postings(docs, ["text"]).sortWithinPartitions("term", "block").write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    index = lexical.Index(rows, lexical.blocks(rows), lexical.stats_of(lexical.lengths(docs, ["text"])))
+    how = lexical.plan(index, [["a"]], ["chunk_id"], 3)
+    assert any(of is not None for of in how.read.values())
+    plan = lexical.scores(index, how, ["chunk_id"])._jdf.queryExecution().executedPlan().toString()
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "EqualTo(term" in pushed and "block" in pushed.split("PushedFilters", 1)[1] and "places" not in pushed.split("ReadSchema", 1)[1]
 
 
 def test_queries_without_tokens_and_bad_bounds(spark):

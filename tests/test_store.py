@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,44 +90,54 @@ def test_a_failed_sync_changes_nothing(spark, files, tmp_path):
     with pytest.raises(Exception, match="cannot read bad.md"):
         ingest(store, "s", folder(spark, "s", files))
     assert store.manifest() == manifest
-    (tmp_path / "store" / "MANIFEST.json").write_text(json.dumps({"schema_version": 9, "vector": None, "sources": {}}))
-    with pytest.raises(errors.UnsupportedSchemaVersionError):
-        Store(spark, tmp_path / "store")
+    (tmp_path / "later").mkdir()
+    (tmp_path / "later" / "MANIFEST.json").write_text(json.dumps({"schema_version": 9, "vector": None, "sources": {}}))
+    for read_only in (False, True):
+        with pytest.raises(errors.UnsupportedSchemaVersionError):
+            Store(spark, tmp_path / "later", read_only=read_only)
 
 
 def raw(spark, *rows):
     return spark.createDataFrame([("s", *r) for r in rows], "source_id string, relative_path string, content string")
 
 
+def root(store):
+    return Path(store.files.uri.removeprefix("file://"))
+
+
 def tables_of(store):
-    return sorted(str(p.relative_to(store.path)) for p in store.path.glob("*/*"))
+    return sorted(str(p.relative_to(root(store))) for p in root(store).glob("*/*") if p.is_dir())
 
 
-def test_a_sync_writes_only_what_changed(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("tidewater.plans.ingest.MAX_DELTAS", 3)
+def test_a_sync_writes_only_what_changed(spark, tmp_path):
     store, provider = Store(spark, tmp_path / "store"), DigestProvider()
-    ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\ntwo"), ("c.txt", "three")))
+    ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\ntwo"), ("c.txt", "three"), ("e.txt", "five")))
     rebuild_vectors(store, provider)
     before, manifest = tables_of(store), store.manifest()
-    assert ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\ntwo"), ("c.txt", "three"))).unchanged == 3
+    assert ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\ntwo"), ("c.txt", "three"), ("e.txt", "five"))).unchanged == 4
     assert tables_of(store) == before and store.manifest() == manifest
-    done = ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\nchanged"), ("d.txt", "four")), provider=provider)
-    assert (done.created, done.updated, done.deleted, done.unchanged) == (1, 1, 1, 1)
+    done = ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", "# B\nchanged"), ("e.txt", "five")), provider=provider)
+    assert (done.created, done.updated, done.deleted, done.unchanged) == (0, 1, 1, 2)
     new = [t for t in tables_of(store) if t not in before]
-    assert sorted(t.split("/")[0] for t in new) == ["chunks", "documents", "gone", "lengths", "postings", "vectors"]
-    assert spark.read.parquet(str(store.path / next(t for t in new if t.startswith("chunks")))).count() == 2
+    assert sorted(t.split("/")[0] for t in new) == ["blocks", "chunks", "documents", "gone", "lengths", "postings", "vectors"]
+    assert spark.read.parquet(str(root(store) / next(t for t in new if t.startswith("chunks")))).count() == 1
 
-    for k in range(3):
-        ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), ("d.txt", "four")), provider=provider)
-        assert sorted(r.text for r in store.table("chunks").collect()) == ["# A\none", f"# B\nagain {k}", "four"]
-    assert store.manifest()["sources"]["s"]["delta"] < 3
+    for k in range(9):
+        ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), *[(f"n{i}.md", f"more {i} one") for i in range(k)]), provider=provider)
+        assert sorted(r.text for r in store.table("chunks").collect()) == sorted(["# A\none", f"# B\nagain {k}", *[f"more {i} one" for i in range(k)]])
+    assert len(store.manifest()["sources"]["s"]["parts"]) < 9
     fresh = Store(spark, tmp_path / "fresh")
-    ingest(fresh, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), ("d.txt", "four")))
+    ingest(fresh, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), *[(f"n{i}.md", f"more {i} one") for i in range(k)]))
     rebuild_vectors(fresh, provider)
     for name in ("chunks", "postings", "lengths", "vectors"):
         rows = [sorted(map(repr, s.table(name).collect())) for s in (store, fresh)]
         assert rows[0] == rows[1], name
-    assert store.stats() == fresh.stats()
+    # what is gone is no longer counted
+    spread = [{r[0]: r[1] for r in s.table("blocks").groupBy("term").agg(F.sum("n_chunks")).filter("sum(n_chunks) <> 0").collect()} for s in (store, fresh)]
+    assert spread[0] == spread[1] and store.stats() == fresh.stats()
+    for query in ("one", "again more", "again/8 b"):
+        found = [KnowledgeService(s).search(query, max_results=5).results for s in (store, fresh)]
+        assert found[0] == found[1] and found[0]
 
 
 def test_what_a_sync_refuses(spark, tmp_path):
@@ -146,19 +157,29 @@ def test_lost_postings_are_made_anew_and_corrupt_rows_are_found(spark, tmp_path)
     service, manifest = KnowledgeService(store), store.manifest()
     found = service.search("beta").results
     lost = json.loads(json.dumps(manifest))
-    del lost["sources"]["s"]["tables"]["postings"]
+    del lost["sources"]["s"]["parts"][0]["tables"]["postings"]
     store.publish(lost)
     with pytest.raises(errors.IndexUnavailableError):
         service.search("beta")
     assert rebuild_lexical(store) == 2 and service.search("beta").results == found
-    chunk = found[0]["chunk_id"]
+    chunk, document = found[0]["chunk_id"], found[0]["document_id"]
     bad = store.table("chunks").withColumn("text", F.lit("not what was written"))
     spoilt = store.manifest()
-    spoilt["sources"]["s"]["tables"]["chunks"] = [[store.write("chunks", "s", bad), 1]]
+    spoilt["sources"]["s"]["parts"][0]["tables"]["chunks"] = store.write("chunks", "s", bad)
     store.publish(spoilt)
     for read in (lambda: service.get_chunk(chunk), lambda: service.search("beta")):
         with pytest.raises(errors.StoreError, match="corrupt in text"):
             read()
+    for read in (lambda: service.chunks_of(document).collect(), lambda: service.chunks_of(document).select("ordinal").collect()):
+        with pytest.raises(Exception, match="corrupt in text: chunk_"):
+            read()
+    assert service.documents_of("s").count() == 2
+    bad = store.table("documents").withColumn("title", F.lit(" ")).withColumn("processing_fingerprint", F.lit("x\n"))
+    spoilt = store.manifest()
+    spoilt["sources"]["s"]["parts"][0]["tables"]["documents"] = store.write("documents", "s", bad)
+    store.publish(spoilt)
+    with pytest.raises(Exception, match="corrupt in processing_fingerprint, title: doc_"):
+        service.documents_of("s").collect()
 
 
 def test_texts_are_read_for_the_chosen_chunks_only(spark, tmp_path):

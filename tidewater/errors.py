@@ -49,6 +49,10 @@ class UnsupportedSchemaVersionError(StoreError):
     """The store was written under another schema version."""
 
 
+class StoreConflictError(StoreError):
+    """Another writer has published what this one would overwrite."""
+
+
 class IndexUnavailableError(Exception):
     """The lexical index is missing."""
 

@@ -1,8 +1,12 @@
-"""BM25 over an inverted index with positions, as DataFrames."""
+"""BM25 over an inverted index with positions, as DataFrames; the best chunks without scoring every hit."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.errors import InvalidQueryError
@@ -12,14 +16,74 @@ from tidewater.functions.tokens import phrases, tokens
 Stats = tuple[float, float]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MAX_RESULTS = 50
+#: A place is its field's number times this, and its position.
+FIELD = 1 << 32
+#: So many candidates at most are broadcast to the postings of terms that make none.
+CANDIDATES = 100_000
+#: Of so many chunks at most that tie for the last places of a result, document ids are collected, to read details by them.
+FEW = 1000
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings: (term, block, id, more columns, frequency, length, places) of each chunk and term in it; blocks: (term, block, n_chunks,
+    max_frequency, min_length), whose n_chunks of a term add up to its chunks, corrections of a negative number included."""
+
+    postings: DataFrame
+    blocks: DataFrame
+    stats: Stats
+
+
+def _said(docs: DataFrame, fields: list[str], ids: list[str]) -> DataFrame:
+    """(ids, said: an array of tokens for each field, length)"""
+    said = docs.select(*ids, F.array(*[tokens(F.col(f)) for f in fields]).alias("said"))
+    return said.withColumn("length", F.aggregate("said", F.lit(0).cast("long"), lambda n, t: n + F.size(t)))
+
+
+def _places(said: Column) -> Column:
+    """Every token with its place."""
+    at = lambda t, k, i: F.struct(t.alias("term"), (k.cast("long") * FIELD + i).alias("place"))
+    return F.flatten(F.transform(said, lambda of, k: F.transform(of, lambda t, i: at(t, k, i))))
+
+
+def block_of(frequency: Column, length: Column) -> Column:
+    """The class of a posting by what it can add to a score: half octaves of its frequency, quarter octaves of its chunk's length. Its order is
+    no one's concern; what a class holds is close together, so its largest frequency and smallest length bound it well."""
+    return (F.floor(2 * F.log2(frequency.cast("double"))) * 1000 + F.floor(4 * F.log2(F.greatest(length, F.lit(1)).cast("double")))).cast("int")
+
+
+def _with_block(rows: DataFrame, ids: list[str]) -> DataFrame:
+    rows = rows.withColumn("frequency", F.size("places"))
+    return rows.select("term", block_of(F.col("frequency"), F.col("length")).alias("block"), *ids, "frequency", "length", "places")
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "chunk_id", more: list[str] | None = None) -> DataFrame:
-    """(term, id, more columns of the row, field, positions): where each token stands."""
+    """The postings of an Index: where each token of each row stands."""
+    ids = [id_col, *(more or [])]
+    each = _said(docs, fields, ids).select(*ids, "length", F.explode(_places(F.col("said"))).alias("t")).select(*ids, "length", "t.*")
+    return _with_block(each.groupBy("term", *ids, "length").agg(F.sort_array(F.collect_list("place")).alias("places")), ids)
+
+
+def marked(docs: DataFrame, fields: list[str], terms: list[str], id_col: str = "chunk_id", more: list[str] | None = None) -> DataFrame:
+    """(ids, length, hits array<struct<term, places>>) of every row: its length and where the given terms stand, without a shuffle."""
+    ids, wanted = [id_col, *(more or [])], F.array(*map(F.lit, sorted(set(terms)))).cast("array<string>")
+    said = _said(docs, fields, ids)
+    found = said.select(*ids, "length", F.filter(_places(F.col("said")), lambda t: F.array_contains(wanted, t["term"])).alias("found"))
+    of = lambda term: F.transform(F.filter("found", lambda t: t["term"] == term), lambda t: t["place"])
+    hits = F.filter(F.transform(wanted, lambda term: F.struct(term.alias("term"), of(term).alias("places"))), lambda h: F.size(h["places"]) > 0)
+    return found.select(*ids, "length", hits.alias("hits"))
+
+
+def index_of(marked_rows: DataFrame, id_col: str = "chunk_id", more: list[str] | None = None) -> Index:
+    """The part of an index that the terms of marked() make up, from its rows, which should be written."""
     ids = [id_col, *(more or [])]
-    by_field = F.array(*[F.struct(F.lit(k).alias("field"), tokens(F.col(f)).alias("tokens")) for k, f in enumerate(fields)])
-    each = docs.select(*ids, F.explode(by_field).alias("f")).select(*ids, "f.field", F.posexplode("f.tokens").alias("position", "term"))
-    return each.groupBy("term", *ids, "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    rows = _with_block(marked_rows.select(*ids, "length", F.explode("hits").alias("h")).select(*ids, "length", "h.*"), ids)
+    return Index(rows, blocks(rows), stats_of(marked_rows))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """The blocks of an Index."""
+    return rows.groupBy("term", "block").agg(F.count("*").alias("n_chunks"), F.max("frequency").alias("max_frequency"), F.min("length").alias("min_length"))
 
 
 def term_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -47,34 +111,143 @@ def stats_of(doc_lengths: DataFrame) -> Stats:
     return float(n), float(mean or 0.0)
 
 
-def phrase_frequencies(spark: SparkSession, index: DataFrame, asked: list[list[str]], id_col: str = "chunk_id") -> DataFrame:
-    """(phrase, id, frequency): how often each phrase's tokens stand next to each other within a field.
+# --- scores ------------------------------------------------------------------------
+
+
+def idf_of(n: float, n_with: float) -> float:
+    idf = math.log((n - n_with + 0.5) / (n_with + 0.5)) if 0 <= n_with <= n else 0.0
+    return idf if idf > 0 else LEAST_IDF
+
 
-    Only the postings of the query's terms are read; the query is the broadcast side, its size is checked.
+def _part(idf: float, frequency: Column, length: Column, mean: float) -> Column:
+    """What a phrase of that frequency adds: more for more, less in longer chunks."""
+    f = frequency.cast("double")
+    return F.lit(idf) * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean)))
+
+
+def _bound(idf: float, frequency: float, length: float, mean: float) -> float:
+    """_part() of numbers."""
+    return idf * (frequency * (K1 + 1)) / (frequency + K1 * (1 - B + B * length / mean))
+
+
+def phrase_matches(rows: DataFrame, asked: list[str], ids: list[str]) -> DataFrame:
+    """(ids, length, frequency): how often the tokens of a phrase stand next to each other within a field, from the postings of its terms."""
+    query = [(k, term) for k, term in enumerate(asked)]
+    start = lambda places, k: F.transform(places, lambda p: p - k)
+    starts = F.array(*[F.when(F.col("term") == term, start(F.col("places"), k)) for k, term in query])
+    each = rows.filter(F.col("term").isin(sorted(set(asked)))).select(*ids, "length", F.explode(F.filter(starts, lambda s: s.isNotNull())).alias("s"))
+    # places of different fields are too far apart to meet
+    counted = each.select(*ids, "length", F.explode("s").alias("start")).groupBy(*ids, "length", "start").agg(F.count("*").alias("found"))
+    return counted.filter(F.col("found") == len(asked)).groupBy(*ids, "length").agg(F.count("*").cast("int").alias("frequency"))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How a query is scored: its phrases by number, idf of each, what is read of each term (None: all its blocks), the
+    score below which a chunk is not among the best, and the terms of which a chunk must have one, if there are others and a phrase of several tokens is none of them."""
+
+    single: dict[str, list[int]]
+    several: dict[int, list[str]]
+    idf: dict[int, float]
+    read: dict[str, list[int] | None]
+    threshold: float
+    essential: frozenset[str] | None = None
+
+
+def plan(index: Index, asked: list[list[str]], ids: list[str], top: int | None = None, slack: float = 0.0) -> Plan:
+    """Decides what must be read for the `top` best chunks; all of them without it.
+
+    Blocks bound what their postings can add. From each term's best blocks the threshold is learnt: the top-th best sum of what
+    is in them, below which no chunk's whole score can be, as nothing that is added is negative. A block is left out if
+    its bound, with the best that all other phrases could add, stays below that. So every posting of a chunk that reaches the threshold is
+    read, chunks that tie with it included, and the best are the same, with the same scores. Terms that together stay below it make no
+    candidates; their postings count only for chunks that have another term, if those are few. Phrases of several tokens are read whole.
     """
     if sum(map(len, asked)) > 10_000:
         raise InvalidQueryError("the query has too many words")
-    rows = [(p, k, term, len(phrase)) for p, phrase in enumerate(asked) for k, term in enumerate(phrase)]
-    query = spark.createDataFrame(rows, "phrase int, k int, term string, size int")
-    terms = sorted({r[2] for r in rows})
-    hits = index.filter(F.col("term").isin(terms)).join(F.broadcast(query), "term")
-    starts = hits.select("phrase", "size", "k", id_col, "field", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("k"))
-    whole = starts.groupBy("phrase", "size", id_col, "field", "start").agg(F.count("*").alias("found")).filter("found = size")
-    return whole.groupBy("phrase", id_col).agg(F.count("*").alias("frequency"))
-
-
-def bm25(spark: SparkSession, index: DataFrame, doc_lengths: DataFrame, stats: Stats, asked: list[list[str]], id_col: str = "chunk_id") -> DataFrame:
-    """(id, score) of the chunks with any phrase; lower is better. A phrase asked twice counts twice; contributions are added in the query's order, so equal chunks tie."""
-    found = phrase_frequencies(spark, index, asked, id_col)
-    spread = found.groupBy("phrase").agg(F.count("*").alias("n_with"))
-    joined = found.join(F.broadcast(spread), "phrase").join(doc_lengths.select(id_col, "length"), id_col)
-    n, mean, w = F.lit(float(stats[0])), F.lit(float(stats[1])), F.col("n_with").cast("double")
-    idf = F.log((n - w + 0.5) / (w + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    f = F.col("frequency").cast("double")
-    part = idf * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean))
-    parts = joined.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("phrase", part.alias("part")))).alias("parts"))
-    return parts.select(id_col, (-F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))
+    n, mean = index.stats
+    single: dict[str, list[int]] = {}
+    for p, phrase in enumerate(asked):
+        if len(phrase) == 1:
+            single.setdefault(phrase[0], []).append(p)
+    several = {p: phrase for p, phrase in enumerate(asked) if len(phrase) > 1}
+    heads = index.blocks.filter(F.col("term").isin(sorted(single))) if single else index.blocks.limit(0)
+    heads = heads.groupBy("term", "block").agg(F.sum("n_chunks").alias("n"), F.max("max_frequency").alias("f"), F.min("min_length").alias("length")).collect()
+    n_with = {t: sum(h["n"] for h in heads if h["term"] == t) for t in single}
+    idf = {p: idf_of(n, n_with[t]) for t, of in single.items() for p in of}
+    counts = {tuple(s): phrase_matches(index.postings, s, ids).count() for s in several.values()}
+    idf |= {p: idf_of(n, counts[tuple(s)]) for p, s in several.items()}
+    everything = Plan(single, several, idf, dict.fromkeys(single), 0.0)
+    if not top or not single or not mean:
+        return everything
+
+    weight = {t: sum(idf[p] for p in of) for t, of in single.items()}
+    bounds = {t: sorted(((_bound(weight[t], h["f"], h["length"], mean), h["block"], h["n"]) for h in heads if h["term"] == t and h["f"]), reverse=True) for t in single}
+    if sum(len(b) for b in bounds.values()) < 2:
+        return everything
+    first = {}
+    for t, of in bounds.items():
+        first[t], have = [], 0
+        for _, block, k in of:
+            if have < top:
+                first[t].append(block)
+                have += k
+    tried = scores(index, Plan(single, several, idf, first, 0.0), ids).orderBy("score").limit(top).agg(F.count("*"), -F.max("score")).first()
+    if tried[0] < top:
+        return everything
+    threshold = tried[1] * (1 - 1e-9) - slack
+    most = {t: max((b for b, *_ in of), default=0.0) for t, of in bounds.items()}
+    total = sum(most.values()) + sum(idf[p] * (K1 + 1) for p in several)
+    read = {t: [block for bound, block, _ in of if bound + total - most[t] >= threshold] for t, of in bounds.items()}
+    least, below = 0.0, set()
+    for t in sorted(most, key=most.get):
+        if (least := least + most[t]) >= threshold:
+            break
+        below.add(t)
+    essential = frozenset(t for t in single if t not in below and read[t])
+    n_candidates = sum(k for t in essential for _, block, k in bounds[t] if block in read[t])
+    few = below and not several and n_candidates <= CANDIDATES
+    return Plan(single, several, idf, {t: None if len(read[t]) == len(of) else read[t] for t, of in bounds.items()}, threshold, essential if few else None)
+
+
+def read_by(rows: DataFrame, read: dict[str, list[int] | None]) -> DataFrame:
+    """The postings of those blocks, by conditions that reach the scan."""
+    whole = sorted(t for t, of in read.items() if of is None)
+    conditions = [F.col("term").isin(whole)] if whole else []
+    conditions += [(F.col("term") == t) & F.col("block").isin(of) for t, of in sorted(read.items()) if of]
+    return rows.filter(reduce(lambda a, b: a | b, conditions)) if conditions else rows.limit(0)
+
+
+def scored_rows(index: Index, how: Plan, ids: list[str]) -> DataFrame:
+    """The postings (term, ids, frequency, length) that a plan scores."""
+    rows = read_by(index.postings, how.read).select("term", *ids, "frequency", "length")
+    if how.essential is None:
+        return rows
+    sure = F.col("term").isin(sorted(how.essential))
+    candidates = rows.filter(sure).select(ids[0]).distinct()
+    return rows.filter(sure).unionByName(rows.filter(~sure).join(F.broadcast(candidates), ids[0], "left_semi").select(rows.columns))
+
+
+def scores(index: Index, how: Plan, ids: list[str]) -> DataFrame:
+    """(ids, score) by a plan; contributions are added in the query's order, so equal chunks tie to the last bit."""
+    mean = index.stats[1] or 1.0
+    kept = scored_rows(index, how, ids)
+    one = lambda p: F.struct(F.lit(p).alias("phrase"), _part(how.idf[p], F.col("frequency"), F.col("length"), mean).alias("part"))
+    of_term = F.coalesce(*[F.when(F.col("term") == t, F.array(*map(one, of))) for t, of in how.single.items()]) if how.single else None
+    parts = [kept.select(*ids, of_term.alias("parts"))] if how.single else []
+    parts += [phrase_matches(index.postings, s, ids).select(*ids, F.array(one(p)).alias("parts")) for p, s in how.several.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    summed = rows.groupBy(*ids).agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
+    return summed.select(*ids, (-F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))
+
+
+def bm25(index: Index, asked: list[list[str]], id_col: str = "chunk_id", *, more: list[str] | None = None, top: int | None = None, slack: float = 0.0) -> DataFrame:
+    """(id, more columns, score) of the chunks with any phrase; lower is better. A phrase asked twice counts twice. With `top`, only
+    chunks that can be among that many best, `slack` less than the last of them included, have their score and must be there."""
+    ids = [id_col, *(more or [])]
+    if not asked:
+        return index.postings.select(*ids, F.lit(0.0).alias("score")).limit(0)
+    return scores(index, plan(index, asked, ids, top, slack), ids)
 
 
 def checked_query(query: str, max_results: int, most: int = MAX_RESULTS) -> str:
@@ -86,22 +259,30 @@ def checked_query(query: str, max_results: int, most: int = MAX_RESULTS) -> str:
     return query.strip()
 
 
-def search(spark: SparkSession, index: DataFrame, doc_lengths: DataFrame, stats: Stats, query: str, *, tie: list[str], details: DataFrame, max_results: int = 10, id_col: str = "chunk_id") -> DataFrame:
-    """The best chunks with details' columns, score and rank; ties go by `tie`, columns of details."""
+def search(index: Index, query: str, *, tie: list[str], details: DataFrame, max_results: int = 10, id_col: str = "chunk_id", near: str | None = None) -> DataFrame:
+    """The best chunks with details' columns, score and rank; ties go by `tie`, columns of details. `near` as in best_with_details()."""
     asked = phrases(checked_query(query, max_results))
-    scored = bm25(spark, index, doc_lengths, stats, asked, id_col) if asked else spark.createDataFrame([], f"`{id_col}` {details.schema[id_col].dataType.simpleString()}, score double")
-    return best_with_details(scored, "score", details, tie, max_results, id_col)
+    scored = bm25(index, asked, id_col, more=[near] if near else None, top=max_results)
+    return best_with_details(scored, "score", details, tie, max_results, id_col, near=near)
 
 
-def best_with_details(scored: DataFrame, by: str, details: DataFrame, tie: list[str], n: int, id_col: str, digits: int | None = None) -> DataFrame:
+def best_with_details(scored: DataFrame, by: str, details: DataFrame, tie: list[str], n: int, id_col: str, digits: int | None = None, near: str | None = None) -> DataFrame:
     """The n rows of scored (id, by) that come first by `by`, ties by columns of details, with details' columns and rank.
 
     The n-th score is found first. Only ids up to it meet the columns that break ties, and only the n chosen ones meet the rest.
-    `digits` rounds scores before they are compared.
+    `digits` rounds scores before they are compared. `near` is a column of both by which details are sorted: its values are then collected, if
+    no more than FEW rows are left, so that the scan of details reads only where they are; else details are joined.
     """
     value = F.round(by, digits) if digits else F.col(by)
     last = scored.select(value.alias("_v")).orderBy("_v").limit(n).agg(F.max("_v").alias("_last"))
     few = scored.join(F.broadcast(last), value <= F.col("_last")).drop("_last")
+    if near:
+        rows = few.limit(FEW + 1).collect()
+        if len(rows) <= FEW:
+            few = scored.sparkSession.createDataFrame(rows, few.schema).drop(near)
+            details = details.filter(F.col(near).isin(sorted({r[near] for r in rows})))
+        else:
+            few = few.drop(near)
     breaking = list(dict.fromkeys([id_col, *tie]))
     best = few.join(details.select(breaking), id_col).orderBy(value, *tie).limit(n)
     chosen = details.join(F.broadcast(best.select(id_col, by)), id_col)
@@ -110,6 +291,4 @@ def best_with_details(scored: DataFrame, by: str, details: DataFrame, tie: list[
 
 def ranked(best: DataFrame, order: list) -> DataFrame:
     """Numbers the few rows of a result from 1."""
-    from pyspark.sql import Window
-
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

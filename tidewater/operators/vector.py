@@ -12,10 +12,10 @@ from tidewater.operators.lexical import best_with_details
 from tidewater.sources.tables import shared_folder
 
 
-def nearest(vectors: DataFrame, query: list[float], *, details: DataFrame, tie: list[str], max_results: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """The nearest chunks with details' columns, distance and rank. Distances alone pick what details are looked up for."""
+def nearest(vectors: DataFrame, query: list[float], *, details: DataFrame, tie: list[str], max_results: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding", near: str | None = None) -> DataFrame:
+    """The nearest chunks with details' columns, distance and rank. Distances alone pick what details are looked up for; `near` as in best_with_details()."""
     distance = l2_distance(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query]))
-    return best_with_details(vectors.select(id_col, distance.alias("distance")), "distance", details, tie, max_results, id_col)
+    return best_with_details(vectors.select(id_col, *([near] if near else []), distance.alias("distance")), "distance", details, tie, max_results, id_col, near=near)
 
 
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, query_col: str, vector_col: str = "embedding", block: int = 500) -> DataFrame:

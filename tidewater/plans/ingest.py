@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import copy
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.errors import EmbeddingError, IngestionError, SourceConfigurationError, UnsupportedDocumentFormatError, VectorIndexIncompatibleError
+from tidewater.errors import EmbeddingError, IngestionError, SourceConfigurationError, StoreConflictError, UnsupportedDocumentFormatError, VectorIndexIncompatibleError
 from tidewater.functions import text
 from tidewater.functions.fingerprints import processing_fingerprint
 from tidewater.functions.vectors import valid_vector
@@ -16,10 +19,12 @@ from tidewater.operators import lexical
 from tidewater.operators.chunking import chunks
 from tidewater.operators.embeddings import EmbeddingProvider, fingerprint_of
 from tidewater.plans.sync import classify
-from tidewater.sources.store import MAX_DELTAS, Store
+from tidewater.sources.store import Store, due
 
 #: The indexed fields, in the order of postings.field.
 FIELDS = ["title", "relative_path", "section", "text"]
+#: How often a sync or rebuild begins again because another writer came first.
+ATTEMPTS = 5
 
 
 @dataclass(frozen=True)
@@ -91,6 +96,16 @@ def _incoming(store: Store, source_id: str, raw: DataFrame, max_chunk_chars: int
     return found
 
 
+def _again(write: Callable):
+    """write(), begun anew from the last manifest if another writer has changed what it would."""
+    for _ in range(ATTEMPTS - 1):
+        try:
+            return write()
+        except StoreConflictError:
+            continue
+    return write()
+
+
 def ingest(
     store: Store,
     source_id: str,
@@ -106,87 +121,124 @@ def ingest(
     """Makes raw (source_id, relative_path, content) the snapshot of a source; nothing changes if any of it fails.
 
     Only new and changed documents are chunked, indexed, embedded and written, chunked once; the rest stays where it is. Documents
-    that are missing are deleted, unless keep_missing. If a vector index is active, what is written must be
-    embedded by its model; without an active one, vectors are not written.
+    that are missing are deleted, unless keep_missing; then only the documents of raw are looked up, by their ids. If a vector index is active, what is written must be
+    embedded by its model; without an active one, vectors are not written. If another writer publishes a change of this source or of the vector index
+    meanwhile, the sync begins again from that; other sources don't matter.
     """
     store.require_writable()
     if not source_id.strip():
         raise SourceConfigurationError("source_id must not be blank")
-    manifest = store.manifest()
     found = _incoming(store, source_id, raw, max_chunk_chars, now or datetime.now(UTC))
     try:
-        discovered = found.count()
-        now_once = found.dropDuplicates(["document_id"])
-        status = classify(store.table("documents", source_id), now_once).persist()
+        return _again(lambda: _sync(store, source_id, found, max_chunk_chars, provider, {"source_type": source_type, "display_name": display_name}, keep_missing))
+    finally:
+        found.unpersist()
+
+
+def _sync(store: Store, source_id: str, found: DataFrame, max_chunk_chars: int, provider: EmbeddingProvider | None, about: dict, keep_missing: bool) -> IngestionResult:
+    base = store.manifest()
+    view, active = store.pinned(base), base["vector"]
+    discovered = found.count()
+    now_once = found.dropDuplicates(["document_id"])
+    before = view.of_documents("documents", now_once, source_id) if keep_missing else view.table("documents", source_id)
+    status = classify(before, now_once).persist()
+    try:
         counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
         n = {s: counts.get(s, 0) for s in ("created", "updated", "reprocessed", "unchanged", "deleted")}
-        if keep_missing:
-            n["deleted"] = 0
         writes = n["created"] + n["updated"] + n["reprocessed"]
 
-        active = manifest["vector"]
         fingerprint = fingerprint_of(provider) if provider else None
         if active and fingerprint and discovered and fingerprint != active["fingerprint"]:
             raise VectorIndexIncompatibleError("the provider is not the active index's; rebuild the vectors")
         if active and not fingerprint and writes:
             raise VectorIndexIncompatibleError("a vector index is active, so what is written must be embedded")
 
-        entry = manifest["sources"].get(source_id, {"tables": {}, "delta": 0, "stats": {"chunks": 0, "tokens": 0}})
-        entry |= {"source_type": source_type, "display_name": display_name}
+        entry = {"parts": [], "stats": {"chunks": 0, "tokens": 0}} | copy.deepcopy(base["sources"].get(source_id, {})) | about
         of = lambda *kinds: status.filter(F.col("status").isin(*kinds)).select("document_id")
         if writes or n["deleted"]:
-            changed = now_once.join(of("created", "updated", "reprocessed"), "document_id", "left_semi")
-            gone = of("updated", "reprocessed", *([] if keep_missing else ["deleted"])) if n["updated"] + n["reprocessed"] + n["deleted"] else None
-            _add_delta(store, source_id, entry, changed if writes else None, gone, max_chunk_chars, provider if active else None)
+            changed = now_once.join(of("created", "updated", "reprocessed"), "document_id", "left_semi") if writes else None
+            gone = of("updated", "reprocessed", "deleted") if n["updated"] + n["reprocessed"] + n["deleted"] else None
+            tables, stats = _part(store, view, source_id, changed, gone, max_chunk_chars, provider if active else None)
             if active and writes:
-                _check_vectors(store, entry["tables"]["vectors"][-1][0], active["dimension"])
-            if entry["delta"] > MAX_DELTAS:
-                _write_anew(store, source_id, entry)
-            _count(store, entry)
-        status.unpersist()
+                _check_vectors(store, tables["vectors"], active["dimension"])
+            entry["parts"].append({"tables": tables, "rows": writes + n["updated"] + n["reprocessed"] + n["deleted"]})
+            entry["stats"] = {k: entry["stats"][k] + stats[k] for k in stats}
+            if (k := due([p["rows"] for p in entry["parts"]])) > 1:
+                entry["parts"][-k:] = _merged(store, source_id, entry["parts"], k)
     finally:
-        found.unpersist()
-    manifest["sources"][source_id] = entry
-    store.publish(manifest)
+        status.unpersist()
+    if entry != base["sources"].get(source_id):
+        store.commit(base, {source_id: entry})
     return IngestionResult(source_id, discovered, **n, embedding_fingerprint=fingerprint if active else None, vector_reindexed=writes if active and provider else None)
 
 
-def _add_delta(store: Store, source_id: str, entry: dict, changed: DataFrame | None, gone: DataFrame | None, max_chunk_chars: int, provider: EmbeddingProvider | None) -> None:
-    """Writes what is new and what is gone and adds it to the entry."""
-    entry["delta"] += 1
-
-    def put(name: str, df: DataFrame) -> DataFrame:
-        at = store.write(name, source_id, df)
-        entry["tables"][name] = [*entry["tables"].get(name, []), [at, entry["delta"]]]
-        return store.at(name, [at])
-
+def _part(store: Store, view: Store, source_id: str, changed: DataFrame | None, gone: DataFrame | None, max_chunk_chars: int, provider: EmbeddingProvider | None) -> tuple[dict, dict]:
+    """Writes what is new and what is gone: (tables, what chunks and tokens there are more). What is known of gone documents is looked up by their ids."""
+    tables, stats, fewer = {}, {"chunks": 0, "tokens": 0}, None
     if gone is not None:
-        put("gone", gone)
+        tables["gone"] = store.write("gone", source_id, gone)
+        ids = store.at("gone", [tables["gone"]])
+        lost = view.of_documents("lengths", ids, source_id)
+        for key, value in _sizes(lost).items():
+            stats[key] -= value
+        old = indexed(view.of_documents("chunks", ids, source_id), view.of_documents("documents", ids, source_id))
+        fewer = lexical.postings(old, FIELDS).groupBy("term").agg((-F.count("*")).alias("n_chunks"))
     if changed is not None:
-        documents = put("documents", changed)
-        chunk_rows = put("chunks", chunks(changed.select("document_id", "text", "format"), max_chunk_chars=max_chunk_chars))
-        put("postings", lexical_rows(chunk_rows, documents)[0])
-        put("lengths", lexical_rows(chunk_rows, documents)[1])
+        tables["documents"] = store.write("documents", source_id, changed)
+        tables["chunks"] = store.write("chunks", source_id, chunks(changed.select("document_id", "text", "format"), max_chunk_chars=max_chunk_chars))
+        chunk_rows, documents = store.at("chunks", [tables["chunks"]]), store.at("documents", [tables["documents"]])
+        tables |= lexical_tables(store, source_id, chunk_rows, documents, fewer)
         if provider:
-            put("vectors", embedded(chunk_rows, documents, provider))
+            tables["vectors"] = store.write("vectors", source_id, embedded(chunk_rows, documents, provider))
+        for key, value in _sizes(store.at("lengths", [tables["lengths"]])).items():
+            stats[key] += value
+    elif fewer is not None:
+        tables["blocks"] = store.write("blocks", source_id, _corrections(fewer))
+    return tables, stats
 
 
-def lexical_rows(chunk_rows: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of chunks, with their document."""
+def lexical_tables(store: Store, source_id: str, chunk_rows: DataFrame, documents: DataFrame, fewer: DataFrame | None = None) -> dict:
+    """Writes the index of chunks: postings, the blocks they make up, with corrections (term, n_chunks) for what is gone, and lengths."""
     named = indexed(chunk_rows, documents)
-    return tuple(f(named, FIELDS, more=["document_id"]) for f in (lexical.postings, lexical.lengths))
+    tables = {"postings": store.write("postings", source_id, lexical.postings(named, FIELDS, more=["document_id"]))}
+    found = lexical.blocks(store.at("postings", [tables["postings"]]))
+    tables["blocks"] = store.write("blocks", source_id, found if fewer is None else found.unionByName(_corrections(fewer)))
+    tables["lengths"] = store.write("lengths", source_id, lexical.lengths(named, FIELDS, more=["document_id"]))
+    return tables
+
+
+def _corrections(fewer: DataFrame) -> DataFrame:
+    """Rows of blocks that say how many chunks fewer have a term; their block, -1, has no postings."""
+    return fewer.select("term", F.lit(-1).alias("block"), "n_chunks", F.lit(None).cast("int").alias("max_frequency"), F.lit(None).cast("long").alias("min_length"))
 
 
-def _write_anew(store: Store, source_id: str, entry: dict) -> None:
-    """The source's tables without what is gone, as its first delta."""
-    live = {name: store.live(name, entry) for name in entry["tables"] if name != "gone"}
-    entry["tables"] = {name: [[store.write(name, source_id, df), 1]] for name, df in live.items()}
-    entry["delta"] = 1
+def _sizes(lengths: DataFrame) -> dict:
+    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return {"chunks": n, "tokens": total}
 
 
-def _count(store: Store, entry: dict) -> None:
-    n, total = store.live("lengths", entry).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    entry["stats"] = {"chunks": n, "tokens": total}
+def stats_of(store: Store, parts: list[dict]) -> dict:
+    """A source's stats from its lengths."""
+    return _sizes(store.live("lengths", parts))
+
+
+def _merged(store: Store, source_id: str, parts: list[dict], k: int) -> list[dict]:
+    """The last k parts as one, without what is gone among them; of what is gone before them, the ids and corrections stay."""
+    last, first = parts[-k:], k == len(parts)
+    tables = {}
+    for name in ("documents", "chunks", "postings", "lengths", "vectors"):
+        if any(name in p["tables"] for p in last):
+            tables[name] = store.write(name, source_id, store.live(name, last))
+    new = lexical.blocks(store.at("postings", [tables["postings"]])) if "postings" in tables else None
+    if not first and any("gone" in p["tables"] for p in last):
+        tables["gone"] = store.write("gone", source_id, store.live("gone", last).distinct())
+        both = [store.live("blocks", last).select("term", "n_chunks"), *([new.select("term", (-F.col("n_chunks")).alias("n_chunks"))] if new else [])]
+        fewer = reduce(DataFrame.unionByName, both).groupBy("term").agg(F.sum("n_chunks").alias("n_chunks")).filter("n_chunks <> 0")
+        new = new.unionByName(_corrections(fewer)) if new else _corrections(fewer)
+    if new is not None:
+        tables["blocks"] = store.write("blocks", source_id, new)
+    rows = sum(store.at(name, [tables[name]]).count() for name in ("documents", "gone") if name in tables)
+    return [{"tables": tables, "rows": rows}] if rows else []
 
 
 def _check_vectors(store: Store, at: str, dimension: int) -> None:
@@ -194,27 +246,40 @@ def _check_vectors(store: Store, at: str, dimension: int) -> None:
 
 
 def rebuild_lexical(store: Store) -> int:
-    """Makes postings and lengths of all sources anew from their chunks, without the sources' files: the number of chunks."""
+    """Makes postings, blocks and lengths of all sources anew from their chunks, without the sources' files, each source as one part: the number of chunks."""
     store.require_writable()
-    manifest = store.manifest()
-    for source_id, entry in manifest["sources"].items():
-        made = lexical_rows(store.live("chunks", entry), store.live("documents", entry))
-        for name, df in zip(("postings", "lengths"), made, strict=True):
-            entry["tables"][name] = [[store.write(name, source_id, df), entry["delta"]]]
-        _count(store, entry)
-    store.publish(manifest)
-    return int(store.stats()[0])
+
+    def rebuild() -> int:
+        base, made = store.manifest(), {}
+        for source_id, entry in base["sources"].items():
+            parts = [{"tables": {n: t for n, t in p["tables"].items() if n not in ("postings", "blocks", "lengths")}, "rows": p["rows"]} for p in entry["parts"]]
+            parts = _merged(store, source_id, parts, len(parts)) if parts else []
+            for part in parts:
+                part["tables"] |= lexical_tables(store, source_id, store.at("chunks", [part["tables"]["chunks"]]), store.at("documents", [part["tables"]["documents"]]))
+            made[source_id] = entry | {"parts": parts, "stats": stats_of(store, parts)}
+        store.commit(base, made)
+        return sum(e["stats"]["chunks"] for e in made.values())
+
+    return _again(rebuild)
 
 
 def rebuild_vectors(store: Store, provider: EmbeddingProvider) -> tuple[str, int]:
     """Embeds all chunks of all sources anew and makes that model the active one: (fingerprint, number of chunks)."""
     store.require_writable()
-    manifest = store.manifest()
-    for source_id, entry in manifest["sources"].items():
-        vectors = embedded(store.live("chunks", entry), store.live("documents", entry), provider)
-        at = store.write("vectors", source_id, vectors)
-        _check_vectors(store, at, provider.dimension)
-        entry["tables"]["vectors"] = [[at, entry["delta"]]]
-    manifest["vector"] = {"fingerprint": fingerprint_of(provider), "dimension": provider.dimension}
-    store.publish(manifest)
-    return manifest["vector"]["fingerprint"], store.table("vectors").count()
+    vector = {"fingerprint": fingerprint_of(provider), "dimension": provider.dimension}
+
+    def rebuild() -> int:
+        base, n = store.manifest(), 0
+        after = copy.deepcopy(base)
+        for source_id, entry in after["sources"].items():
+            for k, part in enumerate(entry["parts"]):
+                if "chunks" in part["tables"]:
+                    rows = embedded(store.live("chunks", entry["parts"], k), store.live("documents", entry["parts"], k), provider)
+                    part["tables"]["vectors"] = store.write("vectors", source_id, rows)
+                    _check_vectors(store, part["tables"]["vectors"], provider.dimension)
+                    n += store.at("vectors", [part["tables"]["vectors"]]).count()
+        # of all sources, so nothing may have been published meanwhile
+        store.publish(after | {"vector": vector})
+        return n
+
+    return vector["fingerprint"], _again(rebuild)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import fingerprints, text, tokens, vectors
 from tidewater.operators import chunking, evaluation, fusion, lexical, vector
-from tidewater.sources.tables import spread
+from tidewater.sources.tables import spread, written
 
 QUERY = "the of/the stupid Émentre and"
 FIELDS = ["title", "relative_path", "section", "text"]
@@ -104,10 +104,10 @@ lex AS (
   SELECT * FROM (SELECT chunk_id, score, doc_id, relative_path, row_number() OVER (ORDER BY round(score, 9), relative_path, chunk_id) AS rank FROM scored JOIN corpus USING (chunk_id)) {top})"""
 
 
-def _index(spark: SparkSession, sf_dir: str):
-    docs = corpus(spark, sf_dir)
-    lengths = lexical.lengths(docs, FIELDS)
-    return docs, lexical.postings(docs, FIELDS), lengths, lexical.stats_of(lengths)
+def _index(spark: SparkSession, sf_dir: str, asked: list[list[str]], more: list[str]) -> lexical.Index:
+    """The index of the corpus, as far as a query's terms go: one pass over the texts, of which only lengths and hits are written."""
+    terms = [t for phrase in asked for t in phrase]
+    return lexical.index_of(written(lexical.marked(corpus(spark, sf_dir), FIELDS, terms, more=more), "marked"), more=more)
 
 
 # --- identities, formats, text -------------------------------------------------
@@ -266,19 +266,18 @@ def corpus_stats(spark, sf_dir):
 
 def _bm25(query: str):
     def run(spark, sf_dir):
-        docs, index, lengths, stats = _index(spark, sf_dir)
-        scored = lexical.bm25(spark, index, lengths, stats, tokens.phrases(query))
-        return scored.join(docs, "chunk_id").select("doc_id", F.round("score", 9).alias("score"))
+        asked = tokens.phrases(query)
+        return lexical.bm25(_index(spark, sf_dir, asked, ["doc_id"]), asked, more=["doc_id"]).select("doc_id", F.round("score", 9).alias("score"))
 
     return run
 
 
 def _lexical(spark, sf_dir, n: int) -> DataFrame:
-    docs, index, lengths, stats = _index(spark, sf_dir)
-    details = docs.select("chunk_id", "doc_id", "relative_path", "content_hash")
+    asked = tokens.phrases(QUERY)
+    details = corpus(spark, sf_dir).select("chunk_id", "doc_id", "relative_path", "content_hash")
     # equal chunks in theory can differ in the last bit between engines; ties go by the rounded score
-    scored = lexical.bm25(spark, index, lengths, stats, tokens.phrases(QUERY))
-    return lexical.best_with_details(scored, "score", details, ["relative_path", "chunk_id"], n, "chunk_id", digits=9)
+    scored = lexical.bm25(_index(spark, sf_dir, asked, ["doc_id"]), asked, more=["doc_id"], top=n, slack=1e-8)
+    return lexical.best_with_details(scored, "score", details, ["relative_path", "chunk_id"], n, "chunk_id", digits=9, near="doc_id")
 
 
 def lexical_topk(spark, sf_dir):
@@ -341,9 +340,10 @@ def rrf_contract_check(spark, sf_dir):
 
 def truncation_status(spark, sf_dir):
     """What a public bound of 5 says of the matches of each source's documents."""
-    docs, index, lengths, stats = _index(spark, sf_dir)
-    found = lexical.bm25(spark, index, lengths, stats, [["stupid"], ["idiot"]]).join(docs, "chunk_id")
-    n = docs.groupBy("source_id").agg(F.lit(0).alias("zero")).join(found.groupBy("source_id").agg(F.count("*").alias("n")), "source_id", "left")
+    asked = [["stupid"], ["idiot"]]
+    found = lexical.bm25(_index(spark, sf_dir, asked, ["source_id"]), asked, more=["source_id"])
+    every = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_id")).agg(F.lit(0).alias("zero"))
+    n = every.join(found.groupBy("source_id").agg(F.count("*").alias("n")), "source_id", "left")
     from tidewater.plans.service import status_column
 
     hits = F.coalesce("n", F.lit(0))

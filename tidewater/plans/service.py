@@ -69,37 +69,47 @@ class KnowledgeService:
     def __init__(self, store: Store, provider: EmbeddingProvider | None = None, *, default_strategy: str = "lexical"):
         self.store, self.provider, self.default_strategy = store, provider, default_strategy
 
-    def _details(self) -> DataFrame:
-        docs = self.store.table("documents").select("document_id", "source_id", "relative_path", "title")
-        return self.store.table("chunks").join(docs, "document_id")
+    def _details(self, view: Store) -> DataFrame:
+        docs = view.table("documents").select("document_id", "source_id", "relative_path", "title")
+        return view.table("chunks").join(docs, "document_id")
 
-    def lexical(self, query: str, n: int) -> DataFrame:
-        lexical.checked_query(query, n)
-        if any("postings" not in s["tables"] for s in self.store.manifest()["sources"].values() if s["stats"]["chunks"]):
+    def index(self, view: Store) -> lexical.Index:
+        """The lexical index of a pinned store; IndexUnavailableError if a part has none."""
+        if any("postings" not in p["tables"] for s in view.manifest()["sources"].values() for p in s["parts"] if "chunks" in p["tables"]):
             raise IndexUnavailableError("a source has no postings; rebuild the lexical index")
-        postings, lengths = self.store.table("postings"), self.store.table("lengths")
-        return lexical.search(self.store.spark, postings, lengths, self.store.stats(), query, tie=TIE, details=self._details(), max_results=n)
+        return lexical.Index(view.table("postings"), view.table("blocks"), view.stats())
+
+    def lexical(self, query: str, n: int, view: Store | None = None) -> DataFrame:
+        lexical.checked_query(query, n)
+        view = view or self.store.pinned()
+        return lexical.search(self.index(view), query, tie=TIE, details=self._details(view), max_results=n, near="document_id")
 
-    def vector(self, query: str, n: int) -> DataFrame:
+    def vector(self, query: str, n: int, view: Store | None = None) -> DataFrame:
         stripped = lexical.checked_query(query, n)
+        view = view or self.store.pinned()
+        asked = self.embedded_query(view, stripped)
+        return vector.nearest(view.table("vectors"), asked, details=self._details(view), tie=TIE, max_results=n, near="document_id")
+
+    def embedded_query(self, view: Store, query: str) -> list[float]:
+        """The query's vector by the active index's model."""
         if self.provider is None:
             raise VectorIndexUnavailableError("vector search needs an embedding provider")
-        active = self.store.manifest()["vector"]
+        active = view.manifest()["vector"]
         if active is None:
             raise VectorIndexUnavailableError("no vector index has been built")
         if fingerprint_of(self.provider) != active["fingerprint"]:
             raise VectorIndexIncompatibleError("the provider is not the active index's; rebuild the vectors")
-        asked = self.provider.embed_query(stripped)
+        asked = self.provider.embed_query(query)
         if len(asked) != active["dimension"]:
             raise VectorIndexIncompatibleError("the query's vector has another length than the index's")
-        return vector.nearest(self.store.table("vectors").select("chunk_id", "embedding"), asked, details=self._details(), tie=TIE, max_results=n)
+        return asked
 
     def hybrid(self, query: str, n: int) -> DataFrame:
         lexical.checked_query(query, n)
         if self.provider is None:
             raise VectorIndexUnavailableError("hybrid search needs an embedding provider")
-        k = fusion.candidate_count(n)
-        return fusion.fuse(self.lexical(query, k), self.vector(query, k), max_results=n, tie=TIE)
+        k, view = fusion.candidate_count(n), self.store.pinned()
+        return fusion.fuse(self.lexical(query, k, view), self.vector(query, k, view), max_results=n, tie=TIE)
 
     def search(self, query: str, *, strategy: str | None = None, max_results: int = 10) -> RetrievalResult:
         lexical.checked_query(query, max_results, MAX_PUBLIC_RESULTS)
@@ -114,13 +124,14 @@ class KnowledgeService:
         return _one(self.store.table("documents").filter(F.col("document_id") == document_id), "document_id")
 
     def get_chunk(self, chunk_id: str) -> dict | None:
+        """Row groups whose Bloom filter doesn't have the id are skipped."""
         return _one(self.store.table("chunks").filter(F.col("chunk_id") == chunk_id), "chunk_id", "document_id")
 
     def documents_of(self, source_id: str) -> DataFrame:
-        return self.store.table("documents", source_id).orderBy("relative_path")
+        return checked_rows(self.store.table("documents", source_id), "document_id").orderBy("relative_path")
 
     def chunks_of(self, document_id: str) -> DataFrame:
-        return self.store.table("chunks").filter(F.col("document_id") == document_id).orderBy("ordinal")
+        return checked_rows(self.store.table("chunks").filter(F.col("document_id") == document_id), "chunk_id", "document_id").orderBy("ordinal")
 
 
 def _one(found: DataFrame, *ids: str) -> dict | None:
@@ -132,14 +143,31 @@ def _one(found: DataFrame, *ids: str) -> dict | None:
 _FORMS = {"document_id": r"doc_[0-9a-f]{24}", "chunk_id": r"chunk_[0-9a-f]{24}", "content_hash": r"[0-9a-f]{64}", "processing_fingerprint": r"[0-9a-f]{64}"}
 
 
+_NAMES, _COUNTS = ("source_id", "relative_path", "title"), ("ordinal", "section_occurrence", "ordinal_in_section")
+
+
 def checked(row: dict, *ids: str) -> dict:
     """A row as read from the store; StoreError if it is not what was once written: ids and digests have their form, a chunk's
     text its digest and length, names are not blank and numbers not negative."""
     wrong = [c for c, form in _FORMS.items() if (c in ids or c in row) and not re.fullmatch(form, row.get(c) or "")]
-    wrong += [c for c in ("source_id", "relative_path", "title") if c in row and not (row[c] or "").strip()]
-    wrong += [c for c in ("ordinal", "section_occurrence", "ordinal_in_section") if c in row and (row[c] is None or row[c] < 0)]
+    wrong += [c for c in _NAMES if c in row and not (row[c] or "").strip()]
+    wrong += [c for c in _COUNTS if c in row and (row[c] is None or row[c] < 0)]
     if "text" in row and (not row["text"] or hashlib.sha256(row["text"].encode()).hexdigest() != row["content_hash"] or len(row["text"]) != row["char_count"]):
         wrong.append("text")
     if wrong:
         raise StoreError(f"a stored row is corrupt in {', '.join(sorted(wrong))}: {row.get(ids[0]) if ids else ''}")
     return row
+
+
+def checked_rows(rows: DataFrame, *ids: str) -> DataFrame:
+    """rows by the rules of checked(), as a condition that Spark evaluates where the rows are: reading one that breaks them fails with the columns'
+    names. It is a filter, so leaving columns out does not leave it out."""
+    have = set(rows.columns)
+    right = {c: F.col(c).rlike(f"^(?:{form})\\z") for c, form in _FORMS.items() if c in have}
+    right |= {c: F.col(c).rlike(r"\S") for c in _NAMES if c in have}
+    right |= {c: F.col(c) >= 0 for c in _COUNTS if c in have}
+    if "text" in have:
+        right["text"] = (F.length("text") > 0) & (F.sha2("text", 256) == F.col("content_hash")) & (F.length("text") == F.col("char_count"))
+    wrong = F.concat_ws(", ", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in sorted(right.items())])
+    message = F.concat(F.lit("a stored row is corrupt in "), wrong, F.lit(": "), F.coalesce(F.col(ids[0]), F.lit("")))
+    return rows.filter(F.when(wrong == "", F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
