@@ -131,14 +131,13 @@ def _bound(idf: float, frequency: float, length: float, mean: float) -> float:
 
 
 def phrase_matches(rows: DataFrame, asked: list[str], ids: list[str]) -> DataFrame:
-    """(ids, length, frequency): how often the tokens of a phrase stand next to each other within a field, from the postings of its terms."""
-    query = [(k, term) for k, term in enumerate(asked)]
-    start = lambda places, k: F.transform(places, lambda p: p - k)
-    starts = F.array(*[F.when(F.col("term") == term, start(F.col("places"), k)) for k, term in query])
-    each = rows.filter(F.col("term").isin(sorted(set(asked)))).select(*ids, "length", F.explode(F.filter(starts, lambda s: s.isNotNull())).alias("s"))
-    # places of different fields are too far apart to meet
-    counted = each.select(*ids, "length", F.explode("s").alias("start")).groupBy(*ids, "length", "start").agg(F.count("*").alias("found"))
-    return counted.filter(F.col("found") == len(asked)).groupBy(*ids, "length").agg(F.count("*").cast("int").alias("frequency"))
+    """(ids, length, frequency): how often the tokens of a phrase stand next to each other within a field, from the postings of its
+    terms, which meet as one row each; places of different fields are too far apart to be neighbours."""
+    terms = sorted(set(asked))
+    met = rows.filter(F.col("term").isin(terms)).groupBy(*ids, "length").agg(F.collect_list(F.struct("term", "places")).alias("met"))
+    start = lambda term, k: F.transform(F.filter("met", lambda x: x["term"] == term)[0]["places"], lambda p: p - k)
+    starts = reduce(F.array_intersect, [start(term, k) for k, term in enumerate(asked)])
+    return met.filter(F.size("met") == len(terms)).select(*ids, "length", F.size(starts).alias("frequency")).filter("frequency > 0")
 
 
 @dataclass(frozen=True)
