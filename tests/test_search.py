@@ -1,3 +1,4 @@
+import math
 import random
 import sqlite3
 
@@ -91,6 +92,42 @@ def test_nearest_each_in_blocks(spark):
     assert one == many and len(one) == 15
 
 
+def test_pivots_leave_out_what_is_too_far(spark, tmp_path):
+    """Vectors in clusters, many equal ones that tie, one group with far members: fewer distances, and the same neighbours as a scan."""
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(5 * (k % 40), 0.4), rng.gauss(-3 * (k % 7), 0.4), rng.gauss(0, 0.4)]) for k in range(2000)] + [(3000 + k, [1.0, 2.0, 3.0]) for k in range(30)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").cache()
+    details = v.select("vec_id", (-F.col("vec_id")).alias("place"))
+    pivots = vector.pivots_of(v, n=40, id_col="vec_id")
+    vector.grouped(v, pivots).sortWithinPartitions("pivot", "pivot_distance").write.parquet(str(tmp_path / "v"))
+    kept = spark.read.parquet(str(tmp_path / "v"))
+    groups = vector.groups_of(vector.group_rows(kept), pivots)
+    assert sum(g.n for g in groups) == 2030
+    for query in (rows[17][1], [1.0, 2.0, 3.0], [1000.0, 0.0, 0.0], [90.0, -8.0, 0.1]):
+        reached = vector.within_reach(kept, groups, query, 10)
+        assert reached.count() <= 0.35 * 2030
+        assert "pivot_distance" in reached._jdf.queryExecution().executedPlan().toString().split("PushedFilters", 1)[1].split("ReadSchema")[0]
+        found = [vector.nearest(t, query, details=details, tie=["place"], max_results=10, id_col="vec_id", groups=g).select("vec_id", "rank", "distance").orderBy("rank").collect() for t, g in ((kept, groups), (v, None))]
+        assert found[0] == found[1] and len(found[0]) == 10
+    assert vector.nearest(kept, rows[0][1], details=details, tie=["place"], max_results=50, id_col="vec_id", groups=groups).count() == 50
+    assert vector.within_reach(kept, groups, rows[0][1], 3000).count() == 2030
+
+    asked = v.filter("vec_id % 50 = 0").unionByName(spark.createDataFrame([(None, [1.0, 2.0, 3.0]), (9001, [1.0]), (9002, None)], v.schema))
+    got = vector.nearest_each(v.unionByName(spark.createDataFrame([(8001, [float("nan")] * 3), (8002, [1.0]), (8003, None)], v.schema)), asked, 5, id_col="vec_id", query_col="vec_id", block=7, n_pivots=40)
+    near = lambda a, b: math.sqrt(sum((x - y) * (x - y) for x, y in zip(a, b, strict=True)))
+    floats = [(r["vec_id"], list(r["embedding"])) for r in v.collect()]
+    want = {}
+    for q, a in [*[(i, e) for i, e in floats if i % 50 == 0], (None, [1.0, 2.0, 3.0])]:
+        want[q] = [i for _, i in sorted((near(e, a), i) for i, e in floats)[:5]]
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (str(r["query"]), r["rank"])):
+        found.setdefault(r["query"], []).append(r["vec_id"])
+    assert found == want
+    centers = spark.createDataFrame(list(enumerate(pivots)), "pivot int, center array<double>")
+    pairs = vector.candidate_pairs(kept, vector.group_rows(kept).join(centers, "pivot"), asked.filter("vec_id < 9000").selectExpr("vec_id as query", "embedding as asked"), 5, "vec_id", "embedding").count()
+    assert pairs <= 0.2 * 2030 * asked.count()
+
+
 def sides(spark):
     lex = spark.createDataFrame([("A", "a.md", 0, "h1", 1, -2.0), ("B", "b.md", 0, "h2", 2, -1.0)], "chunk_id string, relative_path string, ordinal int, content_hash string, rank int, score double")
     vec = spark.createDataFrame([("B", "b.md", 0, "h2", 1, 0.1), ("C", "c.md", 0, "h3", 2, 0.2)], "chunk_id string, relative_path string, ordinal int, content_hash string, rank int, distance double")

@@ -1,43 +1,169 @@
-"""Exact nearest neighbours by Euclidean distance."""
+"""Exact nearest neighbours by Euclidean distance, with groups of vectors around pivots that the triangle inequality rules out."""
 
 from __future__ import annotations
 
+import math
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.vectors import l2_distance
+from tidewater.functions.vectors import l2_distance, valid_vector
 from tidewater.operators.lexical import best_with_details
-from tidewater.sources.tables import shared_folder
+from tidewater.sources.tables import shared_folder, written
 
+#: So many vectors at most are pivots of a table.
+PIVOTS = 64
+#: What is taken off and put on bounds, since distances are rounded: a share of them.
+_SLACK = 1e-6
 
-def nearest(vectors: DataFrame, query: list[float], *, details: DataFrame, tie: list[str], max_results: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding", near: str | None = None) -> DataFrame:
-    """The nearest chunks with details' columns, distance and rank. Distances alone pick what details are looked up for; `near` as in best_with_details()."""
-    distance = l2_distance(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query]))
-    return best_with_details(vectors.select(id_col, *([near] if near else []), distance.alias("distance")), "distance", details, tie, max_results, id_col, near=near)
 
+@dataclass(frozen=True)
+class Group:
+    """Vectors around a pivot: how many, and how far the nearest and the farthest are from it."""
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, query_col: str, vector_col: str = "embedding", block: int = 500) -> DataFrame:
-    """(query, id, distance, rank): for each row of queries (query, vector) its k nearest vectors.
+    pivot: int
+    center: tuple[float, ...]
+    n: int
+    least: float
+    most: float
 
-    A stated query set against all rows, in blocks of about `block` queries, of which one at a time is broadcast; each
-    task keeps a query's k best before the shuffle. If there are several blocks, the queries are written once with their block's
-    number, and each block's result is written before the next.
+    def distance(self, query: list[float]) -> float:
+        return math.dist(self.center, query)
+
+    def bound(self, query: list[float]) -> float:
+        """No vector of the group is nearer to the query."""
+        d = self.distance(query)
+        return max(0.0, d - self.most, self.least - d)
+
+
+def pivots_of(vectors: DataFrame, *, n: int = PIVOTS, id_col: str = "chunk_id", vector_col: str = "embedding") -> list[list[float]]:
+    """n vectors of the table, those with the smallest hashes of their ids, equal ones once. Which ones they are changes what is skipped, not what is found."""
+    sample = vectors.orderBy(F.xxhash64(id_col), vector_col).limit(n).select(vector_col).collect()
+    return [list(v) for v in dict.fromkeys(tuple(r[0]) for r in sample)]
+
+
+def grouped(vectors: DataFrame, pivots: list[list[float]], *, vector_col: str = "embedding") -> DataFrame:
+    """vectors with `pivot`, the number of the nearest pivot, and `pivot_distance`, on the map side. Vectors must be of the pivots' length and finite.
+    Without pivots both are null."""
+    if not pivots:
+        return vectors.withColumns({"pivot": F.lit(None).cast("int"), "pivot_distance": F.lit(None).cast("double")})
+    centers = np.array(pivots, np.float64)
+    norms = (centers * centers).sum(1)
+
+    def assign(batches):
+        for batch in batches:
+            column = batch.column(vector_col)
+            v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+            nearest = (norms - 2 * v @ centers.T).argmin(1) if len(v) else np.empty(0, np.int64)
+            far = np.sqrt(((v - centers[nearest]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(far)], [*batch.schema.names, "pivot", "pivot_distance"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    return vectors.mapInArrow(assign, f"{schema}, pivot int, pivot_distance double")
+
+
+def group_rows(rows: DataFrame) -> DataFrame:
+    """(pivot, n, least, most) of grouped() rows, one for each pivot that has some."""
+    return rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("pivot_distance").alias("least"), F.max("pivot_distance").alias("most"))
+
+
+def groups_of(rows: DataFrame, pivots: list[list[float]]) -> list[Group]:
+    """Groups from group_rows() of one table or of several with the same pivots; there are PIVOTS at most.
+    None where vectors were grouped without pivots."""
+    whole = rows.groupBy("pivot").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).collect()
+    if any(r["pivot"] is None for r in whole):
+        return []
+    return [Group(r["pivot"], tuple(pivots[r["pivot"]]), r["n"], r["least"], r["most"]) for r in whole]
+
+
+def within_reach(vectors: DataFrame, groups: list[Group], query: list[float], k: int, *, vector_col: str = "embedding") -> DataFrame:
+    """The rows of grouped() vectors that can be among the k nearest, those that tie with the last one included.
+
+    The nearest groups with k vectors give a distance that the k-th nearest does not pass. By the triangle inequality a vector is no nearer than its pivot's
+    distance from the query and its own from the pivot differ; so whole groups are left out, and of others all but a ring, by
+    conditions on the sorted columns of the table.
     """
-    asked = queries.select(F.col(query_col).alias("query"), F.col(vector_col).alias("asked"))
+    near, have = [], 0
+    for g in sorted(groups, key=lambda g: (g.bound(query), g.distance(query))):
+        if have < k:
+            near.append(g.pivot)
+            have += g.n
+    tried = vectors.filter(F.col("pivot").isin(near)).select(_distance_to(query, vector_col).alias("d")).orderBy("d").limit(k).agg(F.count("*"), F.max("d")).first()
+    if tried[0] < k:
+        return vectors
+    reach = tried[1] * (1 + _SLACK)
+    rings = [(F.col("pivot") == g.pivot) & F.col("pivot_distance").between(*_ring(g.distance(query), reach)) for g in groups if g.bound(query) <= reach + _SLACK * g.most]
+    return vectors.filter(reduce(lambda a, b: a | b, rings))
+
+
+def _ring(distance: float, reach: float) -> tuple[float, float]:
+    return (distance - reach) - _SLACK * distance, (distance + reach) + _SLACK * distance
+
+
+def _distance_to(query: list[float], vector_col: str) -> Column:
+    return l2_distance(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query]))
+
+
+def nearest(
+    vectors: DataFrame, query: list[float], *, details: DataFrame, tie: list[str], max_results: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding", near: str | None = None, groups: list[Group] | None = None
+) -> DataFrame:
+    """The nearest chunks with details' columns, distance and rank. Distances alone pick what details are looked up for; `near` as in best_with_details().
+    With the groups of grouped() vectors, only those within reach have their distance computed; the result is the same."""
+    some = within_reach(vectors, groups, query, max_results, vector_col=vector_col) if groups else vectors
+    rows = some.select(id_col, *([near] if near else []), _distance_to(query, vector_col).alias("distance"))
+    return best_with_details(rows, "distance", details, tie, max_results, id_col, near=near)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, query_col: str, vector_col: str = "embedding", block: int = 500, n_pivots: int = PIVOTS) -> DataFrame:
+    """(query, id, distance, rank): for each row of queries (query, vector) its k nearest vectors, ties by id; rows of one query count as one. Vectors that
+    are null, not finite or of another length than most are no one's neighbours, nor do such queries have any.
+
+    Vectors are grouped around pivots and written once. A query meets the groups that the triangle inequality leaves it, and of
+    these the vectors in its ring, by a join on the pivot. Queries go in blocks of about `block`, of which one at a time is broadcast, with a row for each
+    group at most; each task keeps a query's k best before the shuffle. If there are several blocks, each one's result is written before the next.
+    """
+    spark = vectors.sparkSession
+    size = vectors.filter(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("size")).count().orderBy(F.desc("count"), "size").first()
+    dims = size[0] if size else 0
+    kept = vectors.filter(valid_vector(F.col(vector_col), dims)).select(id_col, vector_col)
+    asked = queries.filter(valid_vector(F.col(vector_col), dims)).select(F.col(query_col).alias("query"), F.col(vector_col).alias("asked"))
+    pivots = pivots_of(kept, n=n_pivots, id_col=id_col, vector_col=vector_col)
+    rows = written(grouped(kept, pivots, vector_col=vector_col), "grouped")
+    centers = spark.createDataFrame(list(enumerate(pivots)), "pivot int, center array<double>")
+    groups = F.broadcast(group_rows(rows).join(centers, "pivot"))
     blocks = -(-asked.count() // block)
     if blocks <= 1:
-        return _nearest_of(vectors, asked, k, id_col, vector_col)
-    spark, at = vectors.sparkSession, f"{shared_folder(vectors.sparkSession)}/nearest-{uuid.uuid4().hex}"
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        return _nearest_of(rows, groups, asked, k, id_col, vector_col)
+    at = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
+    numbered = asked.repartition(blocks).withColumn("block", F.spark_partition_id())
     numbered.write.partitionBy("block").parquet(f"{at}/queries")
     for b in range(blocks):
         part = spark.read.schema(numbered.schema).parquet(f"{at}/queries").filter(F.col("block") == b).drop("block")
-        _nearest_of(vectors, part, k, id_col, vector_col).write.mode("append").parquet(f"{at}/found")
+        _nearest_of(rows, groups, part, k, id_col, vector_col).write.mode("append").parquet(f"{at}/found")
     return spark.read.parquet(f"{at}/found")
 
 
-def _nearest_of(vectors: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    pairs = vectors.join(F.broadcast(asked), how="cross").select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
+def candidate_pairs(rows: DataFrame, groups: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """(query, id, distance) of the pairs of a query and a vector that the bounds leave, as within_reach() does."""
+    to = asked.join(groups).withColumn("d", l2_distance(F.col("asked"), F.col("center")))
+    bound = F.greatest(F.lit(0.0), F.col("d") - F.col("most"), F.col("least") - F.col("d"))
+    in_order = Window.partitionBy("query").orderBy("bound", "d", "pivot")
+    to = to.withColumn("bound", bound).withColumn("before", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    tried = rows.join(F.broadcast(to.filter(F.col("before") < k).select("query", "asked", "pivot")), "pivot").select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
+    reach = _best(tried, k, id_col).groupBy("query").agg((F.max("distance") * (1 + _SLACK)).alias("reach"))
+    kept = to.join(reach, "query", "left").filter(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + _SLACK * F.col("most"))).select("query", "asked", "pivot", "d", "reach")
+    pairs = rows.join(F.broadcast(kept), "pivot").filter(F.col("reach").isNull() | (F.abs(F.col("pivot_distance") - F.col("d")) <= F.col("reach") + _SLACK * F.col("d")))
+    return pairs.select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
+
+
+def _nearest_of(rows: DataFrame, groups: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    return _best(candidate_pairs(rows, groups, asked.dropDuplicates(["query"]), k, id_col, vector_col), k, id_col)
+
+
+def _best(pairs: DataFrame, k: int, id_col: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", id_col))).filter(F.col("rank") <= k)

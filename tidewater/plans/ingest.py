@@ -15,11 +15,11 @@ from tidewater.errors import EmbeddingError, IngestionError, SourceConfiguration
 from tidewater.functions import text
 from tidewater.functions.fingerprints import processing_fingerprint
 from tidewater.functions.vectors import valid_vector
-from tidewater.operators import lexical
+from tidewater.operators import lexical, vector
 from tidewater.operators.chunking import chunks
 from tidewater.operators.embeddings import EmbeddingProvider, fingerprint_of
 from tidewater.plans.sync import classify
-from tidewater.sources.store import Store, due
+from tidewater.sources.store import SCHEMAS, Store, due
 
 #: The indexed fields, in the order of postings.field.
 FIELDS = ["title", "relative_path", "section", "text"]
@@ -158,7 +158,7 @@ def _sync(store: Store, source_id: str, found: DataFrame, max_chunk_chars: int,
         if writes or n["deleted"]:
             changed = now_once.join(of("created", "updated", "reprocessed"), "document_id", "left_semi") if writes else None
             gone = of("updated", "reprocessed", "deleted") if n["updated"] + n["reprocessed"] + n["deleted"] else None
-            tables, stats = _part(store, view, source_id, changed, gone, max_chunk_chars, provider if active else None)
+            tables, stats = _part(store, view, source_id, changed, gone, max_chunk_chars, provider if active else None, pivots(view))
             if active and writes:
                 _check_vectors(store, tables["vectors"], active["dimension"])
             entry["parts"].append({"tables": tables, "rows": writes + n["updated"] + n["reprocessed"] + n["deleted"]})
@@ -172,7 +172,7 @@ def _sync(store: Store, source_id: str, found: DataFrame, max_chunk_chars: int,
     return IngestionResult(source_id, discovered, **n, embedding_fingerprint=fingerprint if active else None, vector_reindexed=writes if active and provider else None)
 
 
-def _part(store: Store, view: Store, source_id: str, changed: DataFrame | None, gone: DataFrame | None, max_chunk_chars: int, provider: EmbeddingProvider | None) -> tuple[dict, dict]:
+def _part(store: Store, view: Store, source_id: str, changed: DataFrame | None, gone: DataFrame | None, max_chunk_chars: int, provider: EmbeddingProvider | None, around: list[list[float]]) -> tuple[dict, dict]:
     """Writes what is new and what is gone: (tables, what chunks and tokens there are more). What is known of gone documents is looked up by their ids."""
     tables, stats, fewer = {}, {"chunks": 0, "tokens": 0}, None
     if gone is not None:
@@ -189,7 +189,7 @@ def _part(store: Store, view: Store, source_id: str, changed: DataFrame | None,
         chunk_rows, documents = store.at("chunks", [tables["chunks"]]), store.at("documents", [tables["documents"]])
         tables |= lexical_tables(store, source_id, chunk_rows, documents, fewer)
         if provider:
-            tables["vectors"] = store.write("vectors", source_id, embedded(chunk_rows, documents, provider))
+            tables |= vector_tables(store, source_id, embedded(chunk_rows, documents, provider), around)
         for key, value in _sizes(store.at("lengths", [tables["lengths"]])).items():
             stats[key] += value
     elif fewer is not None:
@@ -207,6 +207,24 @@ def lexical_tables(store: Store, source_id: str, chunk_rows: DataFrame, document
     return tables
 
 
+def vector_tables(store: Store, source_id: str, rows: DataFrame, around: list[list[float]]) -> dict:
+    """Writes vectors (chunk_id, document_id, embedding), grouped around the index's pivots, and the groups."""
+    at = store.write("vectors", source_id, vector.grouped(rows, around))
+    return {"vectors": at, "groups": store.write("groups", source_id, vector.group_rows(store.at("vectors", [at])))}
+
+
+def pivots(view: Store) -> list[list[float]]:
+    """The pivots of the active vector index, of which there are vector.PIVOTS at most."""
+    at = (view.manifest()["vector"] or {}).get("pivots")
+    return [list(r["center"]) for r in view.at("pivots", [at]).orderBy("number").collect()] if at else []
+
+
+def choose_pivots(store: Store, rows: DataFrame) -> tuple[str, list[list[float]]]:
+    """Pivots for rows (chunk_id, embedding): their table and they themselves."""
+    chosen = vector.pivots_of(rows)
+    return store.write("pivots", "", store.reading.createDataFrame(list(enumerate(chosen)), SCHEMAS["pivots"])), chosen
+
+
 def _corrections(fewer: DataFrame) -> DataFrame:
     """Rows of blocks that say how many chunks fewer have a term; their block, -1, has no postings."""
     return fewer.select("term", F.lit(-1).alias("block"), "n_chunks", F.lit(None).cast("int").alias("max_frequency"), F.lit(None).cast("long").alias("min_length"))
@@ -229,6 +247,8 @@ def _merged(store: Store, source_id: str, parts: list[dict], k: int) -> list[dic
     for name in ("documents", "chunks", "postings", "lengths", "vectors"):
         if any(name in p["tables"] for p in last):
             tables[name] = store.write(name, source_id, store.live(name, last))
+    if "vectors" in tables:
+        tables["groups"] = store.write("groups", source_id, vector.group_rows(store.at("vectors", [tables["vectors"]])))
     new = lexical.blocks(store.at("postings", [tables["postings"]])) if "postings" in tables else None
     if not first and any("gone" in p["tables"] for p in last):
         tables["gone"] = store.write("gone", source_id, store.live("gone", last).distinct())
@@ -264,22 +284,26 @@ def rebuild_lexical(store: Store) -> int:
 
 
 def rebuild_vectors(store: Store, provider: EmbeddingProvider) -> tuple[str, int]:
-    """Embeds all chunks of all sources anew and makes that model the active one: (fingerprint, number of chunks)."""
+    """Embeds all chunks of all sources anew, once, and makes that model the active one: (fingerprint, number of chunks). Pivots are chosen from all vectors."""
     store.require_writable()
-    vector = {"fingerprint": fingerprint_of(provider), "dimension": provider.dimension}
+    vector_of = {"fingerprint": fingerprint_of(provider), "dimension": provider.dimension}
 
     def rebuild() -> int:
-        base, n = store.manifest(), 0
-        after = copy.deepcopy(base)
+        base = store.manifest()
+        after, made = copy.deepcopy(base), []
         for source_id, entry in after["sources"].items():
             for k, part in enumerate(entry["parts"]):
                 if "chunks" in part["tables"]:
                     rows = embedded(store.live("chunks", entry["parts"], k), store.live("documents", entry["parts"], k), provider)
-                    part["tables"]["vectors"] = store.write("vectors", source_id, rows)
-                    _check_vectors(store, part["tables"]["vectors"], provider.dimension)
-                    n += store.at("vectors", [part["tables"]["vectors"]]).count()
+                    at = store.write("vectors", source_id, vector.grouped(rows, []))
+                    _check_vectors(store, at, provider.dimension)
+                    made.append((source_id, part, at))
+        whole = store.at("vectors", [at for *_, at in made]).select("chunk_id", "document_id", "embedding") if made else store.reading.createDataFrame([], SCHEMAS["vectors"])
+        path, around = choose_pivots(store, whole)
+        for source_id, part, at in made:
+            part["tables"] |= vector_tables(store, source_id, store.at("vectors", [at]).select("chunk_id", "document_id", "embedding"), around)
         # of all sources, so nothing may have been published meanwhile
-        store.publish(after | {"vector": vector})
-        return n
+        store.publish(after | {"vector": vector_of | {"pivots": path}})
+        return whole.count()
 
-    return vector["fingerprint"], _again(rebuild)
+    return vector_of["fingerprint"], _again(rebuild)

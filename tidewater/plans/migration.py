@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -37,13 +38,17 @@ def _deltas(store: Store, manifest: dict) -> dict:
 
 def _parts(store: Store, manifest: dict) -> dict:
     """2 to 3: deltas become one part, whose documents, chunks and vectors are those of the only delta, or else written
-    without what is gone; postings, their blocks and lengths are made anew from the chunks."""
-    from tidewater.plans.ingest import lexical_tables, stats_of
-
-    sources = {}
+    without what is gone; postings, their blocks and lengths are made anew from the chunks, and vectors grouped around pivots."""
+    from tidewater.plans.ingest import choose_pivots, lexical_tables, stats_of, vector_tables
+
+    sources, active, around = {}, manifest["vector"], []
+    if active:
+        rows = [_live(store, "vectors", e).select("chunk_id", "embedding") for e in manifest["sources"].values() if "vectors" in e["tables"]]
+        path, around = choose_pivots(store, reduce(DataFrame.unionByName, rows, store.reading.createDataFrame([], "chunk_id string, embedding array<float>")))
+        active = active | {"pivots": path}
     for source_id, entry in manifest["sources"].items():
         tables = {}
-        for name in ("documents", "chunks", "vectors"):
+        for name in ("documents", "chunks"):
             found = entry["tables"].get(name, [])
             if len(found) == 1 and not entry["tables"].get("gone"):
                 tables[name] = found[0][0]
@@ -51,9 +56,11 @@ def _parts(store: Store, manifest: dict) -> dict:
                 tables[name] = store.write(name, source_id, _live(store, name, entry))
         if "chunks" in tables:
             tables |= lexical_tables(store, source_id, store.at("chunks", [tables["chunks"]]), store.at("documents", [tables["documents"]]))
+        if active and "vectors" in entry["tables"]:
+            tables |= vector_tables(store, source_id, _live(store, "vectors", entry).select("chunk_id", "document_id", "embedding"), around)
         parts = [{"tables": tables, "rows": store.at("documents", [tables["documents"]]).count()}] if "documents" in tables else []
         sources[source_id] = {"source_type": entry["source_type"], "display_name": entry["display_name"], "parts": parts, "stats": stats_of(store, parts)}
-    return manifest | {"schema_version": 3, "sources": sources}
+    return manifest | {"schema_version": 3, "vector": active, "sources": sources}
 
 
 def _live(store: Store, name: str, entry: dict) -> DataFrame:

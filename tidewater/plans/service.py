@@ -14,6 +14,7 @@ from tidewater.errors import IndexUnavailableError, InvalidQueryError, StoreErro
 from tidewater.functions.text import section_display
 from tidewater.operators import fusion, lexical, vector
 from tidewater.operators.embeddings import EmbeddingProvider, fingerprint_of
+from tidewater.plans.ingest import pivots
 from tidewater.sources.store import Store
 
 # fixed values of the public interface
@@ -88,7 +89,8 @@ class KnowledgeService:
         stripped = lexical.checked_query(query, n)
         view = view or self.store.pinned()
         asked = self.embedded_query(view, stripped)
-        return vector.nearest(view.table("vectors"), asked, details=self._details(view), tie=TIE, max_results=n, near="document_id")
+        groups = vector.groups_of(view.table("groups"), pivots(view))
+        return vector.nearest(view.table("vectors"), asked, details=self._details(view), tie=TIE, max_results=n, near="document_id", groups=groups)
 
     def embedded_query(self, view: Store, query: str) -> list[float]:
         """The query's vector by the active index's model."""

@@ -22,11 +22,13 @@ SCHEMAS = {
     "postings": "term string, block int, chunk_id string, document_id string, frequency int, length long, places array<long>",
     "blocks": "term string, block int, n_chunks long, max_frequency int, min_length long",
     "lengths": "chunk_id string, document_id string, length long",
-    "vectors": "chunk_id string, document_id string, embedding array<float>",
+    "vectors": "chunk_id string, document_id string, embedding array<float>, pivot int, pivot_distance double",
+    "groups": "pivot int, n long, least double, most double",
+    "pivots": "number int, center array<float>",
     "gone": "document_id string",
 }
 #: Reading by these skips row groups and pages.
-SORTED = {"documents": ["document_id"], "chunks": ["document_id"], "lengths": ["document_id"], "vectors": ["document_id"], "postings": ["term", "block"], "blocks": ["term"]}
+SORTED = {"documents": ["document_id"], "chunks": ["document_id"], "lengths": ["document_id"], "vectors": ["pivot", "pivot_distance"], "postings": ["term", "block"], "blocks": ["term"]}
 #: A chunk is found by its id through these, without its document.
 BLOOM = {"chunks": "chunk_id"}
 #: So many document ids at most become conditions of a scan; more are joined.
@@ -46,7 +48,7 @@ class Store:
     no manifest names any more are removed by collect().
 
     The manifest has for each source: parts, oldest first ({"tables": name -> path, "rows": documents and ids of gone ones}), and stats (chunks, and
-    their tokens in all). A store of an earlier version is brought to this one when it is opened for writing.
+    their tokens in all), and of the active vector index its model's fingerprint, dimension and pivots. A store of an earlier version is brought to this one when it is opened for writing.
     """
 
     def __init__(self, spark: SparkSession, path: str | Path, *, read_only: bool = False):
@@ -199,7 +201,7 @@ def named_tables(manifest: dict) -> list[str]:
             found += part["tables"].values()
         for of in entry.get("tables", {}).values():
             found += [of] if isinstance(of, str) else [path for path, _ in of]
-    return found
+    return [*found, *filter(None, [(manifest["vector"] or {}).get("pivots")])]
 
 
 def _reading_session(spark: SparkSession) -> SparkSession:
