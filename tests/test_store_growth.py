@@ -256,6 +256,29 @@ def test_a_search_reads_the_chosen_documents_only(spark, large, monkeypatch):
     assert service.search("word", max_results=5).results == ties.results
 
 
+def test_many_queries_at_once_find_what_each_finds(spark, tmp_path):
+    """Words and phrases that queries share, ties, queries without a hit or a token, two sources, documents that are gone."""
+    store, provider = Store(spark, tmp_path / "store"), DigestProvider()
+    words = ["pay", "retry", "max_retry", "a/b", "timeout", "rollback"]
+    texts = [(f"{k}.md", f"# H{k % 3}\n" + " ".join(words[(k * j) % 6] for j in range(1, 2 + k % 9))) for k in range(30)]
+    ingest(store, "s", raw(spark, *texts))
+    rebuild_vectors(store, provider)
+    ingest(store, "s", raw(spark, *texts[:24], ("24.md", "pay pay")), provider=provider)
+    ingest(store, "t", raw(spark, ("x.md", "pay retry a/b"), ("0.md", texts[0][1]), source="t"), provider=provider)
+    service = KnowledgeService(store, provider)
+    queries = {"1": "pay", "2": "retry a/b pay", "3": "a/b a/b", "4": "nothing", "5": "!!", "6": " rollback timeout/pay ", "7": "H1 md"}
+    for strategy in ("lexical", "vector", "hybrid"):
+        rows = service.search_each(queries, strategy, 4).collect()
+        for q, text in queries.items():
+            want = [h["chunk_id"] for h in service.search(text, strategy=strategy, max_results=4).results]
+            assert [r["chunk_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] == want, (strategy, q)
+    for bad in ({"1": " "}, {"1": "x" * 5}):
+        with pytest.raises(errors.InvalidQueryError):
+            service.search_each(bad, "lexical" if bad["1"] == " " else "best", 4)
+    with pytest.raises(errors.VectorIndexUnavailableError):
+        KnowledgeService(store).search_each(queries, "hybrid", 4)
+
+
 def test_local_disk_of_a_store_has_no_stray_files(spark, tmp_path):
     store = Store(spark, tmp_path / "store")
     ingest(store, "s", raw(spark, ("a.md", "one")))

@@ -265,6 +265,43 @@ def search(index: Index, query: str, *, tie: list[str], details: DataFrame, max_
     return best_with_details(scored, "score", details, tie, max_results, id_col, near=near)
 
 
+def bm25_each(index: Index, asked: dict[str, list[list[str]]], id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score) of each query's chunks, as bm25() gives them, for a set of queries that the driver holds (query_id -> phrases).
+
+    Each distinct phrase is matched once: those of one token are postings as they are, those of several meet in one
+    grouping. The words of the set are joined to the postings, as a condition of the scan where they are few.
+    """
+    spark, (n, mean) = index.postings.sparkSession, index.stats
+    number = {phrase: p for p, phrase in enumerate(dict.fromkeys(tuple(x) for of in asked.values() for x in of))}
+    words = [(p, k, term, len(phrase)) for phrase, p in number.items() for k, term in enumerate(phrase)]
+    query = spark.createDataFrame(words, "phrase int, k int, term string, size int")
+    terms = sorted({w[2] for w in words})
+    rows = index.postings.filter(F.col("term").isin(terms)) if len(terms) <= FEW else index.postings
+    met = rows.join(query, "term")
+    one = met.filter("size = 1").select("phrase", id_col, "length", "frequency")
+    several = met.filter("size > 1").groupBy("phrase", "size", id_col, "length").agg(F.collect_list(F.transform("places", lambda p: p - F.col("k"))).alias("starts"))
+    common = F.aggregate("starts", F.col("starts")[0], F.array_intersect)
+    several = several.filter(F.size("starts") == F.col("size")).select("phrase", id_col, "length", F.size(common).alias("frequency")).filter("frequency > 0")
+    matches = one.unionByName(several)
+    # one number a phrase of the set
+    n_with = dict(matches.groupBy("phrase").count().collect())
+    weights = [(q, place, number[tuple(x)], idf_of(n, n_with.get(number[tuple(x)], 0))) for q, of in asked.items() for place, x in enumerate(of)]
+    weighed = matches.join(spark.createDataFrame(weights, "query_id string, place int, phrase int, idf double"), "phrase")
+    f = F.col("frequency").cast("double")
+    part = F.col("idf") * (f * F.lit(K1 + 1)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean or 1.0)))
+    summed = weighed.groupBy("query_id", id_col).agg(F.sort_array(F.collect_list(F.struct("place", part.alias("part")))).alias("parts"))
+    return summed.select("query_id", id_col, (-F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))
+
+
+def best_each(scored: DataFrame, by: str, details: DataFrame, tie: list[str], n: int, id_col: str) -> DataFrame:
+    """The n rows of each query of scored (query_id, id, by) that come first, with rank and the columns of details that break ties. Those that
+    tie by `by` for the last places meet details; tasks keep a query's best before the exchange."""
+    of_query = Window.partitionBy("query_id")
+    few = scored.withColumn("_place", F.rank().over(of_query.orderBy(by))).filter(F.col("_place") <= n).drop("_place")
+    known = few.join(details.select(*dict.fromkeys([id_col, *tie])), id_col)
+    return known.withColumn("rank", F.row_number().over(of_query.orderBy(by, *tie))).filter(F.col("rank") <= n)
+
+
 def best_with_details(scored: DataFrame, by: str, details: DataFrame, tie: list[str], n: int, id_col: str, digits: int | None = None, near: str | None = None) -> DataFrame:
     """The n rows of scored (id, by) that come first by `by`, ties by columns of details, with details' columns and rank.
 

@@ -155,12 +155,26 @@ def candidate_pairs(rows: DataFrame, groups: DataFrame, asked: DataFrame, k: int
     in_order = Window.partitionBy("query").orderBy("bound", "d", "pivot")
     to = to.withColumn("bound", bound).withColumn("before", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     tried = rows.join(F.broadcast(to.filter(F.col("before") < k).select("query", "asked", "pivot")), "pivot").select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
-    reach = _best(tried, k, id_col).groupBy("query").agg((F.max("distance") * (1 + _SLACK)).alias("reach"))
+    # groups may count vectors that are gone; a query that so has fewer than k meets all
+    reach = _best(tried, k, id_col).groupBy("query").agg(F.when(F.count("*") >= k, F.max("distance") * (1 + _SLACK)).alias("reach"))
     kept = to.join(reach, "query", "left").filter(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + _SLACK * F.col("most"))).select("query", "asked", "pivot", "d", "reach")
     pairs = rows.join(F.broadcast(kept), "pivot").filter(F.col("reach").isNull() | (F.abs(F.col("pivot_distance") - F.col("d")) <= F.col("reach") + _SLACK * F.col("d")))
     return pairs.select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
 
 
+def pairs_each(vectors: DataFrame, groups: list[Group], asked: dict[str, list[float]], k: int, *, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, distance) of the pairs that can be among a query's k nearest, ties included, for a set of queries that the driver holds; all pairs
+    where there are no groups."""
+    spark = vectors.sparkSession
+    queries = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in asked.items()], "query string, asked array<double>")
+    if not groups:
+        pairs = vectors.crossJoin(F.broadcast(queries)).select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
+    else:
+        table = spark.createDataFrame([(g.pivot, list(g.center), g.n, g.least, g.most) for g in groups], "pivot int, center array<double>, n long, least double, most double")
+        pairs = candidate_pairs(vectors, F.broadcast(table), queries, k, id_col, vector_col)
+    return pairs.withColumnRenamed("query", "query_id")
+
+
 def _nearest_of(rows: DataFrame, groups: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     return _best(candidate_pairs(rows, groups, asked.dropDuplicates(["query"]), k, id_col, vector_col), k, id_col)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.errors import EvaluationDatasetError, EvaluationRunnerError
 from tidewater.functions.text import UNIT, id_of, path_of
-from tidewater.operators.evaluation import CATEGORIES
+from tidewater.operators.evaluation import CATEGORIES, query_metrics
 from tidewater.plans.service import STRATEGIES, KnowledgeService
 
 
@@ -76,21 +76,24 @@ class Report:
 
 
 def run_evaluation(service: KnowledgeService, dataset: GoldenDataset, *, strategies: tuple[str, ...] = STRATEGIES, k: int = 5) -> Report:
-    """Recall at k and mean reciprocal rank, by strategy and category. Every reference must exist before anything runs."""
+    """Recall at k and mean reciprocal rank, by strategy and category. Every reference must exist before anything runs. All queries of a strategy are
+    searched by one plan, and measured by another; the driver gets what the report lists."""
     if k <= 0:
         raise ValueError("k must be positive")
-    asked = sorted({c for q in dataset.queries for c in q.relevant})
-    wanted = service.store.spark.createDataFrame([(c,) for c in asked], "chunk_id string")
-    if gone := wanted.join(service.store.table("chunks").filter(F.col("chunk_id").isin(asked)), "chunk_id", "left_anti").head():
+    spark = service.store.reading
+    golden = spark.createDataFrame([(q.query_id, c) for q in dataset.queries for c in q.relevant], "query_id string, id string")
+    chunks = service.store.table("chunks").select(F.col("chunk_id").alias("id"))
+    if gone := golden.join(chunks, "id", "left_anti").head():
         raise EvaluationDatasetError(f"a relevant chunk does not exist: {gone[0]}")
     out = []
     for strategy in strategies:
-        rows = []
-        for q in dataset.queries:
-            got = [h["chunk_id"] for h in service.search(q.query, strategy=strategy, max_results=k).results]
-            if len(set(got)) < len(got):
-                raise EvaluationRunnerError(f"{q.query_id}/{strategy}: a chunk came twice")
-            rows.append({"query_id": q.query_id, "category": q.category, "relevant_chunk_ids": list(q.relevant), "retrieved_chunk_ids": got, "recall_at_k": recall_at_k(got, list(q.relevant), k), "reciprocal_rank": reciprocal_rank(got, list(q.relevant))})
+        hits = service.search_each({q.query_id: q.query for q in dataset.queries}, strategy, k).collect()
+        found = {q.query_id: [h["chunk_id"] for h in sorted(hits, key=lambda h: h["rank"]) if h["query_id"] == q.query_id] for q in dataset.queries}
+        if twice := [q for q, got in found.items() if len(set(got)) < len(got)]:
+            raise EvaluationRunnerError(f"{twice[0]}/{strategy}: a chunk came twice")
+        retrieved = spark.createDataFrame([(q, c, n) for q, got in found.items() for n, c in enumerate(got, 1)], "query_id string, id string, rank int")
+        metrics = {r["query_id"]: r for r in query_metrics(retrieved, golden, k).collect()}
+        rows = [{"query_id": q.query_id, "category": q.category, "relevant_chunk_ids": list(q.relevant), "retrieved_chunk_ids": found[q.query_id], **{m: metrics[q.query_id][m] for m in ("recall_at_k", "reciprocal_rank")}} for q in dataset.queries]
         of = lambda some: {"query_count": len(some), "mean_recall_at_k": _mean([r["recall_at_k"] for r in some]), "mrr": _mean([r["reciprocal_rank"] for r in some])}
         breakdown = [{"category": c} | of([r for r in rows if r["category"] == c]) for c in CATEGORIES]
         out.append({"strategy": strategy} | of(rows) | {"category_breakdown": breakdown, "query_results": rows})

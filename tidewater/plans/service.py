@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.errors import IndexUnavailableError, InvalidQueryError, StoreError, VectorIndexIncompatibleError, VectorIndexUnavailableError
 from tidewater.functions.text import section_display
+from tidewater.functions.tokens import phrases
 from tidewater.operators import fusion, lexical, vector
 from tidewater.operators.embeddings import EmbeddingProvider, fingerprint_of
 from tidewater.plans.ingest import pivots
@@ -122,6 +123,26 @@ class KnowledgeService:
         hits = hits_of(chosen, matches).withColumn("section", section_display(F.col("section_path"))).orderBy("rank")
         return result_of(chosen, [checked(r.asDict(recursive=True), "chunk_id", "document_id") for r in hits.collect()], max_results)
 
+    def search_each(self, queries: dict[str, str], strategy: str, max_results: int) -> DataFrame:
+        """(query_id, chunk_id, rank): what search() finds for each of many queries (query_id -> query), in one plan."""
+        for query in queries.values():
+            lexical.checked_query(query, max_results, MAX_PUBLIC_RESULTS)
+        if strategy not in STRATEGIES:
+            raise InvalidQueryError(f"no such strategy: {strategy}")
+        view = self.store.pinned()
+        details = self._details(view)
+        n = max_results if strategy != "hybrid" else fusion.candidate_count(max_results + 1)
+        found = {}
+        if strategy != "vector":
+            scored = lexical.bm25_each(self.index(view), {q: phrases(text.strip()) for q, text in queries.items()})
+            found["lexical"] = lexical.best_each(scored, "score", details, TIE, n, "chunk_id")
+        if strategy != "lexical":
+            asked = {q: self.embedded_query(view, text.strip()) for q, text in queries.items()}
+            pairs = vector.pairs_each(view.table("vectors"), vector.groups_of(view.table("groups"), pivots(view)), asked, n)
+            found["vector"] = lexical.best_each(pairs, "distance", details, TIE, n, "chunk_id")
+        whole = found[strategy] if strategy != "hybrid" else fusion.fuse(found["lexical"], found["vector"], max_results=max_results, tie=TIE, hash_col=None, by=["query_id"])
+        return whole.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
+
     def get_document(self, document_id: str) -> dict | None:
         return _one(self.store.table("documents").filter(F.col("document_id") == document_id), "document_id")
 
