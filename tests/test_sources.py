@@ -3,17 +3,17 @@ import pytest
 from tidewater import errors
 from tidewater.plans.config import load_config
 from tidewater.plans.service import checked, status_of
-from tidewater.sources.files import candidates, read_text
+from tidewater.sources.files import discovered, folder, read_text
 from tidewater.sources.tables import shared_folder, spread
 
 
-def test_a_file_outside_the_folder_is_refused(tmp_path):
+def test_a_file_outside_the_folder_is_refused(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "secret.md").write_text("outside")
     (tmp_path / "in" / "link.md").symlink_to(tmp_path / "secret.md")
     (tmp_path / "in" / "sub").symlink_to(tmp_path)
     (tmp_path / "in" / "a.md").write_text("inside")
-    assert candidates(tmp_path / "in", (".md",)) == ["a.md"]
+    assert [r.path for r in discovered(spark, f"file:{tmp_path}/in", (".md",)).collect()] == ["a.md"]
     for path in ("../secret.md", "link.md", "sub/secret.md"):
         with pytest.raises(errors.SourceReadError, match="outside"):
             read_text(tmp_path / "in", path, 100)
@@ -24,6 +24,32 @@ def test_a_file_outside_the_folder_is_refused(tmp_path):
         read_text(tmp_path / "in", "none.md", 5)
 
 
+def test_folders_are_listed_level_by_level_and_read_in_slices(spark, tmp_path, monkeypatch):
+    at = tmp_path / "deep docs"
+    for k in range(40):
+        into = at / f"f{k % 4}" / f"g{k % 3}" / ".h"
+        into.mkdir(parents=True, exist_ok=True)
+        (into / f"n{k}.MD").write_text("\ufeff" + "é" * k)
+        (at / f"f{k % 4}" / f"x{k}.png").write_text("no")
+    (at / "empty").mkdir()
+    (at / "loop").symlink_to(at)
+    asked = []
+    monkeypatch.setattr("os.walk", lambda *a, **b: asked.append(a))
+    for uri in (at, str(at), f"file:{at}", f"file://{at}"):
+        got = folder(spark, "s", uri, slice_bytes=5000)
+        rows = got.collect()
+        assert {(r.source_id, r.relative_path, r.content) for r in rows} == {("s", f"f{k % 4}/g{k % 3}/.h/n{k}.MD", "é" * k) for k in range(40)} and len(rows) == 40
+    assert not asked and got.rdd.getNumPartitions() >= 30
+    assert folder(spark, "s", at / "empty").count() == 0
+    (at / "f0" / "bad.md").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="cannot read f0/bad.md"):
+        folder(spark, "s", at).collect()
+    with pytest.raises(Exception, match="more than 3 bytes"):
+        folder(spark, "s", at, extensions=(".png", ".MD"), max_file_bytes=3).collect()
+    with pytest.raises(errors.SourceConfigurationError, match="not a folder"):
+        folder(spark, "s", at / "f0" / "bad.md")
+
+
 GOOD = '[source]\nsource_id = "s"\nroot = "docs"\n[persistence]\ndb_path = "store"\n'
 
 
