@@ -260,3 +260,28 @@ def test_clusters_of_few_equal_and_no_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, clusters(df).collect())) == sorted(brute_clusters(rows, 8, 10))
     assert clusters(df.limit(0)).count() == 0 and whole_vectors(df, dims=5).count() == 0
+
+
+# --- hot keys ----------------------------------------------------------------------
+
+
+def test_hot_keys_are_split(spark):
+    """Two thirds of the rows have one key: adaptive execution splits it, and results are those of a plain join."""
+    from tidewater.llm.shared import with_groups
+
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 300_000, 1, 8).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 1000).alias("key"), F.xxhash64("id").alias("v"))
+        joined = with_groups(rows, ["key"], F.min("v").alias("least"), F.count("*").alias("n"), name="hot", having="n > 1")
+        run = joined._jdf.queryExecution()
+        assert run.toRdd().count() == 300_000 and "skew=true" in run.executedPlan().toString()
+        assert joined.filter("v < least").count() == 0 and joined.filter("key = 7").select("n").distinct().count() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import written
+from tidewater.llm.shared import with_groups, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,17 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     ignored; no edges give no rows.
 
     Each round hooks a vertex's larger neighbours, then its smaller ones, to the
-    smallest; minima are pre-aggregated and joined back, so a hub with most
+    smallest; minima are pre-aggregated, written and joined back, so a hub with most
     of the edges is split by adaptive execution. It ends when a round changes nothing.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     pairs, before = written(pairs, "edges"), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = written(large, "large")
+        small = with_groups(large, ["u"], F.min("v").alias("m"), name="smallest").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:

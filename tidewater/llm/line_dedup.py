@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import WORD_GAP, let, packed_rows, unpacked_rows, written
+from tidewater.llm.shared import WORD_GAP, let, packed_rows, unpacked_rows, with_groups, written
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame, *, unit: str = "word", units_per_edit: int = 8,
     that share such a half with another one can be near it. These emit their whole deletion neighbourhood: a hash of the
     line without each of its units, and of the whole line. Lines of one length that are equal without the unit at the same
     place differ by a changed unit there; a line that is equal to another one without a unit, by a missing unit. The
-    earliest line of each variant is found by a grouping that pre-aggregates, and joined back, so adaptive execution can
+    earliest line of each variant is found by a grouping that pre-aggregates, written and joined back, so adaptive execution can
     split a variant that many lines have. Pairs are as many as variants; units are compared before a line goes.
 
     Null texts stay null and empty texts empty. Lines without a word stay. A null id sorts first. Lines of any length are
@@ -70,8 +70,7 @@ def dedup_lines(docs: DataFrame, *, unit: str = "word", units_per_edit: int = 8,
     distinct = written(distinct.select("at", "halves"), "distinct")
 
     halves = distinct.filter("halves is not null").select("at", F.explode("halves").alias("half"))
-    several = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    asked = halves.join(several, "half").select("at").distinct()
+    asked = with_groups(halves, ["half"], F.count("*").alias("n"), name="halves", having="n > 1").select("at").distinct()
     asked = asked.groupBy("at.doc_id", "at.tag").agg(F.collect_list("at.line_no").alias("asked"))
     candidates = written(_lines(_with(text, asked, ["doc_id", "tag"], "inner"), "doc_id", "tag", asked="asked").select(at.alias("at"), "line"), "candidates")
     near = written(_near(candidates, of), "near")
@@ -149,8 +148,7 @@ def _near(candidates: DataFrame, of: Unit) -> DataFrame:
     """at of the candidates that are one edit from an earlier candidate."""
     variants = written(_variants(candidates, of), "variants")
     deleted, whole = variants.filter("place > 0"), variants.filter("place = 0").select("variant", F.col("at").alias("other"))
-    first = deleted.groupBy("variant", "place").agg(F.min("at").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    changed = deleted.join(first, ["variant", "place"]).select("at", "other")
+    changed = with_groups(deleted, ["variant", "place"], F.min("at").alias("other"), F.count("*").alias("n"), name="earliest", having="n > 1").select("at", "other")
     missing = deleted.select("variant", "at").join(whole, "variant").select("at", "other")
     pairs = changed.unionByName(missing).filter("at <> other")
     pairs = pairs.select(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("earlier")).distinct()

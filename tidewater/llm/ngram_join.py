@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.graph import components
-from tidewater.llm.shared import as_bytes, shingle_set, written
+from tidewater.llm.shared import as_bytes, shingle_set, with_groups, written
 
 #: Buckets of at most so many sets are small. This moves costs only.
 SMALL = 64
@@ -132,7 +132,7 @@ def similar_documents(
     compared pair by pair, unless the n-grams they could share are too few or the distances to the bucket's first set differ by more than a
     link allows (Jaccard distance is a metric). So no link is lost and
     no bucket of linked copies is squared. What is known of a bucket (its size, its first set, its components) comes from
-    groupings that pre-aggregate and are joined back, so adaptive execution can split a bucket that many sets share.
+    groupings that pre-aggregate, are written and joined back, so adaptive execution can split a bucket that many sets share.
 
     `pivots`, `small` (the size up to which sets meet in a bucket whatever else they share) and `cell_bits` (counts are kept
     in 2^cell_bits cells; 4 bytes each are broadcast) change costs, not results. Texts are lower-cased A-Z; words are split at ASCII white space. Null and
@@ -146,14 +146,14 @@ def similar_documents(
     sets = written(sets, "sets")
 
     grams = rows.select(F.explode("prefix").alias("gram"), "group_key")
-    several = grams.groupBy("gram").agg(F.min("group_key").alias("lo"), F.max("group_key").alias("hi")).filter("lo < hi").select("gram")
-    shared = grams.join(several, "gram").distinct()
+    ends = F.min("group_key").alias("lo"), F.max("group_key").alias("hi")
+    shared = with_groups(grams, ["gram"], *ends, name="shared-grams", having="lo < hi").select("gram", "group_key").distinct()
     alike = sets.groupBy("group_key").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("group_key").alias("gram"), "group_key")
     buckets = shared.withColumn("alike", F.lit(False)).unionByName(alike.withColumn("alike", F.lit(True)))
     buckets = written(buckets.join(sets.select("group_key", "node", "n"), "group_key").select("gram", "node", "n", "alike"), "buckets")
     members = written(_enough(buckets, percent, small), "enough")
-    first = members.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"))
-    members = written(members.join(first, "gram").withColumn("lead", F.col("first.node")).withColumn("lead_n", F.col("first.n")).drop("first"), "members")
+    first = with_groups(members, ["gram"], F.min(F.struct("node", "n")).alias("first"), name="first")
+    members = written(first.withColumn("lead", F.col("first.node")).withColumn("lead_n", F.col("first.n")).drop("first"), "members")
 
     near = f"100 * shared >= {percent} * (n + m - shared)"
     stars = _stars(members, percent)
@@ -195,8 +195,8 @@ def _enough(buckets: DataFrame, percent: int, small: int) -> DataFrame:
     share an n-gram of a small bucket meet there, so in large buckets only the n-grams of large ones count. Sets of
     one group share the whole prefix.
     """
-    of_gram = buckets.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("smaller"), F.max("n").alias("larger"))
-    rows = buckets.join(of_gram, "gram").withColumn("large", F.col("size") > small)
+    of_gram = F.count("*").alias("size"), F.min("n").alias("smaller"), F.max("n").alias("larger")
+    rows = with_groups(buckets, ["gram"], *of_gram, name="bucket-sizes").withColumn("large", F.col("size") > small)
     total = lambda which: F.sum(F.when(which, 1).otherwise(0))
     cross = ~F.col("alike")
     of_node = rows.groupBy("node").agg(total(cross & F.col("large")).alias("in_large"), total(cross).alias("in_all"))
@@ -241,8 +241,8 @@ def _unresolved(known: DataFrame, linked: DataFrame) -> DataFrame:
     placed = known.drop("home", "inside").join(homes, "node", "left").withColumn("home", F.coalesce("home", "node"))
     placed = written(placed, "placed")
     lead_home = F.max(F.when(F.col("node") == F.col("lead"), F.col("home"))).alias("lead_home")
-    several = placed.groupBy("gram").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), lead_home).filter("lo < hi").select("gram", "lead_home")
-    return placed.join(several, "gram").withColumn("inside", F.col("home") == F.col("lead_home")).drop("lead_home")
+    several = with_groups(placed, ["gram"], F.min("home").alias("lo"), F.max("home").alias("hi"), lead_home, name="homes", having="lo < hi")
+    return several.withColumn("inside", F.col("home") == F.col("lead_home")).drop("lead_home", "lo", "hi")
 
 
 def _to_pivot(known: DataFrame, k: int, percent: int) -> DataFrame:

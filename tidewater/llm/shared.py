@@ -40,6 +40,16 @@ def written_at(df: DataFrame, name: str) -> str:
     return path
 
 
+def with_groups(df: DataFrame, keys: list[str], *facts: Column, name: str, having: str | None = None) -> DataFrame:
+    """df's rows with what a grouping says of their keys, those of groups `having` passes.
+
+    Groups pre-aggregate and are written before they are joined back: then both sides of the join come straight from a
+    shuffle, and adaptive execution splits a key that many rows have, which it can't where a grouping stands between. Few groups are broadcast.
+    """
+    groups = df.groupBy(*keys).agg(*facts)
+    return df.join(written(groups.filter(having) if having else groups, name), keys)
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Removes a folder through the file system that holds it; nothing may read it any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
