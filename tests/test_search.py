@@ -123,9 +123,16 @@ def test_pivots_leave_out_what_is_too_far(spark, tmp_path):
     for r in sorted(got.collect(), key=lambda r: (str(r["query"]), r["rank"])):
         found.setdefault(r["query"], []).append(r["vec_id"])
     assert found == want
-    centers = spark.createDataFrame(list(enumerate(pivots)), "pivot int, center array<double>")
-    pairs = vector.candidate_pairs(kept, vector.group_rows(kept).join(centers, "pivot"), asked.filter("vec_id < 9000").selectExpr("vec_id as query", "embedding as asked"), 5, "vec_id", "embedding").count()
-    assert pairs <= 0.2 * 2030 * asked.count()
+    few = [(q["vec_id"], list(q["embedding"])) for q in asked.filter("vec_id < 9000").collect()]
+    pairs = vector.pairs_each(kept, groups, few, 5, id_col="vec_id", kind="long").count()
+    assert pairs <= 0.1 * 2030 * len(few)
+    # far from the origin, where products of matrices round most
+    apart = spark.createDataFrame([(k, [1e6 + k % 13 * 1e-3, 1e6, -1e6 + k // 13 * 1e-3]) for k in range(300)], "vec_id long, embedding array<double>")
+    got = {(r["query"], r["vec_id"]) for r in vector.nearest_each(apart, apart.filter("vec_id % 50 = 0"), 4, id_col="vec_id", query_col="vec_id", n_pivots=9).collect()}
+    rows = [(r["vec_id"], list(r["embedding"])) for r in apart.collect()]
+    assert got == {(q, i) for q, a in rows if q % 50 == 0 for _, i in sorted((near(e, a), i) for i, e in rows)[:4]}
+    alone = vector.pairs_each(kept, [], few, 5, id_col="vec_id", kind="long")
+    assert {(r["query"], r["vec_id"]) for r in vector._best(alone, 5, "vec_id").collect()} == {(q, i) for q, of in want.items() if q is not None for i in of}
 
 
 def sides(spark):

@@ -123,60 +123,110 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str,
     """(query, id, distance, rank): for each row of queries (query, vector) its k nearest vectors, ties by id; rows of one query count as one. Vectors that
     are null, not finite or of another length than most are no one's neighbours, nor do such queries have any.
 
-    Vectors are grouped around pivots and written once. A query meets the groups that the triangle inequality leaves it, and of
-    these the vectors in its ring, by a join on the pivot. Queries go in blocks of about `block`, of which one at a time is broadcast, with a row for each
-    group at most; each task keeps a query's k best before the shuffle. If there are several blocks, each one's result is written before the next.
+    A stated query set against all rows, in blocks of about `block` queries, of which the driver holds one at a time. Vectors are grouped around pivots and
+    written once; each block is answered as by pairs_each(), and if there are several, its result is written before the next.
     """
     spark = vectors.sparkSession
     size = vectors.filter(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("size")).count().orderBy(F.desc("count"), "size").first()
     dims = size[0] if size else 0
     kept = vectors.filter(valid_vector(F.col(vector_col), dims)).select(id_col, vector_col)
-    asked = queries.filter(valid_vector(F.col(vector_col), dims)).select(F.col(query_col).alias("query"), F.col(vector_col).alias("asked"))
+    asked = queries.filter(valid_vector(F.col(vector_col), dims)).select(F.col(query_col).alias("query"), F.col(vector_col).alias("asked")).dropDuplicates(["query"])
     pivots = pivots_of(kept, n=n_pivots, id_col=id_col, vector_col=vector_col)
-    rows = written(grouped(kept, pivots, vector_col=vector_col), "grouped")
-    centers = spark.createDataFrame(list(enumerate(pivots)), "pivot int, center array<double>")
-    groups = F.broadcast(group_rows(rows).join(centers, "pivot"))
+    rows = written(grouped(kept, pivots, vector_col=vector_col).sortWithinPartitions("pivot"), "grouped")
+    groups = groups_of(group_rows(rows), pivots)
+    kind = asked.schema["query"].dataType.simpleString()
+
+    def answer(part: DataFrame) -> DataFrame:
+        held = [(r["query"], list(r["asked"])) for r in part.collect()]
+        return _best(pairs_each(rows, groups, held, k, id_col=id_col, vector_col=vector_col, kind=kind), k, id_col)
+
     blocks = -(-asked.count() // block)
     if blocks <= 1:
-        return _nearest_of(rows, groups, asked, k, id_col, vector_col)
+        return answer(asked)
     at = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
+    # dealt round robin, so blocks are of like size whatever the ids are
     numbered = asked.repartition(blocks).withColumn("block", F.spark_partition_id())
     numbered.write.partitionBy("block").parquet(f"{at}/queries")
-    for b in range(blocks):
+    for b in range(numbered.rdd.getNumPartitions()):
         part = spark.read.schema(numbered.schema).parquet(f"{at}/queries").filter(F.col("block") == b).drop("block")
-        _nearest_of(rows, groups, part, k, id_col, vector_col).write.mode("append").parquet(f"{at}/found")
+        answer(part).write.mode("append").parquet(f"{at}/found")
     return spark.read.parquet(f"{at}/found")
 
 
-def candidate_pairs(rows: DataFrame, groups: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """(query, id, distance) of the pairs of a query and a vector that the bounds leave, as within_reach() does."""
-    to = asked.join(groups).withColumn("d", l2_distance(F.col("asked"), F.col("center")))
-    bound = F.greatest(F.lit(0.0), F.col("d") - F.col("most"), F.col("least") - F.col("d"))
-    in_order = Window.partitionBy("query").orderBy("bound", "d", "pivot")
-    to = to.withColumn("bound", bound).withColumn("before", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    tried = rows.join(F.broadcast(to.filter(F.col("before") < k).select("query", "asked", "pivot")), "pivot").select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
-    # groups may count vectors that are gone; a query that so has fewer than k meets all
-    reach = _best(tried, k, id_col).groupBy("query").agg(F.when(F.count("*") >= k, F.max("distance") * (1 + _SLACK)).alias("reach"))
-    kept = to.join(reach, "query", "left").filter(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + _SLACK * F.col("most"))).select("query", "asked", "pivot", "d", "reach")
-    pairs = rows.join(F.broadcast(kept), "pivot").filter(F.col("reach").isNull() | (F.abs(F.col("pivot_distance") - F.col("d")) <= F.col("reach") + _SLACK * F.col("d")))
-    return pairs.select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
-
+def reaches(vectors: DataFrame, groups: list[Group], asked: np.ndarray, k: int, *, vector_col: str = "embedding") -> np.ndarray:
+    """For each query a distance that its k-th nearest does not pass, infinite where that is not known: the k-th nearest of the vectors of the group
+    that is nearest to it, and of as many more as have k."""
+    starts: list[set[int]] = []
+    for q in asked.tolist():
+        near, have = set(), 0
+        for g in sorted(groups, key=lambda g: (g.bound(q), g.distance(q))):
+            if have >= k:
+                break
+            near.add(g.pivot)
+            have += g.n
+        starts.append(near)
+    by_pivot = {g.pivot: np.array([i for i, near in enumerate(starts) if g.pivot in near], np.int64) for g in groups}
 
-def pairs_each(vectors: DataFrame, groups: list[Group], asked: dict[str, list[float]], k: int, *, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance) of the pairs that can be among a query's k nearest, ties included, for a set of queries that the driver holds; all pairs
-    where there are no groups."""
+    def least(batches):
+        best = np.full((len(asked), k), np.inf)
+        for batch in batches:
+            for rows, pivot, v in _slices(batch, vector_col):
+                if len(some := by_pivot.get(pivot, ())):
+                    best[some] = np.sort(np.concatenate([best[some], _distances(v, asked[some])[1].T], axis=1), axis=1)[:, :k]
+        found = np.argwhere(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(best[found[:, 0], found[:, 1]])], ["i", "d"])
+
+    reach = np.full(len(asked), np.inf)
+    ranked_rows = vectors.filter(F.col("pivot").isin([p for p, some in by_pivot.items() if len(some)])).select("pivot", vector_col).mapInArrow(least, "i long, d double")
+    last = ranked_rows.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy("d"))).filter(F.col("place") == k)
+    for row in last.select("i", "d").collect():
+        reach[row["i"]] = row["d"]
+    return reach
+
+
+def _slices(batch: pa.RecordBatch, vector_col: str):
+    """(rows, pivot, vectors) of each pivot in a batch; None of vectors without pivots."""
+    v = batch.column(vector_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    pivots = np.array([-1 if p is None else p for p in batch.column("pivot").to_pylist()], np.int64)
+    for p in np.unique(pivots):
+        rows = np.flatnonzero(pivots == p)
+        yield rows, int(p) if p >= 0 else None, v[rows]
+
+
+def _distances(v: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all pairs by one product of matrices, as lower and upper bounds that cover its rounding, which grows with the vectors' lengths."""
+    a, b = (v * v).sum(1)[:, None], (asked * asked).sum(1)[None, :]
+    d, off = np.sqrt(np.maximum(a + b - 2 * v @ asked.T, 0)), _SLACK * (np.sqrt(a) + np.sqrt(b))
+    return d - off, d + off
+
+
+def pairs_each(vectors: DataFrame, groups: list[Group], asked: list[tuple], k: int, *, id_col: str = "chunk_id", vector_col: str = "embedding", kind: str = "string") -> DataFrame:
+    """(query, id, distance) of pairs of which each query's k nearest, and those that tie with the last of them, are part, for queries (query, vector)
+    that the driver holds, at most a block of them, with vectors of one length.
+
+    A task compares its vectors with the queries whose reach their group is in, by products of matrices, and keeps for each query those that may be among
+    the k nearest of the batch; the distances of these are then computed one by one. `groups` may be empty.
+    """
     spark = vectors.sparkSession
-    queries = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in asked.items()], "query string, asked array<double>")
-    if not groups:
-        pairs = vectors.crossJoin(F.broadcast(queries)).select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
-    else:
-        table = spark.createDataFrame([(g.pivot, list(g.center), g.n, g.least, g.most) for g in groups], "pivot int, center array<double>, n long, least double, most double")
-        pairs = candidate_pairs(vectors, F.broadcast(table), queries, k, id_col, vector_col)
-    return pairs.withColumnRenamed("query", "query_id")
+    queries = spark.createDataFrame([(i, q, [float(x) for x in v]) for i, (q, v) in enumerate(asked)], f"i long, query {kind}, asked array<double>")
+    matrix = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
+    reach = reaches(vectors, groups, matrix, k, vector_col=vector_col) if groups and len(asked) else np.full(len(asked), np.inf)
+    bounds = {g.pivot: np.array([g.bound(q) - _SLACK * g.distance(q) for q in matrix.tolist()]) for g in groups}
 
-
-def _nearest_of(rows: DataFrame, groups: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    return _best(candidate_pairs(rows, groups, asked.dropDuplicates(["query"]), k, id_col, vector_col), k, id_col)
+    def meet(batches):
+        for batch in batches:
+            for rows, pivot, v in _slices(batch, vector_col):
+                some = np.flatnonzero(bounds[pivot] <= reach) if pivot in bounds else np.arange(len(matrix))
+                if not len(some):
+                    continue
+                lower, upper = _distances(v, matrix[some])
+                last = np.minimum(np.partition(upper, k - 1, axis=0)[k - 1] if len(v) > k else np.inf, reach[some])
+                at, q = np.nonzero(lower <= last)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(rows[at])), batch.column(vector_col).take(pa.array(rows[at])), pa.array(some[q])], [id_col, vector_col, "i"])
+
+    schema = f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, `{vector_col}` {vectors.schema[vector_col].dataType.simpleString()}, i long"
+    near = vectors.select(id_col, vector_col, "pivot").mapInArrow(meet, schema).join(F.broadcast(queries), "i")
+    return near.select("query", id_col, l2_distance(F.col(vector_col), F.col("asked")).alias("distance"))
 
 
 def _best(pairs: DataFrame, k: int, id_col: str) -> DataFrame:

@@ -137,8 +137,8 @@ class KnowledgeService:
             scored = lexical.bm25_each(self.index(view), {q: phrases(text.strip()) for q, text in queries.items()})
             found["lexical"] = lexical.best_each(scored, "score", details, TIE, n, "chunk_id")
         if strategy != "lexical":
-            asked = {q: self.embedded_query(view, text.strip()) for q, text in queries.items()}
-            pairs = vector.pairs_each(view.table("vectors"), vector.groups_of(view.table("groups"), pivots(view)), asked, n)
+            asked = [(q, self.embedded_query(view, text.strip())) for q, text in queries.items()]
+            pairs = vector.pairs_each(view.table("vectors"), vector.groups_of(view.table("groups"), pivots(view)), asked, n).withColumnRenamed("query", "query_id")
             found["vector"] = lexical.best_each(pairs, "distance", details, TIE, n, "chunk_id")
         whole = found[strategy] if strategy != "hybrid" else fusion.fuse(found["lexical"], found["vector"], max_results=max_results, tie=TIE, hash_col=None, by=["query_id"])
         return whole.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
