@@ -334,6 +334,37 @@ def word_edits(a, b):
     return row[-1]
 
 
+def test_lines_with_several_edits(spark):
+    """Lines of 10 to 90 words with up to one edit in ten of them, and more; a passage in many lines, hot parts, equal lines, a very long one."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(5000)]
+    lines = []
+    for _ in range(90):
+        base = rng.choices(words, k=rng.randint(10, 90))
+        for edits in (0, 0, len(base) // 10, len(base) // 10, len(base) // 20 + 1, len(base) // 6):
+            w = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], rng.choices(words, k=1), [w[at], rng.choice(words)]])
+            lines.append(" ".join(w))
+    passage = rng.choices(words, k=30)
+    lines += [" ".join([*rng.choices(words, k=rng.randint(5, 40)), *passage, *rng.choices(words, k=rng.randint(5, 40))]) for _ in range(60)]
+    lines += [" ".join(rng.choices(words, k=20_000))]
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[k * 10 : k * 10 + 10])) for k in range(-(-len(lines) // 10))] + [(-1, None), (-2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("x")).withColumn("earlier", F.lit("x"))
+    got = {r.doc_id: r.text for r in dedup_lines(df, edits_in=10).collect()}
+    places = sorted((d, k, x.split()) for d, t in rows for k, x in enumerate((t or "").split("\n")) if x)
+    near = {(d, k) for n, (d, k, a) in enumerate(places) if any(one_edit(a, b) or some_edits(a, b, 10) for _, _, b in places[:n])}
+    left = Counter((d, x) for d, t in got.items() for x in (t or "").split("\n"))
+    kept = {(d, k) for d, k, a in places if left[d, " ".join(a)]}
+    # nothing goes that is not near an earlier line; of those that are, few stay
+    assert len({(d, k) for d, k, _ in places} - kept - near) == 0 and len(near & kept) <= 0.1 * len(near) and len(near) > 250
+    assert got[-1] is None and got[-2] == "" and dedup_lines(df.limit(0), edits_in=10).count() == 0
+    with pytest.raises(ValueError, match="words"):
+        dedup_lines(df, unit="char", edits_in=10)
+
+
 @pytest.mark.parametrize(("unit", "least"), [("word", 8), ("word", 2), ("char", 8), ("char", 5)])
 def test_line_dedup_units(spark, unit, least):
     """Lines of 1 to 34 units, around powers of two too, with none to two edits anywhere; some repeated, one variant in many lines."""
@@ -626,13 +657,22 @@ def quality_by_hand(text):
     return "\n".join(kept) if 2 * sum(map(len, words_of(" ".join(kept)))) >= sum(map(len, w)) else None
 
 
+def some_edits(a, b, edits_in):
+    """At most one edit in so many words of the shorter one, of lines that may have two or more; sets rule most pairs out."""
+    least = min(len(a), len(b))
+    most = least // edits_in
+    if most < 2 or abs(len(a) - len(b)) > most or len(set(a) - set(b)) > most:
+        return False
+    return word_edits(a, b) <= most
+
+
 def lines_by_hand(rows):
     seen, out = [], {}
     for d, text in sorted(rows.items()):
         kept = []
         for x in text.split("\n"):
             w = x.lower().split()
-            if w and any(one_edit(w, v) for v in seen):
+            if w and any(one_edit(w, v) or some_edits(w, v, 10) for v in seen):
                 pass
             else:
                 kept.append(x)

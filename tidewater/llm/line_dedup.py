@@ -38,7 +38,7 @@ UNITS = {
 }
 
 
-def dedup_lines(docs: DataFrame, *, unit: str = "word", units_per_edit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, unit: str = "word", units_per_edit: int = 8, edits_in: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""Removes each line that an earlier line of the corpus (smaller id, or same document and line before) repeats with at
     most one unit changed, missing or extra: docs with `text` replaced and one struct column `line_dedup`
     (n_lines, n_repeated, n_near; long). Lines are parted by \n and judged on the input, not on what is left.
@@ -54,6 +54,11 @@ def dedup_lines(docs: DataFrame, *, unit: str = "word", units_per_edit: int = 8,
     earliest line of each variant is found by a grouping that pre-aggregates, written and joined back, so adaptive execution can
     split a variant that many lines have. Pairs are as many as variants; units are compared before a line goes.
 
+    With `edits_in`, a line of words also goes if it is within one edit in `edits_in` words of an earlier one, so with several edits in lines of
+    2 `edits_in` words or more. Neighbourhoods of several deletions would be too many, so such lines are found by whole parts: lines are
+    cut at words that a hash chooses, each meets the earliest line that has a part of its own, and their edit distance is
+    taken. What goes is near; a line stays if it shares no part with a near one, or its parts stand earlier in lines that are not near.
+
     Null texts stay null and empty texts empty. Lines without a word stay. A null id sorts first. Lines of any length are
     handled: variants are hashed by running sums over the line's rows. Rows with the same id and text count as one document and
     get one result each; other texts of an id are other documents, in an order that their hashes give. Extra columns stay,
@@ -61,19 +66,25 @@ def dedup_lines(docs: DataFrame, *, unit: str = "word", units_per_edit: int = 8,
     """
     if units_per_edit < 2:
         raise ValueError("units_per_edit must be 2 or more")
+    if edits_in is not None and (unit != "word" or edits_in < 2):
+        raise ValueError("edits_in is for words, and 2 or more")
     of = UNITS[unit]
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
     at = F.struct("doc_id", "tag", "line_no")
     each = _lines(text, "doc_id", "tag")
-    keyed = each.select(at.alias("at"), F.xxhash64("line").alias("key"), F.xxhash64(F.lit("second"), "line").alias("key2"), _halves(F.col("line"), of, units_per_edit).alias("halves"))
-    distinct = keyed.groupBy("key", "key2").agg(F.min("at").alias("at"), F.first("halves").alias("halves"))
-    distinct = written(distinct.select("at", "halves"), "distinct")
+    parts = _parts(F.col("line"), of, edits_in) if edits_in else F.lit(None).cast("array<bigint>")
+    keyed = each.select(at.alias("at"), F.xxhash64("line").alias("key"), F.xxhash64(F.lit("second"), "line").alias("key2"), _halves(F.col("line"), of, units_per_edit).alias("halves"), parts.alias("parts"))
+    distinct = keyed.groupBy("key", "key2").agg(F.min("at").alias("at"), F.first("halves").alias("halves"), F.first("parts").alias("parts"))
+    distinct = written(distinct.select("at", "halves", "parts"), "distinct")
 
     halves = distinct.filter("halves is not null").select("at", F.explode("halves").alias("half"))
     asked = with_groups(halves, ["half"], F.count("*").alias("n"), name="halves", having="n > 1").select("at").distinct()
     asked = asked.groupBy("at.doc_id", "at.tag").agg(F.collect_list("at.line_no").alias("asked"))
     candidates = written(_lines(_with(text, asked, ["doc_id", "tag"], "inner"), "doc_id", "tag", asked="asked").select(at.alias("at"), "line"), "candidates")
-    near = written(_near(candidates, of), "near")
+    near = _near(candidates, of)
+    if edits_in:
+        near = near.unionByName(_near_by_parts(distinct, text, of, edits_in)).distinct()
+    near = written(near, "near")
 
     found = distinct.select("at").join(near.withColumn("near", F.lit(True)), "at", "left").select("at.*", "near")
     line = F.struct("line_no", F.coalesce("near", F.lit(False)).alias("near"))
@@ -122,6 +133,49 @@ def _halves(line: Column, of: Unit, least: int) -> Column:
     return found(of.count(line))
 
 
+#: A unit ends a part of a line if its hash says so, one in so many.
+_PART_UNITS = 5
+#: What stands for the units of two lines when they are compared.
+_LETTERS = "".join(map(chr, range(0x4E00, 0x9E00)))
+
+
+def _parts(line: Column, of: Unit, edits_in: int) -> Column:
+    """Hashes of a line's parts of three units or more, null of lines too short for two edits. Parts end at units that a hash chooses, so a missing
+    or extra unit moves no other part."""
+    ends = lambda u: F.pmod(F.xxhash64(u), F.lit(_PART_UNITS)) == 0
+    cut = lambda units: F.split(F.array_join(F.transform(units, lambda u: F.concat(u, F.when(ends(u), "\n").otherwise(" "))), ""), "\n")
+    long = lambda part: of.count(F.trim(part)) >= 3
+    keys = lambda units: F.array_distinct(F.transform(F.filter(cut(units), long), lambda p: F.xxhash64(p)))
+    return F.when(of.count(line) >= 2 * edits_in, let(of.each(line), keys))
+
+
+def _near_by_parts(distinct: DataFrame, text: DataFrame, of: Unit, edits_in: int) -> DataFrame:
+    """at of the lines that are within one edit in `edits_in` units of the earliest line that has a part of theirs."""
+    keyed = distinct.filter("parts is not null").select("at", F.explode("parts").alias("part"))
+    stars = with_groups(keyed, ["part"], F.min("at").alias("earlier"), F.count("*").alias("n"), name="parts", having="n > 1")
+    pairs = written(stars.filter("at <> earlier").select("at", "earlier").distinct(), "part-pairs")
+    asked = pairs.select("at").unionByName(pairs.select(F.col("earlier").alias("at"))).distinct()
+    asked = asked.groupBy("at.doc_id", "at.tag").agg(F.collect_list("at.line_no").alias("asked"))
+    lines = _lines(_with(text, asked, ["doc_id", "tag"], "inner"), "doc_id", "tag", asked="asked").select(F.struct("doc_id", "tag", "line_no").alias("at"), "line")
+    lines = written(lines.dropDuplicates(["at"]), "part-lines")
+    both = pairs.join(lines, "at").join(lines.select(F.col("at").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
+    return both.filter(_few_edits(of.each(F.col("line")), of.each(F.col("earlier_line")), edits_in)).select("at").distinct()
+
+
+def _few_edits(a: Column, b: Column, edits_in: int) -> Column:
+    """Whether two arrays of units are at most one edit in `edits_in` units of the shorter one apart: a letter stands for each unit that they
+    have between them. Lines with more different units than there are letters are not near."""
+
+    def near(x: Column) -> Column:
+        a, b, known = x["a"], x["b"], x["known"]
+        letters = lambda units: F.array_join(F.transform(units, lambda u: F.substring(F.lit(_LETTERS), F.array_position(known, u).cast("int"), F.lit(1))), "")
+        most = F.floor(F.least(F.size(a), F.size(b)) / edits_in).cast("int")
+        able = (F.abs(F.size(a) - F.size(b)) <= most) & (F.size(known) <= len(_LETTERS))
+        return F.when(able, F.levenshtein(letters(a), letters(b)) <= most).otherwise(F.lit(False))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known")), near)
+
+
 def _with(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """left joined with right's other columns by keys, of which the first may be null."""
     named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
