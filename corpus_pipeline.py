@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occur earlier, up to one changed, missing or extra word; those without a word left go,
+    """Documents without lines that occur earlier, up to one changed, missing or extra word in ten; those without a word left go,
     null and empty texts too. Rows with one id and text count as one document and stay both."""
-    kept = dedup_lines(docs).drop("line_dedup").filter(F.col("text").rlike(SAYS))
+    kept = dedup_lines(docs, edits_in=10).drop("line_dedup").filter(F.col("text").rlike(SAYS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
