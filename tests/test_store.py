@@ -122,10 +122,10 @@ def test_a_sync_writes_only_what_changed(spark, tmp_path):
     assert sorted(t.split("/")[0] for t in new) == ["blocks", "chunks", "documents", "gone", "groups", "lengths", "postings", "vectors"]
     assert spark.read.parquet(str(root(store) / next(t for t in new if t.startswith("chunks")))).count() == 1
 
-    for k in range(9):
+    for k in range(6):
         ingest(store, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), *[(f"n{i}.md", f"more {i} one") for i in range(k)]), provider=provider)
         assert sorted(r.text for r in store.table("chunks").collect()) == sorted(["# A\none", f"# B\nagain {k}", *[f"more {i} one" for i in range(k)]])
-    assert len(store.manifest()["sources"]["s"]["parts"]) < 9
+    assert len(store.manifest()["sources"]["s"]["parts"]) < 6
     fresh = Store(spark, tmp_path / "fresh")
     ingest(fresh, "s", raw(spark, ("a.md", "# A\none"), ("b.md", f"# B\nagain {k}"), *[(f"n{i}.md", f"more {i} one") for i in range(k)]))
     rebuild_vectors(fresh, provider)
