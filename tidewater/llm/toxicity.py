@@ -17,6 +17,9 @@ from tidewater.llm.shared import written
 #: Gradients are summed in so many tasks, each of which sends one vector to the driver.
 GRADIENT_TASKS = 8
 
+#: Sums are of whole numbers, in these units: then no partitioning changes them.
+_UNIT = 2.0**-44
+
 
 @dataclass
 class Model:
@@ -58,48 +61,53 @@ def _sample(labelled: DataFrame, docs: DataFrame, rows_per_class: int, id_col: s
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_chosen")).select("label", "text")
 
 
-def _listed(sample: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
-    """(label, held, cells): each text's cells, sorted and packed; held marks a fifth of the texts, chosen by content."""
+def _listed(sample: DataFrame, orders: tuple[int, ...], bits: int, folds: int) -> DataFrame:
+    """(label, fold, cells): each text's cells, sorted and packed, and its fold, chosen by content."""
 
     def pack(batches):
         import zstandard
 
         z, present = zstandard.ZstdCompressor(level=1), Present(orders, bits)
         for batch in batches:
-            packed, held = [], []
+            packed, fold = [], []
             for run in runs(batch.column(1).to_pylist()):
                 for cells in present.of(run):
                     raw = np.diff(np.sort(cells), prepend=0).astype("<u4").tobytes()
                     packed.append(z.compress(raw))
-                    held.append(zlib.crc32(raw) % 5 == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(packed, pa.binary())], ["label", "held", "cells"])
+                    fold.append(zlib.crc32(raw) % folds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold, pa.int32()), pa.array(packed, pa.binary())], ["label", "fold", "cells"])
 
-    return sample.mapInArrow(pack, "label int, held boolean, cells binary")
+    return sample.mapInArrow(pack, "label int, fold int, cells binary")
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(labels, held, all cells, where each text's cells end) of a batch."""
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, all cells, how many of them each text has) of a batch."""
     import zstandard
 
     z = zstandard.ZstdDecompressor()
     lists = [np.cumsum(np.frombuffer(z.decompress(x), "<u4"), dtype=np.int64) for x in batch.column(2).to_pylist()]
     cells = np.concatenate(lists) if lists else np.empty(0, np.int64)
-    return batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), cells, np.cumsum([len(x) for x in lists])
+    return batch.column(0).to_numpy(), cells, np.array([len(x) for x in lists], np.int64)
+
+
+def _scores(weight: np.ndarray, bias: float, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weight[cells], minlength=len(sizes)) + bias
 
 
-def _summed(table: DataFrame, add, shape: int) -> np.ndarray:
-    """The sum over batches of add(batch, total), a vector that a task fills for all its batches; in GRADIENT_TASKS tasks."""
+def _summed(table: DataFrame, add, shape: int, kind: str) -> np.ndarray:
+    """The sum over batches of add(batch, total), a vector of whole numbers below 2^53 that a task fills for all its batches; in
+    GRADIENT_TASKS tasks, which send it as integers of this kind."""
 
     def partial(batches):
         total = np.zeros(shape)
         for batch in batches:
             add(batch, total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], ["part"])
 
     parts = table.coalesce(GRADIENT_TASKS).mapInArrow(partial, "part binary").toArrow()["part"]
     total = np.zeros(shape)
     for part in parts:
-        total += np.frombuffer(part.as_py(), np.float32)
+        total += np.frombuffer(part.as_py(), kind)
     return total
 
 
@@ -113,16 +121,14 @@ def _objective(table: DataFrame, scale: np.ndarray, rows: np.ndarray, decay: flo
 
         def add(batch, total):
             v, b = sent.value
-            label, _, cells, ends = _unpacked(batch)
-            sizes = np.diff(ends, prepend=0)
-            z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=v[cells], minlength=len(sizes)) + b
-            p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-            g = (p - label) * share[label]
+            label, cells, sizes = _unpacked(batch)
+            p = 1 / (1 + np.exp(-np.clip(_scores(v, b, cells, sizes), -35, 35)))
+            g = np.rint((p - label) * share[label] / _UNIT)
             total[: len(v)] += np.bincount(cells, weights=np.repeat(g, sizes), minlength=len(v))
             total[len(v)] += g.sum()
-            total[len(v) + 1] -= (share[label] * np.log(np.where(label == 1, p, 1 - p))).sum()
+            total[len(v) + 1] -= np.rint(share[label] * np.log(np.where(label == 1, p, 1 - p)) / _UNIT).sum()
 
-        total = _summed(table, add, n + 2)
+        total = _summed(table, add, n + 2, "<i8") * _UNIT
         sent.destroy()
         grad = np.append(total[:n] * scale + decay * w[:n], total[n])
         return float(total[n + 1] + 0.5 * decay * (w[:n] ** 2).sum()), grad
@@ -172,12 +178,13 @@ def log_count_ratios(counts: np.ndarray, rows: np.ndarray, prior: float) -> np.n
 def fit(
     labelled: DataFrame,
     *,
-    orders: tuple[int, ...] = (3, 4, 5),
+    orders: tuple[int, ...] = (5, 6, 7),
     bits: int = 20,
     rows_per_class: int = 15_000,
     prior: float = 100.0,
     decay: float = 1e-3,
     steps: int = 25,
+    folds: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -189,50 +196,69 @@ def fit(
     ids are broadcast. All n-grams of the sample's whole texts are features: each falls into one of 2^bits hash cells, and a
     cell is present in a text or not, times its log-count ratio. Spark counts the ratios and sums the gradients of a
     logistic regression over the sample, which is written once; a vector of 2^bits numbers is what a task sends and the driver holds.
-    The fit leaves a fifth of the sample out, which then says at what score F1 is best: there the model says 0.5.
+    The sample has `folds` folds (three or more), and each is scored by a regression over the others. The model is their mean. All these
+    scores of texts not learned from say where F1 is best: there the model says 0.5. Sums are exact, so partitions don't matter.
 
     Rows whose label is not 0 or 1, or whose id or text is null, teach nothing; an id with several labels counts as toxic if
-    one of them is. With no row of one label (an empty table too), the model is a constant: sure of the other label.
+    one of them is. With no row of one label (an empty table too), the model is a constant: sure of the other label. A fold that has
+    all texts of a label is scored by no regression.
     """
+    if folds < 3:
+        raise ValueError("folds must be three or more")
     known = labelled.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     sample = _sample(known, docs, rows_per_class, id_col, text_col, label_col)
     constant = Model(np.zeros(1 << bits, np.float32), -4.0, orders)
     if sample is None:
         constant.bias = 4.0 if not known.filter(F.col(label_col) == 1).isEmpty() else -4.0
         return constant
-    table = written(_listed(sample, orders, bits), "toxicity")
-    learned = table.filter("not held")
+    table = written(_listed(sample, orders, bits, folds), "toxicity")
+    weight, bias, fitted, scored = np.zeros(1 << bits), 0.0, 0, []
+    for k in range(folds):
+        learned = regression(table.filter(f"fold <> {k}"), bits=bits, prior=prior, decay=decay, steps=steps)
+        if learned is not None:
+            weight, bias, fitted = weight + learned[0], bias + learned[1], fitted + 1
+            scored.append(_scored(table.filter(f"fold = {k}"), *learned))
+    if not fitted:
+        constant.bias = 4.0 if not table.filter("label = 1").isEmpty() else -4.0
+        return constant
+    label, z = (np.concatenate(x) for x in zip(*scored, strict=True))
+    return Model((weight / fitted).astype(np.float32), bias / fitted - _best_middle(label, z), orders)
+
+
+def regression(table: DataFrame, *, bits: int, prior: float, decay: float, steps: int) -> tuple[np.ndarray, float] | None:
+    """(a weight for each cell's presence, bias), learned from a table of labels and cells; None if it lacks a label."""
 
     def count(batch, total):
-        label, _, cells, ends = _unpacked(batch)
-        total[: 2 << bits] += np.bincount(np.repeat(label.astype(np.int64), np.diff(ends, prepend=0)) << bits | cells, minlength=2 << bits)
+        label, cells, sizes = _unpacked(batch)
+        total[: 2 << bits] += np.bincount(np.repeat(label.astype(np.int64), sizes) << bits | cells, minlength=2 << bits)
         total[2 << bits :] += np.bincount(label, minlength=2)
 
-    counts = _summed(learned, count, (2 << bits) + 2)
+    counts = _summed(table, count, (2 << bits) + 2, "<i4")
     rows = counts[2 << bits :]
     if min(rows) == 0:
-        constant.bias = 4.0 if rows[1] else -4.0
-        return constant
+        return None
     scale = log_count_ratios(counts[: 2 << bits].reshape(2, -1), rows, prior)
-    w = minimized(_objective(learned, scale, rows, decay), np.zeros((1 << bits) + 1), steps=steps)
-    middle = _best_middle(table.filter("held"), w, scale)
-    return Model((w[:-1] * scale).astype(np.float32), float(w[-1]) - middle, orders)
+    w = minimized(_objective(table, scale, rows, decay), np.zeros((1 << bits) + 1), steps=steps)
+    return (w[:-1] * scale).astype(np.float32), float(w[-1])
 
 
-def _best_middle(held: DataFrame, w: np.ndarray, scale: np.ndarray) -> float:
-    """The lowest score, halfway between two neighbours, from which on F1 is within a hundredth of the best; 0 where the held rows have one label."""
-    sent = held.sparkSession.sparkContext.broadcast(((w[:-1] * scale).astype(np.float32), float(w[-1])))
+def _scored(held: DataFrame, weight: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """(label, score before the logistic function) of each row of the bounded sample that was held out."""
+    sent = held.sparkSession.sparkContext.broadcast((weight, bias))
 
     def scored(batches):
         v, b = sent.value
         for batch in batches:
-            label, _, cells, ends = _unpacked(batch)
-            sizes = np.diff(ends, prepend=0)
-            z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=v[cells], minlength=len(sizes)) + b
-            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(z)], ["label", "z"])
+            label, cells, sizes = _unpacked(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(_scores(v, b, cells, sizes))], ["label", "z"])
 
     got = held.mapInArrow(scored, "label int, z double").toArrow()
-    label, z = got["label"].to_numpy(), got["z"].to_numpy()
+    sent.destroy()
+    return got["label"].to_numpy(), got["z"].to_numpy()
+
+
+def _best_middle(label: np.ndarray, z: np.ndarray) -> float:
+    """The lowest score, halfway between two neighbours, from which on F1 is within a hundredth of the best; 0 where the rows have one label."""
     if len(set(label.tolist())) < 2:
         return 0.0
     order = np.argsort(-z, kind="stable")
