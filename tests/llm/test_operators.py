@@ -574,7 +574,7 @@ def test_toxicity_against_plain_python(spark, some):
         weight, bias = toxicity.regression(table.filter(f"fold <> {k}"), bits=bits, prior=2.0, decay=1e-2, steps=25)
         fitted.append((weight, bias))
         learned = [r for r, p in zip(rows, packed, strict=True) if zlib.crc32(p) % 3 != k]
-        held += [(y, float(weight[list(cs)].sum()) + bias) for (cs, y), p in zip(rows, packed, strict=True) if zlib.crc32(p) % 3 == k]
+        held += [(y, float(weight[list(cs)].sum(dtype=float)) + bias) for (cs, y), p in zip(rows, packed, strict=True) if zlib.crc32(p) % 3 == k]
         optimal(weight, bias, learned, bits)
     assert np.array_equal(model.weight, (sum(w.astype(float) for w, _ in fitted) / 3).astype(np.float32))
     # no middle parts the held rows much better than the one chosen
@@ -584,7 +584,7 @@ def test_toxicity_against_plain_python(spark, some):
         hits = sum(y for y, z in held if z >= at)
         return 2 * hits / max(sum(z >= at for _, z in held) + sum(y for y, _ in held), 1)
 
-    assert f1(middle) >= max(f1(z - 1e-5) for _, z in held) - 0.0101
+    assert f1(middle - 1e-9) >= max(f1(z - 1e-9) for _, z in held) - 0.0101
 
 
 def optimal(weight, bias, learned, bits):
