@@ -415,6 +415,16 @@ def test_token_counts(docs, empty, rows):
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got) and token_counts(empty, PATH).count() == 0
 
 
+TWICE = [(1, "one text, twice"), (1, "one text, twice"), (1, "another é漢🙂"), (None, "no id"), (None, "no id"), (None, None), (2, "")]
+
+
+def test_token_counts_of_null_ids_and_repeated_rows(spark):
+    tok = Tokenizer.from_file(PATH)
+    expected = [(d, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t in TWICE]
+    got = token_counts(spark.createDataFrame(TWICE, "doc_id long, text string"), PATH).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == Counter(expected)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_on_any_text(name):
     path = public_tokenizers.path(name)
@@ -445,6 +455,24 @@ def test_packing(docs, empty, rows):
     assert pack(empty, PATH).count() == 0
 
 
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    tok = Tokenizer.from_file(PATH)
+    rows = [*TWICE, (None, LONG), (3, LONG), (3, LONG)]
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    # each row's ids lie in pieces of its own: as many of each id and length start at 0, and all together as many ids
+    ids = [(d, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in rows]
+    assert Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0) == Counter((d, len(x)) for d, x in ids)
+    assert sum(p.length for p in pieces) == sum(len(x) for _, x in ids)
+    for p in pieces:
+        crcs = [zlib.crc32(np.array(x[p.start : p.start + p.length], "<u4").tobytes()) for d, x in ids if (d, len(x)) == (p.doc_id, p.doc_tokens)]
+        assert p.ids_crc32 in crcs
+    filled = defaultdict(int)
+    for p in sorted(pieces, key=lambda p: p.offset):
+        assert p.offset == filled[p.sequence_id]
+        filled[p.sequence_id] += p.length
+    assert max(filled.values()) <= 1024
+
+
 def shingles(text):
     w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
