@@ -644,6 +644,43 @@ def test_toxicity_does_not_depend_on_partitions(spark, some):
     assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
 
 
+def test_toxicity_unpacks_a_batch_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    cells, n = np.arange(0, 40_000, 2), 1000
+    packed = zstandard.ZstdCompressor(level=1).compress(np.diff(cells, prepend=0).astype("<u4").tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([packed] * n, pa.binary())], ["label", "fold", "cells"])
+
+    class OneTask:
+        """A table whose only task runs here, so that its memory is seen."""
+
+        def coalesce(self, _):
+            return self
+
+        def mapInArrow(self, task, _):
+            self.done = pa.Table.from_batches(list(task(iter([batch]))))
+            return self
+
+        def toArrow(self):
+            return self.done
+
+    tracemalloc.start()
+    assert toxicity.regression(OneTask(), bits=16, prior=2.0, decay=1e-2, steps=1) is None
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all cells of the batch at once take 160 MB
+    assert peak < 60e6
+
+    def add(total, label, cells, sizes):
+        total[:] += len(label), label.sum(), len(cells), cells.sum(), sizes.sum()
+
+    got = toxicity._summed(OneTask(), add, 5, "<i8")
+    assert got.tolist() == [n, n, n * len(cells), n * cells.sum(), n * len(cells)]
+
+
 def test_toxicity_refuses_two_folds(spark, empty):
     with pytest.raises(ValueError, match="folds"):
         toxicity.fit(spark.createDataFrame([], "doc_id long, toxic int"), docs=empty, folds=2)

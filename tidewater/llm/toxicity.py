@@ -20,6 +20,9 @@ GRADIENT_TASKS = 8
 #: Sums are of whole numbers, in these units: then no partitioning changes them.
 _UNIT = 2.0**-44
 
+#: A task unpacks texts until they have so many cells, then works on these; a text has 2^bits at most.
+SLICE_CELLS = 1 << 20
+
 
 @dataclass
 class Model:
@@ -80,14 +83,20 @@ def _listed(sample: DataFrame, orders: tuple[int, ...], bits: int, folds: int) -
     return sample.mapInArrow(pack, "label int, fold int, cells binary")
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(labels, all cells, how many of them each text has) of a batch."""
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, all cells, how many of them each text has) of a batch's texts in order, in slices of about SLICE_CELLS cells: a whole batch,
+    unpacked, can be hundreds of times as large as it comes."""
     import zstandard
 
     z = zstandard.ZstdDecompressor()
-    lists = [np.cumsum(np.frombuffer(z.decompress(x), "<u4"), dtype=np.int64) for x in batch.column(2).to_pylist()]
-    cells = np.concatenate(lists) if lists else np.empty(0, np.int64)
-    return batch.column(0).to_numpy(), cells, np.array([len(x) for x in lists], np.int64)
+    labels, packed = batch.column(0).to_numpy(), batch.column(2)
+    lists, first, total = [], 0, 0
+    for k in range(batch.num_rows):
+        lists.append(np.cumsum(np.frombuffer(z.decompress(packed[k].as_py()), "<u4"), dtype=np.int64))
+        total += len(lists[-1])
+        if total >= SLICE_CELLS or k + 1 == batch.num_rows:
+            yield labels[first : k + 1], np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+            lists, first, total = [], k + 1, 0
 
 
 def _scores(weight: np.ndarray, bias: float, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -95,13 +104,14 @@ def _scores(weight: np.ndarray, bias: float, cells: np.ndarray, sizes: np.ndarra
 
 
 def _summed(table: DataFrame, add, shape: int, kind: str) -> np.ndarray:
-    """The sum over batches of add(batch, total), a vector of whole numbers below 2^53 that a task fills for all its batches; in
+    """The sum over slices of add(total, labels, cells, sizes), a vector of whole numbers below 2^53 that a task fills for all its batches; in
     GRADIENT_TASKS tasks, which send it as integers of this kind."""
 
     def partial(batches):
         total = np.zeros(shape)
         for batch in batches:
-            add(batch, total)
+            for some in _unpacked(batch):
+                add(total, *some)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], ["part"])
 
     parts = table.coalesce(GRADIENT_TASKS).mapInArrow(partial, "part binary").toArrow()["part"]
@@ -119,9 +129,8 @@ def _objective(table: DataFrame, scale: np.ndarray, rows: np.ndarray, decay: flo
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
         sent = table.sparkSession.sparkContext.broadcast(((w[:n] * scale).astype(np.float32), float(w[n])))
 
-        def add(batch, total):
+        def add(total, label, cells, sizes):
             v, b = sent.value
-            label, cells, sizes = _unpacked(batch)
             p = 1 / (1 + np.exp(-np.clip(_scores(v, b, cells, sizes), -35, 35)))
             g = np.rint((p - label) * share[label] / _UNIT)
             total[: len(v)] += np.bincount(cells, weights=np.repeat(g, sizes), minlength=len(v))
@@ -228,8 +237,7 @@ def fit(
 def regression(table: DataFrame, *, bits: int, prior: float, decay: float, steps: int) -> tuple[np.ndarray, float] | None:
     """(a weight for each cell's presence, bias), learned from a table of labels and cells; None if it lacks a label."""
 
-    def count(batch, total):
-        label, cells, sizes = _unpacked(batch)
+    def count(total, label, cells, sizes):
         total[: 2 << bits] += np.bincount(np.repeat(label.astype(np.int64), sizes) << bits | cells, minlength=2 << bits)
         total[2 << bits :] += np.bincount(label, minlength=2)
 
@@ -249,8 +257,8 @@ def _scored(held: DataFrame, weight: np.ndarray, bias: float) -> tuple[np.ndarra
     def scored(batches):
         v, b = sent.value
         for batch in batches:
-            label, cells, sizes = _unpacked(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(_scores(v, b, cells, sizes))], ["label", "z"])
+            for label, cells, sizes in _unpacked(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(_scores(v, b, cells, sizes))], ["label", "z"])
 
     got = held.mapInArrow(scored, "label int, z double").toArrow()
     sent.destroy()
