@@ -153,3 +153,23 @@ def test_fusion_refuses_broken_sides(spark):
     for a, b in [(lex.union(lex), vec), (lex, vec.withColumn("content_hash", F.lit("x")))]:
         with pytest.raises(HybridFusionError):
             fusion.fuse(a, b, max_results=3, tie=["chunk_id"])
+
+
+def test_hits_are_found_once_a_row_whatever_the_number_of_terms(spark):
+    docs = spark.createDataFrame([("a", "The the of x"), ("b", "é thé"), ("c", None)], "chunk_id string, text string")
+    got = lexical.marked(docs, ["text", "chunk_id"], ["the", "of", "a", "nowhere"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # outside of the lambda over terms
+    hits = plan[plan.index("AS length") :]
+    assert hits.count("flatten(") == 1 and hits.index("flatten(") < hits.index("lambdafunction(")
+    found = {r.chunk_id: (r.length, [(h.term, list(h.places)) for h in r.hits]) for r in got.collect()}
+    assert found == {"a": (5, [("a", [lexical.FIELD]), ("of", [2]), ("the", [0, 1])]), "b": (3, [("the", [1])]), "c": (1, [])}
+
+
+def test_ascii_tokens_are_those_of_the_general_rule(spark):
+    from tidewater.functions.tokens import TOKEN, folded, tokens
+
+    texts = ["".join(map(chr, range(128))), "A_b-C 9z\tx--y\n", "K İ ß Ａ", "naïve Ŝ ² ½ é", "", "\x7f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    general = F.regexp_extract_all(folded(F.col("t")), F.lit(TOKEN), F.lit(0))
+    assert all(a == b for a, b in df.select(tokens(F.col("t")), general).collect())

@@ -65,13 +65,17 @@ def postings(docs: DataFrame, fields: list[str], id_col: str = "chunk_id", more:
 
 
 def marked(docs: DataFrame, fields: list[str], terms: list[str], id_col: str = "chunk_id", more: list[str] | None = None) -> DataFrame:
-    """(ids, length, hits array<struct<term, places>>) of every row: its length and where the given terms stand, without a shuffle."""
-    ids, wanted = [id_col, *(more or [])], F.array(*map(F.lit, sorted(set(terms)))).cast("array<string>")
-    said = _said(docs, fields, ids)
-    found = said.select(*ids, "length", F.filter(_places(F.col("said")), lambda t: F.array_contains(wanted, t["term"])).alias("found"))
-    of = lambda term: F.transform(F.filter("found", lambda t: t["term"] == term), lambda t: t["place"])
-    hits = F.filter(F.transform(wanted, lambda term: F.struct(term.alias("term"), of(term).alias("places"))), lambda h: F.size(h["places"]) > 0)
-    return found.select(*ids, "length", hits.alias("hits"))
+    """(ids, length, hits array<struct<term, places>>) of every row: its length and where the given terms stand, without a shuffle.
+
+    Only the given terms' tokens become structs, and a row's are found once: an alias used inside a lambda is else put in its
+    place and computed again for every term, so they are an array of one that is transformed."""
+    ids, wanted = [id_col, *(more or [])], sorted(set(terms))
+    at = lambda t, k, i: F.when(t.isin(wanted), F.struct(t.alias("term"), (k.cast("long") * FIELD + i).alias("place")))
+    found = F.flatten(F.transform("said", lambda of, k: F.filter(F.transform(of, lambda t, i: at(t, k, i)), lambda t: t.isNotNull())))
+    of = lambda found, term: F.transform(F.filter(found, lambda t: t["term"] == term), lambda t: t["place"])
+    each = lambda found: F.transform(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda term: F.struct(term.alias("term"), of(found, term).alias("places")))
+    hits = F.element_at(F.transform(F.array(found), lambda found: F.filter(each(found), lambda h: F.size(h["places"]) > 0)), 1)
+    return _said(docs, fields, ids).select(*ids, "length", hits.alias("hits"))
 
 
 def index_of(marked_rows: DataFrame, id_col: str = "chunk_id", more: list[str] | None = None) -> Index:
