@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -11,17 +12,19 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm import chat, language_id, queries, tokens, toxicity
+from tidewater.llm import chat, language_id, queries, substring_dedup, tokens, toxicity
 from tidewater.llm.decontamination import banded_distance, contaminated
 from tidewater.llm.graph import components
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.ngram_join import similar_documents
 from tidewater.llm.packing import pack, sequences
 from tidewater.llm.quality import quality
+from tidewater.llm.shared import SLICE_BYTES, word_hashes
 from tidewater.llm.substring_dedup import remove_repeated
 from tidewater.llm.token_counts import token_counts
 
@@ -135,6 +138,56 @@ def test_substring_dedup_refuses_other_ids(spark):
         remove_repeated(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def _long_rows(n):
+    """Rows of 700 words each, of few distinct ones; passages are shared, also by rows far from each other."""
+    rng = random.Random(15)
+    words = [f"word{k:03}" for k in range(500)]
+    passages = [rng.choices(words, k=60) for _ in range(40)]
+    return [(d, " ".join(rng.choices(words, k=320) + passages[d % 37] + rng.choices(words, k=320))) for d in range(n)]
+
+
+def test_substring_dedup_of_a_batch_of_several_slices(spark):
+    rows = _long_rows(900)
+    rows[7] = (7, " ".join(f"{t} {t[:700]}" for _, t in rows[100:500]))  # longer than a slice
+    rows[8], rows[9] = (8, None), (9, "")
+    assert sum(len(t or "") for _, t in rows) > 3 * SLICE_BYTES and len(rows[7][1]) > SLICE_BYTES
+    expected = removed(rows, 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.text or "" for r in remove_repeated(df).collect()} == expected
+
+
+def test_substring_dedup_needs_no_more_memory_for_a_larger_batch(spark):
+    """What tasks hold in Python objects and numpy arrays doesn't grow with the rows of a batch."""
+
+    class Steps:
+        schema = spark.createDataFrame([], "doc_id long").schema
+
+        def mapInArrow(self, step, schema):
+            return step
+
+    asked, packed, edges = substring_dedup._asked(Steps(), 20), substring_dedup._packed(Steps()), substring_dedup._edges(Steps(), 20)
+
+    def peak(step, batch):
+        tracemalloc.start()
+        n = sum(out.num_rows for out in step([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n
+        return most
+
+    most = defaultdict(list)
+    for n in (800, 800, 2400):  # the first fills the cache of words
+        ids, texts = zip(*_long_rows(n), strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])
+        frames = pa.Table.from_batches(list(packed([batch]))).combine_chunks()["packed"].chunk(0)
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("settled", pa.bool_())]))
+        every = [[{"key": int(h), "settled": False} for h in np.unique(substring_dedup._anchors(word_hashes(t.encode().split()), 20)[1]).view(np.int64)] for t in texts]
+        found = pa.RecordBatch.from_arrays([pa.array(ids), frames, pa.array(every, kind)], ["doc_id", "packed", "known"])
+        for name, step, given in (("asked", asked, batch), ("packed", packed, batch), ("edges", edges, found)):
+            most[name].append(peak(step, given))
+    assert all(large < 1.5 * small for _, small, large in most.values()), dict(most)
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     bits = ["<turn|", "</turn>", "\\", "\\b", "\\l", ">", "|", "\n", "é", "word " * 30, "n|user>"]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,27 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Bytes of text that a task makes arrays of at a time.
+SLICE_BYTES = 2 << 20
+
+
+def slices_of_text(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with at most `limit` bytes of text each, or one longer text, so that what is made of a run
+    doesn't grow with the batch. A binary column holds zstandard frames, whose texts count."""
+    texts = batch.column(column)
+    if pa.types.is_binary(texts.type):
+        import zstandard
+
+        sizes = np.fromiter((zstandard.frame_content_size(p.as_buffer()) if p.is_valid else 0 for p in texts), np.int64, len(texts))
+    else:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

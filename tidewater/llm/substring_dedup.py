@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import as_bytes, mixed, window_hashes, word_hashes, written
+from tidewater.llm.shared import as_bytes, mixed, slices_of_text, window_hashes, word_hashes, written
 
 
 def _anchor_words(window: int) -> int:
@@ -44,16 +44,22 @@ def _id_mix(ids: pa.Array) -> np.ndarray:
     return mixed(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
+def _slices(batches):
+    """Batches in slices of their texts; a step's arrays are made for a slice at a time, and what it settles is settled within one."""
+    for batch in batches:
+        yield from slices_of_text(batch, 1)
+
+
 def _asked(docs: DataFrame, window: int) -> DataFrame:
     """Anchors and the documents that hold them: (key, settled, twice, doc_id).
 
-    A batch asks once for an anchor, key, through one of its documents. If several of
+    A slice of a batch asks once for an anchor, key, through one of its documents. If several of
     its documents hold it, these know already that it is repeated; their rows are settled
-    and their key, anchor xor a mix of the id, scatters them. So a frequent anchor is one row a batch.
+    and their key, anchor xor a mix of the id, scatters them. So a frequent anchor is one row a slice.
     """
 
     def ask(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             values, owners = [], []
             for k, text in enumerate(as_bytes(batch.column(1))):
                 words = text.split() if text else []
@@ -87,7 +93,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in _slices(batches):
             packed = pa.array([None if t is None else z.compress(t) for t in as_bytes(batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc_id", "packed"])
 
@@ -110,7 +116,7 @@ _PLACE_BITS = 31
 def _edges(found: DataFrame, window: int) -> DataFrame:
     """The windows over repeated anchors, the graph's edges: (key, settled, doc_id, spot, length).
 
-    A batch keeps an edge's first place; it asks for an earlier one by its key. The edge's other places
+    A slice of a batch keeps an edge's first place; it asks for an earlier one by its key. The edge's other places
     are repeated for certain: they are compacted to paths and settled here, their words compared.
     """
 
@@ -118,7 +124,7 @@ def _edges(found: DataFrame, window: int) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0)
             packed, anchors = batch.column(1).to_pylist(), _known_anchors(ids, batch.column(2))
             keys, places, owners, hashes = [], [], [], []
@@ -219,7 +225,7 @@ def _source_digests(paths: DataFrame, packed: DataFrame, window: int) -> DataFra
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             owner, rows = [], []
             for k, (p, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 text = z.decompress(p) if p is not None else b""
@@ -250,8 +256,8 @@ def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
     Windows are the edges of a graph of k-mers. Two windows can be equal only if their anchors are,
     the least short k-mers in them; so first the anchors are counted, about two
     to twelve words, and only windows with a repeated anchor become
-    edges. Every batch keeps an edge's first place and settles the others, so a
-    hot edge or anchor is one row a batch in the shuffle. Repeated edges that follow each other
+    edges. Every slice of a batch keeps an edge's first place and settles the others, so a
+    hot edge or anchor is one row a slice in the shuffle. Repeated edges that follow each other
     in a document and at their source are compacted to a path, and a path's words are compared with those at
     its source coordinates before they go.
 
@@ -283,7 +289,7 @@ def remove_repeated(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for p, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if p is None:
